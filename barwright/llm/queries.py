@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe, packing, simhash
+from barwright.llm import bpe, fm, nbsvm, packing, simhash
 from barwright.llm.shared import table
 
 
+def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.5)
+
+
 QUERIES = {
+    "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_simhash": op2_simhash,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_fm_toxicity": op8_fm_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
