@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe, chat, fm, nbsvm, packing, shardtree, simhash, warc
+from barwright.llm import bpe, capfilter, chat, fm, nbsvm, packing, shardtree, simhash, topk, warc
 from barwright.llm.shared import table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -41,6 +45,10 @@ def op8_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.5)
 
 
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), least_cos=0.98)
+
+
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shardtree.assign(table(spark, sf_dir, "documents"), shards=8)
 
@@ -48,11 +56,13 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_simhash": op2_simhash,
+    "op3_cover_tree_topk": op3_cover_tree_topk,
     "op4_chat_trees": op4_chat_trees,
     "op5_warc": op5_warc,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_fm_toxicity": op8_fm_toxicity,
+    "op9_cap_filters": op9_cap_filters,
     "op10_hash_tree_shards": op10_hash_tree_shards,
 }
 
