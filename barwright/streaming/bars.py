@@ -19,15 +19,18 @@ def deduplicated(ticks: DataFrame, late: str, ids=("trade_id",)) -> DataFrame:
     return ticks.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(list(ids))
 
 
-def stream_bars(ticks: DataFrame, every: str, late: str, key: str = "instrument") -> DataFrame:
+def stream_bars(ticks: DataFrame, every: str, late: str, key: str = "instrument", ids: tuple[str, ...] = ()) -> DataFrame:
     """Right-closed bars. In update mode they are partial, in append mode final once the watermark has
-    passed; rows later than the watermark are dropped."""
+    passed; rows later than the watermark are dropped, and rows that repeat ids within it count once."""
     at = F.struct("ts", "trade_id")
     kind = dict(ticks.dtypes)["ts"]
     moved = ticks.withColumn("ts", (F.col("ts") - F.expr("interval 1 microsecond")).cast("timestamp"))  # closes the bucket on the right
     w = F.window("ts", every)
+    moved = moved.withWatermark("ts", late)
+    if ids:
+        moved = moved.dropDuplicatesWithinWatermark(list(ids))
     return (
-        moved.withWatermark("ts", late).groupBy(key, w.alias("w"))
+        moved.groupBy(key, w.alias("w"))
         .agg(
             F.min_by("price", at).alias("open"),
             F.max("price").alias("high"),
