@@ -127,7 +127,7 @@ def near_duplicates(
         )
     )
     valid = rows.where("x is not null")
-    dims = [r[0] for r in valid.select(F.size("x").alias("d")).distinct().limit(100).collect()]
+    dims = [r[0] for r in valid.select(F.size("x").alias("d")).distinct().collect()]
     parts = [_links(valid.where(F.size("x") == d), d, least_cos) for d in sorted(dims)]
     if not parts:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))

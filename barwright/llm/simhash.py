@@ -248,5 +248,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    single = docs.join(kept, F.col(id_col) == F.col("_kept")).drop("_kept").dropDuplicates([id_col])
+    single = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
     return single.unionByName(docs.where(F.col(id_col).isNull()))
