@@ -236,3 +236,46 @@ def test_llm_can_be_missing():
     import __spark_entry__
 
     assert "ema_backtest_day" in __spark_entry__.queries()
+
+
+def test_sparse_signals_take_effect_on_the_next_bar(spark):
+    from barwright.operators import studies
+
+    b = frame(spark, [("a", t, 10.0 * t, 10.0 * t + 1) for t in range(1, 6)], "k string, t int, open double, close double")
+    s = frame(spark, [("a", 2, 1), ("a", 4, -1), ("a", 9, 1), ("a", 5, 0)], "k string, decision_ts int, desired_position int")
+    got = studies.execute_signals(b, s, ["k"], "t", 1.0).orderBy("t").collect()
+    assert [r["position"] for r in got] == [0, 0, 1, 1, -1]
+    bad = {r["decision_ts"]: r["reason"] for r in studies.bad_decisions(b, s, ["k"], "t").collect()}
+    assert bad == {9: "decision_not_on_a_bar", 5: "decision_on_last_bar"}
+
+
+def test_stop_or_poc(spark):
+    from barwright.operators import studies
+
+    rows = [("a", 0, 10.0, 10.0, 10.0, 1.0, 1, 12.0), ("a", 1, 11.0, 9.5, 10.5, 1.0, 0, None), ("a", 2, 13.0, 10.0, 12.5, 1.0, 0, None),
+            ("a", 3, 10.0, 10.0, 10.0, 1.0, -1, 8.0), ("a", 4, 11.5, 9.0, 9.0, 1.0, 0, None)]
+    df = frame(spark, rows, "k string, t int, high double, low double, close double, atr double, signal int, poc double")
+    got = sorted(tuple(r) for r in studies.stop_or_poc(df, "k", "t", 1.0).collect())
+    assert got == [("a", 0, 2, 1, 2.5, "poc"), ("a", 3, 4, -1, -1.0, "stop")]
+
+
+def test_refresh_stops_at_a_failed_check(spark, tmp_path):
+    from barwright.operators import studies
+
+    d = dt.date(2024, 1, 2)
+    bad = frame(spark, [("a", d, 1.0, 0.5, 0.4, 0.9)], "instrument string, trade_date date, open double, high double, low double, close double")
+    c = frame(spark, [("a", "a_1", d)], "family string, secid string, anchor date")
+    with pytest.raises(quality.CheckFailed, match="invalid_ohlc"):
+        studies.refresh(spark, str(tmp_path), bad, c, "trade_date")
+
+
+def test_guarded_refresh(spark):
+    old = frame(spark, [(1,), (5,)], "t int")
+    assert quality.may_replace(frame(spark, [(5,)], "t int"), old, "t")
+    assert not quality.may_replace(frame(spark, [(4,)], "t int"), old, "t")
+
+
+def test_names(spark):
+    assert lake.unique_names(["a", "b", "a", "a"]) == ["a", "b", "a#2", "a#3"]
+    df = frame(spark, [(1, 2, 3)], "x int, pre_1 int, other int")
+    assert lake.select_existing(df, ["x", "nope"], ("pre_",)).columns == ["x", "pre_1"]
