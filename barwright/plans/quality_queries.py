@@ -151,12 +151,12 @@ def tail_refresh(spark, sf_dir):
 
 
 @query(sql("day_bars", "order_days", """, b as (select trade_date, avg(close) as v from day_bars group by all), e as (select trade_date, fx as v from order_days where year(trade_date) = 1998)
-    select trade_date, round(v, 4) as v, 'base' as origin from b where trade_date not in (select trade_date from e) union all select trade_date, round(v, 4), 'enriched' from e"""))
+    select trade_date, round(v, 6) as v, 'base' as origin from b where trade_date not in (select trade_date from e) union all select trade_date, round(v, 6), 'enriched' from e"""))
 def concat_history(spark, sf_dir):
     """A8 enriched days where there are any."""
     b = views.day_bars(spark, sf_dir).groupBy("trade_date").agg(F.avg("close").alias("v"))
     e = views.order_days(spark, sf_dir).where("year(trade_date) = 1998").select("trade_date", F.col("fx").alias("v"))
-    return rounded(quality.prefer_enriched(b, e, "trade_date", ["trade_date"]), 4)
+    return rounded(quality.prefer_enriched(b, e, "trade_date", ["trade_date"]))
 
 
 @query(sql("day_bars", """, d as (select instrument, trade_date, volume from day_bars), f as (select instrument, count(distinct trade_date) as active_days, median(volume) as median_volume, min(trade_date) as first_day, max(trade_date) as last_day from d group by all),
