@@ -110,7 +110,7 @@ def extreme_days(days: DataFrame, key: str, day: str, q: float, min_history: int
     returns of the next two days."""
     w = wn.over(key, day)
     df = days.withColumn("range", F.col("high") - F.col("low"))
-    df = df.withColumn("cut", wn.expanding_quantile("range", q, key, day, min_history))
+    df = wn.with_expanding_quantile(df, "cut", "range", q, [key], day, min_history)
     df = df.withColumn("close_pos", F.try_divide(F.col("close") - F.col("low"), F.col("range")))
     df = df.withColumn("next_1", wn.forward_return("close", key, day, 1)).withColumn("next_2", wn.forward_return("close", key, day, 2))
     df = df.withColumn("inside_next", F.lead((wn.inside_previous(key, day)).cast("int")).over(w))
@@ -123,7 +123,7 @@ def compression_breakouts(days: DataFrame, key: str, day: str, q: float, min_his
     """D0 an extreme range, D1 a range below half of it, D2 a break of D1's range: which side, and the
     result from the break to D2's close."""
     w = wn.over(key, day)
-    df = days.withColumn("range", F.col("high") - F.col("low")).withColumn("cut", wn.expanding_quantile("range", q, key, day, min_history))
+    df = wn.with_expanding_quantile(days.withColumn("range", F.col("high") - F.col("low")), "cut", "range", q, [key], day, min_history)
     nxt = {f"{c}{k}": F.lead(c, k).over(w) for c in ("high", "low", "close", "range") for k in (1, 2)}
     df = df.withColumns(nxt).withColumn("d2", F.lead(day, 2).over(w))
     df = df.where((F.col("range") > F.col("cut")) & (F.col("range1") < F.col("range") / 2) & F.col("d2").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -46,9 +47,19 @@ def expanding(fn, c: str, keys, order, min_history: int, include_current: bool =
     return gated(fn(c).over(w), F.count(c).over(w), min_history)
 
 
-def expanding_quantile(c: str, q: float, keys, order, min_history: int, lag: int = 0) -> Column:
-    """The interpolated quantile of all earlier rows. For day-level series: a frame is sorted per row."""
-    return expanding(lambda x: F.percentile(x, F.lit(q)), c, keys, order, min_history, False, lag)
+def with_expanding_quantile(df: DataFrame, name: str, c: str, q: float, keys: list[str], order: str, min_history: int, lag: int = 0) -> DataFrame:
+    """df with the interpolated quantile of all rows of the key before this one (and before ``lag`` more).
+
+    A growing sorted list per key does it in n log n, where a window frame would be sorted anew for each
+    row. A key's series is one group, as it is for a window; meant for day-level series.
+    """
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        return pdf.assign(**{name: pdf[c].expanding(min_history).quantile(q).shift(1 + lag)})
+
+    return df.groupBy(*keys).applyInPandas(run, spec)
 
 
 def true_range(keys, order) -> Column:

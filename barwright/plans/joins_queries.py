@@ -247,7 +247,8 @@ def past_z_60(spark, sf_dir):
 @query(sql("day_bars", f"select instrument, trade_date, round(case when count(close) over {_w('rows between unbounded preceding and 1 preceding')} >= 60 then quantile_cont(close, 0.8) over {_w('rows between unbounded preceding and 1 preceding')} end, 6) as q80 from day_bars"))
 def expanding_q80(spark, sf_dir):
     """E7 expanding quantile of earlier rows."""
-    return rounded(views.day_bars(spark, sf_dir).select("instrument", "trade_date", wn.expanding_quantile("close", 0.8, "instrument", "trade_date", 60).alias("q80")))
+    d = views.day_bars(spark, sf_dir).select("instrument", "trade_date", "close")
+    return rounded(wn.with_expanding_quantile(d, "q80", "close", 0.8, ["instrument"], "trade_date", 60).drop("close"))
 
 
 @query(sql("day_bars", f""", t as (select *, greatest(high - low, abs(high - lag(close) over {_w()}), abs(low - lag(close) over {_w()})) as tr from day_bars)
