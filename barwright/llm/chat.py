@@ -66,31 +66,29 @@ def branches(nodes: DataFrame, top: int = 1) -> DataFrame:
     )
     replied = jump.where("jump is not null").select("tree", F.col("jump").alias("node")).distinct()
     leaves = jump.join(replied, key, "left_anti").select(*key)
-    levels, most = [jump], jump.count()
-    while (1 << (len(levels) - 1)) <= most and not levels[-1].where("jump is not null").isEmpty():
-        now = levels[-1]
+    # messages whose pointer has passed the root are done; only the others go on doubling
+    done, hops, most = jump.where("jump is null"), [jump.where("jump is not null")], jump.count()
+    while (1 << (len(hops) - 1)) <= most and not hops[-1].isEmpty():
+        now = hops[-1].unionByName(done)
         above = now.select("tree", F.col("node").alias("jump"), F.col("jump").alias("next"), F.col("total").alias("more"))
-        levels.append(
-            shared.stored(
-                now.join(above, ["tree", "jump"], "left").select(
-                    *key, F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")
-                )
-            )
+        further = shared.stored(
+            hops[-1].join(above, ["tree", "jump"]).select(*key, F.col("next").alias("jump"), (F.col("total") + F.col("more")).alias("total"))
         )
+        done = done.unionByName(further.where("jump is null"))
+        hops.append(further.where("jump is not null"))
     best = W.partitionBy("tree").orderBy(F.col("total").desc(), "node")
     chosen = (
-        leaves.join(levels[-1].where("jump is null"), key)
+        leaves.join(done, key)
         .withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= top)
         .select("tree", F.col("node").alias("leaf"), F.col("total").alias("branch_score"), "rank")
     )
     paths = shared.stored(chosen.withColumn("node", F.col("leaf")).withColumn("up", F.lit(0)))
-    for k, level in enumerate(levels[:-1]):
-        hop = level.where("jump is not null").select(*key, "jump")
-        further = paths.join(hop, key).select(
+    for k, hop in enumerate(hops[:-1]):
+        further = paths.join(hop.select(*key, "jump"), key).select(
             "tree", "leaf", "branch_score", "rank", F.col("jump").alias("node"), (F.col("up") + (1 << k)).alias("up")
         )
-        paths = shared.stored(paths.unionByName(further))
+        paths = paths.unionByName(shared.stored(further))
     return paths
 
 
