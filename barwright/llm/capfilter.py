@@ -9,7 +9,9 @@ what a vector at the linking angle from the asker would exceed but for ``SIGMAS`
 Asker and filed vectors meet by a join on the filter, and each pair is verified in double precision. As
 an asker asks once, no pair is counted twice.
 
-Vectors whose best filter of the fine code is far from them ask in a coarse code instead.
+There are several codes, each over another rotation; a vector asks in the code whose best filter is the
+nearest to it. Askers are told apart by levels of that product, so a filter's threshold is that of the
+askers it has, and vectors are filed only under filters that have any.
 """
 
 from __future__ import annotations
@@ -24,28 +26,33 @@ from barwright.llm import shared
 from barwright.llm.simhash import join_labels
 
 SIGMAS = 5.0
-#: (blocks, codewords per block) of the fine and of the coarse code, and the least inner product for the fine one.
-FINE, COARSE, FINE_FROM = (4, 32), (3, 16), 0.45
-#: Bits of the map of asked filters that filed vectors are held against before any shuffle.
+#: Codes, blocks of each, codewords per block, and the width of a level of the askers' products.
+#: Codewords grow with the fourth root of the rows, so that a filter keeps a few askers.
+CODES, BLOCKS, WORDS, LEVEL = 4, 4, 16, 0.04
+#: Bits of each of the four maps of asked filters that filed vectors are held against before any shuffle.
+#: They are of use up to some millions of vectors; more want more bits.
 MAP_BITS = 24
-#: Rows of a side that meet in one block of pairs.
-TILE = 2048
+#: Rows of a side that meet in one block of pairs, and rows per task of the decoding.
+TILE, DECODE_ROWS = 2048, 4096
 
 
 class ProductCode:
-    """Directions that are concatenations of one codeword per block, times 1/sqrt(blocks)."""
+    """Directions that are concatenations of one codeword per block of rotated coordinates, times
+    1/sqrt(blocks)."""
 
     def __init__(self, dim: int, blocks: int, words: int, seed: int):
         self.blocks, self.words = min(blocks, dim), words
         self.cuts = [dim * k // self.blocks for k in range(self.blocks + 1)]
         rng = np.random.default_rng(seed)
+        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.book = []
         for a, b in zip(self.cuts, self.cuts[1:]):
             c = rng.normal(size=(words, b - a))
             self.book.append(c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.blocks))
 
     def products(self, x: np.ndarray) -> list[np.ndarray]:
-        return [x[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.book)]
+        y = x @ self.rotation
+        return [y[:, a:b] @ book.T for a, b, book in zip(self.cuts, self.cuts[1:], self.book)]
 
     def best(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each row its best filter and the inner product with it."""
@@ -55,9 +62,9 @@ class ProductCode:
             score += p.max(axis=1)
         return number, score
 
-    def passed(self, products: list[np.ndarray], row: int, least: float) -> np.ndarray:
-        """All filters whose inner product with the row is at least ``least``, block by block: a partial
-        choice is given up when even the best codewords of the blocks to come can't reach it."""
+    def passed(self, products: list[np.ndarray], row: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """All filters whose inner product with the row is at least ``least``, and these products, block by
+        block: a partial choice is given up when even the best codewords to come can't reach it."""
         number, score = np.zeros(1, np.int64), np.zeros(1)
         tops = [p[row].max() for p in products]
         for k, p in enumerate(products):
@@ -65,7 +72,7 @@ class ProductCode:
             total = score[:, None] + p[row][None, :]
             i, j = np.nonzero(total >= least - rest - 1e-12)
             number, score = number[i] * self.words + j, total[i, j]
-        return number
+        return number, score
 
 
 def threshold(score: float, least_cos: float, dim: int, sigmas: float = SIGMAS) -> float:
@@ -81,8 +88,10 @@ def threshold(score: float, least_cos: float, dim: int, sigmas: float = SIGMAS)
     return max(surely, np.cos(angle) * score - sigmas * spread) - 1e-9
 
 
-def _key(tier: int, label: np.ndarray, number: np.ndarray) -> np.ndarray:
-    x = label.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(2) + np.uint64(tier)
+def _key(tier, label, number: np.ndarray) -> np.ndarray:
+    """A hash of code and level, label, and filter."""
+    x = np.asarray(label, np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + number.astype(np.uint64) * np.uint64(1 << 12)
+    x = x + np.asarray(tier, np.int64).astype(np.uint64)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(31))).view(np.int64)
@@ -155,53 +164,74 @@ def near_duplicates(
 def _links(valid: DataFrame, dim: int, least_cos: float) -> DataFrame:
     """(row, n, other): per asker and block of pairs its links, and the edges of a forest of them."""
     spark = valid.sparkSession
-    codes = [ProductCode(dim, *FINE, seed=1), ProductCode(dim, *COARSE, seed=2)]
+    rows = valid.count()
+    words = max(WORDS, 2 ** int(np.ceil(np.log2(max(rows, 1)) / BLOCKS)))
+    codes = [ProductCode(dim, BLOCKS, words, seed) for seed in range(CODES)]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x, label = _unit(_matrix(b.column(2))), b.column(1).to_numpy()
-            (f0, s0), (f1, s1) = (c.best(x) for c in codes)
-            fine = s0 >= FINE_FROM
-            key = np.where(fine, _key(0, label, f0), _key(1, label, f1))
-            tier, score = np.where(fine, 0, 1).astype(np.int32), np.where(fine, s0, s1)
+            numbers, scores = (np.array(a) for a in zip(*(c.best(x) for c in codes)))
+            code, each = scores.argmax(axis=0), np.arange(len(x))
+            tier = np.maximum(0, scores[code, each] // LEVEL).astype(np.int64) * CODES + code
+            number = numbers[code, each]
+            key, place = _key(tier, label, number), _key(code, label, number)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(key), pa.array(tier), pa.array(score)],
-                names=["row", "label", "x", "key", "tier", "score"],
+                [*b.columns, pa.array(key), pa.array(tier.astype(np.int32)), pa.array(place)], names=["row", "label", "x", "key", "tier", "place"]
             )
 
     kind = dict(valid.dtypes)["x"]
-    given = valid.select("row", "label", "x")
-    asked = shared.stored(given.mapInArrow(ask, f"row long, label long, x {kind}, key long, tier int, score double"))
-    worst = {r["tier"]: r["s"] for r in asked.groupBy("tier").agg(F.min("score").alias("s")).collect()}
-    least = {t: threshold(s, least_cos, dim) for t, s in worst.items()}
-
-    bit = F.pmod("key", F.lit(1 << MAP_BITS))
-    words = (
-        asked.select(F.shiftright(bit, 6).alias("w"), bit.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    given = shared.stored(valid.select("row", "label", "x").repartition(-(-rows // DECODE_ROWS), "row"))
+    asked = shared.stored(given.mapInArrow(ask, f"row long, label long, x {kind}, key long, tier int, place long"))
+    tiers = sorted(r["tier"] for r in asked.select("tier").distinct().collect())  # some levels of each code
+    bars: dict[int, list[tuple[int, float]]] = {}
+    for t in tiers:
+        level, code = divmod(t, CODES)
+        bars.setdefault(code, []).append((t, threshold(level * LEVEL, least_cos, dim) if level else -1.0))
+
+    size = F.lit(1 << MAP_BITS)
+    halves = [F.pmod(c, size) if k == 0 else F.pmod(F.shiftrightunsigned(c, MAP_BITS), size) for c in ("place", "key") for k in (0, 1)]
+    probes = F.array(*(h + F.lit(k << MAP_BITS) for k, h in enumerate(halves)))
+    marks = (
+        asked.select(F.explode(probes).alias("p"))
+        .select(F.shiftright("p", 6).alias("w"), F.col("p").bitwiseAND(F.lit(63)).cast("int").alias("b"))
         .groupBy("w")
         .agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
     )
-    taken = np.zeros(1 << (MAP_BITS - 6), dtype=np.int64)
-    for r in words.collect():
+    taken = np.zeros(4 << (MAP_BITS - 6), dtype=np.int64)
+    for r in marks.collect():
         taken[r["w"]] = r["bits"]
     sent = spark.sparkContext.broadcast(taken.view(np.uint64))
 
+    def set_at(place: np.ndarray) -> np.ndarray:
+        return (sent.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+    def asked_for(hashes: np.ndarray, maps: int) -> np.ndarray:
+        """Positions of the hashes that may be some asker's, by the two maps from number ``maps`` on."""
+        low, step = np.uint64((1 << MAP_BITS) - 1), np.uint64(MAP_BITS)
+        u = hashes.view(np.uint64)
+        at = np.flatnonzero(set_at((u & low) + np.uint64(maps << MAP_BITS)))
+        return at[set_at(((u[at] >> step) & low) + np.uint64(maps + 1 << MAP_BITS))]
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         for b in batches:
             raw = b.column(2)
             x, label = _unit(_matrix(raw)), b.column(1).to_numpy()
-            products = {t: codes[t].products(x) for t in least}
             for lo in range(0, len(x), 256):
+                part = range(lo, min(lo + 256, len(x)))
                 keys, of = [], []
-                for i in range(lo, min(lo + 256, len(x))):
-                    for t in least:
-                        number = codes[t].passed(products[t], i, least[t])
-                        key = _key(t, np.full(len(number), label[i]), number)
-                        at = key.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-                        key = key[(bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
-                        keys.append(key)
-                        of.append(np.full(len(key), i))
+                for code, levels in bars.items():
+                    products = codes[code].products(x[lo : lo + 256])
+                    lowest = min(bar for _, bar in levels)
+                    for i in part:
+                        number, score = codes[code].passed(products, i - lo, lowest)
+                        some = asked_for(_key(code, label[i], number), 0)  # of any level
+                        number, score = number[some], score[some]
+                        for t, bar in levels:
+                            key = _key(t, label[i], number[score >= bar])
+                            key = key[asked_for(key, 2)]
+                            keys.append(key)
+                            of.append(np.full(len(key), i))
                 pick = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pick), pa.array(np.concatenate(keys)), raw.take(pick)], names=["row", "key", "x"]
