@@ -9,6 +9,7 @@ which sequence and place; each piece then finds its slot from its own rank withi
 from __future__ import annotations
 
 import bisect
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -18,41 +19,103 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from barwright.llm import shared
-from barwright.llm.bpe import Recent
 
 #: Words whose ids a Python worker remembers, and the longest of them.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 CACHE_CHARS = 64
+#: Texts are looked up together until they have this many characters.
+TOGETHER_CHARS = 2_000_000
+#: Characters at which Python splits words but the tokenizer doesn't; fixed values.
+NOT_SPACES = "\x1c\x1d\x1e\x1f"
 _SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+_MARKS = ".,!?"
 
 
 class WordTokenizer:
-    """A ``tokenizers`` file whose white space separates, so that ids go word by word."""
+    """A ``tokenizers`` file that lower-cases, drops white space, and never joins letters and marks.
+
+    Ids go word by word, and most words are letters with marks behind, whose ids are those of the
+    letters in lower case and those of the marks; so what the tokenizer itself must still encode is each
+    new string of letters once, many of them in one call.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._known = Recent(CACHE_WORDS)
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words not in the dictionary."""
-        found = {w: ids for w in words if (ids := self._known.recall(w)) is not None}
-        rest = [w for w in words if w not in found]
-        for w, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-            found[w] = np.array(e.ids, dtype="<u4").tobytes()
-            if len(w) <= CACHE_CHARS:
-                self._known.put(w, found[w])
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The text's ids as little-endian 32-bit numbers."""
-        words = text.translate(_SPACES).split(" ")
-        found = list(map(self._known.get, words))
-        if None in found:
-            new = self._learn(list({w for w, ids in zip(words, found) if ids is None}))
-            found = [new[w] if ids is None else ids for w, ids in zip(words, found)]
-        return b"".join(found)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> None:
+        """Puts the ids of parts, none of which holds white space, into the dictionary."""
+        for at in range(0, len(parts), 50_000):
+            some = parts[at : at + 50_000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            raw = np.array(e.ids, dtype="<u4").tobytes()
+            starts = np.array([o[0] for o in e.offsets], dtype=np.int64)
+            ends = np.cumsum([len(p) + 1 for p in some])
+            cuts = (4 * np.searchsorted(starts, ends)).tolist()
+            self.parts.update(zip(some, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+
+    def _learn(self, missing: set[str]) -> None:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        if len(self.parts) >= CACHE_WORDS:
+            self.parts.clear()
+        split, parts = [], set()
+        for word in missing:
+            letters = word.rstrip(_MARKS)
+            low = letters.lower()
+            # Python alone knows a final sigma, and two letters for one
+            if letters.isalpha() and len(low) == len(letters) and "\u03a3" not in letters:
+                marks = word[len(letters) :]
+            else:
+                low, marks = word, ""
+            split.append((word, low, marks))
+            parts.add(low)
+            if marks:
+                parts.add(marks)
+        self._encode(list(parts.difference(self.parts)))
+        get = self.parts.__getitem__
+        self.words.update((w, get(low) + get(marks) if marks else get(low)) for w, low, marks in split)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit numbers."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here refers to itself, and the collector would walk the word lists again and again
+        try:
+            return self._encode_all(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        out, held, chars = [], [], 0
+
+        def flush() -> None:
+            # one pass learns what the held texts need; a word may be forgotten only before that
+            missing = set().union(*(set(words).difference(self.words) for words in held))
+            if missing and len(self.words) + len(missing) > CACHE_WORDS:
+                self.words.clear()
+                missing = set().union(*map(set, held))
+            self._learn(missing)
+            out.extend(b"".join(map(self.words.__getitem__, words)) for words in held)
+            for w in missing:
+                if len(w) > CACHE_CHARS:
+                    del self.words[w]
+                    self.parts.pop(w, None)
+            held.clear()
+
+        for text in texts:
+            odd = any(c in text for c in NOT_SPACES)
+            held.append(text.translate(_SPACES).split(" ") if odd else text.split())
+            chars += len(text)
+            if chars > TOGETHER_CHARS:
+                flush()
+                chars = 0
+        if held:
+            flush()
+        return out
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -60,7 +123,8 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 def _tokenizer(path: str) -> WordTokenizer:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
+        t = _TOKENIZERS[path] = WordTokenizer(path)
+        shared.remembered("packing", t.words, t.parts)
     return _TOKENIZERS[path]
 
 
@@ -74,13 +138,14 @@ def pieces(
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only("packing")
         tok, part = _tokenizer(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype="<u4").tobytes()
         for b in batches:
             of, piece, start, length, crc, raw, nth = [], [], [], [], [], [], []
-            for row, text in enumerate(b.column(1)):
-                ids = tok.encode(text.as_py()) + end
+            for row, ids in enumerate(tok.encode(b.column(1).to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]
                     n = len(cut) // 4

@@ -48,12 +48,20 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
-def spread(df: DataFrame, *keys, rows_per_part: int = 500_000, total: int | None = None) -> DataFrame:
-    """Partitioned by keys into as many parts as the rows need, at least spark.sql.shuffle.partitions."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if total is not None:
-        parts = max(parts, -(-total // rows_per_part))
-    return df.repartition(parts, *keys)
+#: By operator, what this Python worker remembers for it.
+_REMEMBERED: dict[str, list] = {}
+
+
+def remembered(owner: str, *caches) -> None:
+    _REMEMBERED.setdefault(owner, []).extend(caches)
+
+
+def remember_only(owner: str) -> None:
+    """Called as a task begins: what the worker remembers for other operators is dropped."""
+    for name, caches in _REMEMBERED.items():
+        if name != owner:
+            for c in caches:
+                c.clear()
 
 
 def held_out(doc_id: str = "doc_id"):
