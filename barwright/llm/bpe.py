@@ -173,10 +173,14 @@ class Recent(dict):
     def put(self, key, value):
         if len(self) >= self.most:
             self.before = dict(self)
-            self.clear()
+            super().clear()
         self[key] = value
         return value
 
+    def clear(self) -> None:
+        super().clear()
+        self.before = {}
+
     def recall(self, key):
         value = self.before.get(key)
         return None if value is None else self.put(key, value)
@@ -228,7 +232,8 @@ _ENCODERS: dict[tuple[str, str], Encoder] = {}
 def encoder(path: str, pattern: str) -> Encoder:
     """This process's encoder for a vocabulary file that every executor has."""
     if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(Vocabulary.load(path), pattern)
+        e = _ENCODERS[path, pattern] = Encoder(Vocabulary.load(path), pattern)
+        shared.remembered("bpe", e._pieces, e._words, e.vocabulary.known_follows)
     return _ENCODERS[path, pattern]
 
 
@@ -250,6 +255,7 @@ def _encoded(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: st
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only("bpe")
         e = encoder(path, pattern)
         names = [str(k) for k in range(max(e.vocabulary.tokens) + 1)]
         for b in batches:

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from barwright.llm import learning
+from barwright.llm import learning, shared
 from barwright.llm.bpe import Recent
 
 #: Letters of the word beginnings that are terms of their own.
@@ -27,6 +27,7 @@ MIN_TEXTS = 3
 MIN_ASSOCIATION = 12.0
 _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_"
 _known = Recent(200_000)
+shared.remembered("fm", _known)
 
 
 def terms(word: str) -> tuple[int, ...]:
@@ -143,7 +144,7 @@ def score(model: dict | None, text: str, without_labels: float = 0.0) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = learning.SAMPLE_ROWS) -> dict | None:
-    return learning.fit(learning.labelled_sample(docs, labels, "toxic", bound), features, train)
+    return learning.fit(learning.labelled_sample(docs, labels, "toxic", bound), features, train, "fm")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
@@ -154,10 +155,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int =
     held out; repeated rows are scored alike; without labels the score is 0. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
-    return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut)
+    return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "fm")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
     """The documents that score below ``cut``, all columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
-    return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s < cut)
+    return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s < cut, "fm")

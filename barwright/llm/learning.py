@@ -34,13 +34,14 @@ def labelled_sample(
     return rows.join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("t").alias("t")).select("t", "y")
 
 
-def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callable) -> object:
+def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callable, owner: str) -> object:
     """The model that ``train(list of feature arrays, labels)`` returns; None without any row.
 
     Features are computed where the texts are; only they meet in one task, and the sample bounds them.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only(owner)
         for b in batches:
             found = [features(t.as_py()).tobytes() for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["f", "y"])
@@ -60,11 +61,12 @@ def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callabl
     return pickle.loads(got[0]["m"]) if got else None
 
 
-def scored(docs: DataFrame, score: Callable[[str], float], id_col: str, text_col: str, cut: float) -> DataFrame:
+def scored(docs: DataFrame, score: Callable[[str], float], id_col: str, text_col: str, cut: float, owner: str) -> DataFrame:
     """Per row: id, held_out, score, predicted (1 from ``cut`` on). Null texts score like empty ones."""
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only(owner)
         for b in batches:
             s = [float(score(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], names=["id", "score"])
@@ -79,12 +81,13 @@ def scored(docs: DataFrame, score: Callable[[str], float], id_col: str, text_col
     )
 
 
-def kept_where(docs: DataFrame, score: Callable[[str], float], text_col: str, keep: Callable[[float], bool]) -> DataFrame:
+def kept_where(docs: DataFrame, score: Callable[[str], float], text_col: str, keep: Callable[[float], bool], owner: str) -> DataFrame:
     """The rows of docs, all columns as they are, whose text's score is to be kept."""
     shared.small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def good(texts):
+        shared.remember_only(owner)
         return texts.map(lambda t: keep(score(t)))
 
     return docs.where(good(F.coalesce(F.col(text_col), F.lit(""))))

@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from barwright.llm import learning
+from barwright.llm import learning, shared
 from barwright.llm.bpe import Recent
 
 SHAPE_GRAMS = 4
@@ -26,6 +26,7 @@ _SHAPES = (
     (re.compile(r"([^\w\s])\1+"), lambda m: m[1] + "+"),
 )
 _known = Recent(200_000)
+shared.remembered("nbsvm", _known)
 _REPEAT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -133,7 +134,7 @@ def score(model: dict | None, text: str, without_labels: float = 1.0) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = learning.SAMPLE_ROWS) -> dict | None:
-    return learning.fit(learning.labelled_sample(docs, labels, "quality", bound), features, train)
+    return learning.fit(learning.labelled_sample(docs, labels, "quality", bound), features, train, "nbsvm")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
@@ -144,10 +145,10 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int =
     held out; repeated rows are scored alike; without labels the score is 1. Other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
-    return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut)
+    return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "nbsvm")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
     """The documents that score at least ``cut``, all columns as they are."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
-    return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s >= cut)
+    return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s >= cut, "nbsvm")
