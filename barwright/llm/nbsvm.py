@@ -35,7 +35,7 @@ def _word(word: str) -> int:
     """Hashes of a word's shape (upper 32 bits) and of the word in lower case (lower 32 bits)."""
     code = _known.recall(word)
     if code is None:
-        shape = word[:200]
+        shape = word
         for pattern, to in _SHAPES:
             shape = pattern.sub(to, shape)
         code = zlib.crc32(shape.encode()) << 32 | zlib.crc32(word.lower().encode())

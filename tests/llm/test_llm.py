@@ -228,6 +228,14 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def test_nbsvm_sees_all_of_a_long_word():
+    word = "a" * 200 + "1=&%" * 12_000
+    assert nbsvm._word(word) >> 32 != nbsvm._word("a" * 200) >> 32
+    assert set(nbsvm.features(word)) != set(nbsvm.features("a" * 200))
+    shapes = {nbsvm._word("a" * 200 + end) >> 32 for end in ("", "1", "_", "!!", "a?")}
+    assert len(shapes) == 5
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 16))
