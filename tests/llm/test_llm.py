@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barwright.llm import bpe, capfilter, chat, fm, nbsvm, packing, shardtree, shared, simhash, topk, warc
+from barwright.llm import bpe, capfilter, chat, fm, nbsvm, nearcopies, packing, shardtree, shared, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -372,6 +372,45 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def word_sets(texts):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    return out
+
+
+def test_pipeline_leaves_no_near_copy(spark):
+    docs = shared.table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, shared.stored(stage(spark, docs, SF))
+    rows = before.select("doc_id", "text").collect()
+    sets = word_sets(r["text"] for r in rows)
+    comp = least_reachable([r["doc_id"] for r in rows], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    left = {r["doc_id"] for r in docs.collect()}
+    assert left == set(comp.values()) and len(left) < len(rows)
+
+
+def test_near_copies_are_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(30, 90))]
+        for _ in range(rng.randrange(1, 25)):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(5000)}"
+            rows.append((len(rows) if rng.random() < 0.9 else None, " ".join(words)))
+    rows += [(3, "another text under a known id"), (None, None), (900, ""), (None, "a b"), (None, "a  B"), *rows[:5]]
+    sets = word_sets(t for _, t in rows)
+    comp = least_reachable(list(range(len(rows))), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {}
+    for k, (i, t) in enumerate(rows):
+        groups.setdefault(comp[k], []).append((i is None, i))
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((a, b or 0) for a, b in map(min, ([(n, i or 0) for n, i in g] for g in groups.values())))
+
+
 def test_pipeline_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
