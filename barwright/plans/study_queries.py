@@ -170,8 +170,8 @@ def stream_book_means(spark, sf_dir):
 
 @query()
 def stream_pivot(spark, sf_dir):
-    """I9 batches of long rows as wide buckets; the last batch of a bucket has its last values."""
+    """I9 long rows accumulated by day as wide buckets on the day's grid, carried forward; one row per bucket."""
     s, room = _stream(spark, sf_dir)
     long = s.withColumn("clgroup", F.when(F.col("user_id") % 2 == 0, "FIZ").otherwise("YUR"))
     sb.pivot_each_batch(long, "clgroup", ["FIZ", "YUR"], "price", "1 hour", f"{room}/out", f"{room}/log")
-    return spark.read.parquet(f"{room}/out")
+    return spark.read.parquet(f"{room}/out/days").drop("day")

@@ -134,11 +134,33 @@ def enrich_each_batch(stream: DataFrame, latest: DataFrame, keys: list[str], val
 
 
 def pivot_each_batch(stream: DataFrame, group: str, groups: list[str], value: str, every: str, target: str, checkpoint: str) -> None:
-    """Each batch of long rows as wide buckets, one column per group."""
+    """Long rows accumulated day by day as wide buckets, one column per group: one row per bucket on each
+    day's grid from its first to its last bucket, values carried forward within the day.
+
+    Each batch stores its last value per bucket and group, then writes the days that it touches anew from
+    all that is stored of them. ``target``/days is the table, ``target``/parts what is stored.
+    """
+    from barwright.operators import windows as wn
     from barwright.operators.daily import pivot_last
 
+    day, columns = F.to_date("bucket").alias("day"), [*groups, "total"]
+
     def put(batch: DataFrame, batch_id: int) -> None:
-        wide = pivot_last(batch.withColumn("bucket", F.window("ts", every)["start"]), ["bucket"], group, groups, value, F.col("ts"))
-        wide.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        spark = batch.sparkSession
+        last = batch.select(F.window("ts", every)["start"].alias("bucket"), F.col(group).alias("_g"), F.col("ts").alias("_at"), F.col(value).alias("_v"))
+        last = last.groupBy("bucket", "_g").agg(F.max_by("_v", "_at").alias("_v"), F.max("_at").alias("_at")).select("*", day)
+        # a batch that is run again replaces its own rows
+        mine = f"{target}/parts/batch={batch_id}"
+        last.write.mode("overwrite").partitionBy("day").parquet(mine)
+        kinds = last.schema
+        parts = spark.read.schema(kinds).parquet(f"{target}/parts")
+        days = spark.read.schema(kinds).parquet(mine).select("day").distinct()
+        parts = parts.join(F.broadcast(days), "day", "left_semi")
+        wide = pivot_last(parts, ["day", "bucket"], "_g", groups, "_v", F.col("_at"))
+        spans = wide.groupBy("day").agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
+        grid = spans.select("day", F.explode(F.expr(f"sequence(_a, _b, interval {every})")).alias("bucket"))
+        full = grid.join(wide, ["day", "bucket"], "left")
+        full = full.select("day", "bucket", *(wn.forward_fill(c, "day", "bucket").alias(c) for c in columns))
+        full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{target}/days")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -213,6 +213,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_pivot_equals_batch(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1, 9)
+    at = lambda d, m: t0 + dt.timedelta(days=d, minutes=m)
+    rows = [(at(0, 1), "FIZ", 1.0), (at(0, 2), "YUR", -2.0), (at(0, 3), "FIZ", 3.0), (at(0, 17), "YUR", 4.0), (at(0, 18), "FIZ", None), (at(1, 2), "YUR", 5.0), (at(1, 3), "YUR", 6.0), (at(0, 4), "YUR", 7.0)]
+    schema = "ts timestamp_ntz, clgroup string, pos double"
+    for part in (rows[:2], rows[2:3], rows[3:6], rows[6:]):
+        frame(spark, part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = sb.tick_stream(spark, str(tmp_path / "in"), frame(spark, [], schema).schema)
+    sb.pivot_each_batch(s, "clgroup", ["FIZ", "YUR"], "pos", "5 minutes", str(tmp_path / "out"), str(tmp_path / "log"))
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "days")).select("bucket", "FIZ", "YUR", "total").collect()))
+    whole = frame(spark, rows, schema).withColumn("bucket", F.window("ts", "5 minutes")["start"])
+    wide = daily.pivot_last(whole, ["bucket"], "clgroup", ["FIZ", "YUR"], "pos", F.col("ts")).toPandas().set_index("bucket")
+    want = []
+    for _, d in wide.groupby(wide.index.date):
+        d = d.sort_index()
+        d = d.reindex(pd.date_range(d.index.min(), d.index.max(), freq="5min")).ffill()
+        want += [(k.to_pydatetime(), *(None if pd.isna(x) else x for x in r)) for k, r in zip(d.index, d[["FIZ", "YUR", "total"]].values.tolist())]
+    assert got == sorted(want) and len(got) == 5 and got[0][1:] == (3.0, 7.0, 10.0)
+
+
 def test_stateful_positions_equal_batch(spark, tmp_path):
     rng = random.Random(5)
     t0 = dt.datetime(2024, 1, 1)
