@@ -137,6 +137,15 @@ def expected_bars(spark, sf_dir):
     return s.select(F.explode(ends).alias("expected_end"), "trade_date")
 
 
+@query(sql("sessions", """, d as (select cast(trade_date as timestamp) as d from sessions)
+    select cast(unnest(generate_series(d + interval '10 hours 5 minutes', d + interval '14 hours', interval 5 minute)) as timestamp) as expected_end, cast(d as date) as trade_date from d"""))
+def expected_bars_calendar(spark, sf_dir):
+    """J7 the bars that a calendar expects, for every session."""
+    s = views.sessions(spark, sf_dir).withColumn("d", F.col("trade_date").cast("timestamp_ntz"))
+    ends = F.expr("sequence(d + interval 10 hours 5 minutes, d + interval 14 hours, interval 5 minutes)")
+    return s.select(F.explode(ends).alias("expected_end"), "trade_date")
+
+
 @query("""select n_nationkey as k from nation intersect select c_nationkey from customer union select r_regionkey + 100 from region except select 101""")
 def set_operations(spark, sf_dir):
     """J2, J3 set operations."""

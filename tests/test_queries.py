@@ -50,3 +50,11 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLES)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).columns
+
+
+def test_every_session_is_expanded(spark):
+    from barwright.sources import views
+
+    want = {(r["trade_date"], 48) for r in views.sessions(spark, SF).collect()}
+    got = plans.QUERIES["expected_bars_calendar"](spark, SF).groupBy("trade_date").count().collect()
+    assert set(map(tuple, got)) == want and len({d.year for d, _ in want}) > 1
