@@ -3,9 +3,10 @@
 A text's terms are its words in lower case without outer punctuation, and the words' first letters (so
 that inflected forms share a term). The machine scores w0 + sum w_i + sum over pairs <v_i, v_j> over the
 terms present: the linear weights find words that are enough on their own, the factors find pairs, such
-as an insult with a group's mention, that are worse together than apart. Linear weights are learnt by
-follow-the-regularised-leader steps with an L1 penalty, so most terms have none; factors are kept only
-for terms that have a linear weight, as in sparsity-adaptive machines, and learnt by AdaGrad.
+as an insult with a group's mention, that are worse together than apart. A term takes part if it goes
+with the label alone, or if some pair that it is in does beyond what its two terms do by themselves; so
+a pair of words that each say nothing is learnt too. All terms that take part have factors. Linear
+weights are learnt by follow-the-regularised-leader steps with an L1 penalty, factors by AdaGrad.
 """
 
 from __future__ import annotations
@@ -21,10 +22,18 @@ from barwright.llm.bpe import Recent
 #: Letters of the word beginnings that are terms of their own.
 PREFIXES = (4, 5)
 FACTORS = 4
-FOLDS = 4
+FOLDS = 3
+#: Rounds of linear weights alone, and the round from which factors that don't pay for themselves are shrunk.
+ALONE, SHRINK_FROM = 2, 4
 MIN_TEXTS = 3
-#: Least chi-square of a term's presence against the label for the machine to use the term.
+#: Least chi-square of a term's presence against the label for the term to take part on its own.
 MIN_ASSOCIATION = 12.0
+#: Terms, the most frequent ones, whose pairs are looked at; and how many deviations a pair's own part
+#: must lie from zero for its terms to take part (of two million pairs one exceeds 6 by chance in 250 fits).
+PAIR_TERMS = 2048
+MIN_PAIR_Z = 6.0
+#: Texts whose pairs are counted in one product of matrices.
+_ROWS = 1024
 _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_"
 _known = Recent(200_000)
 shared.remembered("fm", _known)
@@ -69,37 +78,92 @@ def telling_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return ids[(chi >= MIN_ASSOCIATION) & (counts >= min(MIN_TEXTS, n))]
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, rounds: int = 6, rate: float = 0.3, l1: float = 0.3, l2: float = 1e-3) -> dict:
-    """Term ids (sorted), weights and factors that minimise the logistic loss."""
-    ids = telling_terms(rows, y)
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, most: int = PAIR_TERMS, least_z: float = MIN_PAIR_Z) -> np.ndarray:
+    """The terms, sorted, of pairs whose presence together goes with the label beyond the terms' own parts.
+
+    Of a pair, texts fall into four cells: both terms, either, neither. The pair's own part is the share
+    of label 1 with both and with neither, less that with either; it is 0 where the terms add up. Texts
+    with the same terms count once, so copies don't make a pair look certain. Pairs are counted among the
+    ``most`` most frequent terms.
+    """
+    alike = {r.tobytes(): k for k, r in enumerate(rows)}
+    rows, y = [rows[k] for k in alike.values()], y[list(alike.values())]
+    ids, counts = np.unique(np.concatenate(rows), return_counts=True)
+    n, n1 = len(rows), float(y.sum())
+    usable = np.flatnonzero(counts >= MIN_TEXTS)
+    ids = np.sort(ids[usable[np.argsort(-counts[usable], kind="stable")[:most]]])
+    if len(ids) < 2:
+        return ids[:0]
+    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    ones = np.zeros_like(both)
+    for at in range(0, n, _ROWS):
+        part = rows[at : at + _ROWS]
+        x = np.zeros((len(part), len(ids)), dtype=np.float32)
+        for k, r in enumerate(part):
+            x[k, np.flatnonzero(np.isin(ids, r, assume_unique=True))] = 1
+        toxic = x[y[at : at + _ROWS] == 1]
+        both += x.T @ x
+        ones += toxic.T @ toxic
+    c, c1 = np.diag(both).copy(), np.diag(ones).copy()
+    found = np.zeros(len(ids), dtype=bool)
+    for at in range(0, len(ids), 256):
+        n11, t11 = both[at : at + 256], ones[at : at + 256]
+        i, i1 = c[at : at + 256, None], c1[at : at + 256, None]
+        cells = [(n11, t11, 1), (i - n11, i1 - t11, -1), (c - n11, c1 - t11, -1), (n - i - c + n11, n1 - i1 - c1 + t11, 1)]
+        own, spread = np.zeros(n11.shape), np.zeros(n11.shape)
+        for m, t, sign in cells:
+            p = (t + 0.5) / (m + 1.0)
+            own += sign * p
+            spread += p * (1 - p) / (m + 1.0)
+        enough = np.minimum.reduce([m for m, _, _ in cells]) >= MIN_TEXTS
+        found |= ((np.abs(own) >= least_z * np.sqrt(spread)) & enough).any(axis=0)
+    return ids[found]
+
+
+def descend(
+    rows: list[np.ndarray], y: np.ndarray, rounds: int = 7, rate: float = 0.3, l1: float = 0.3, l2: float = 1e-3, group: float = 0.3
+) -> dict:
+    """Term ids (sorted), weights and factors that minimise the logistic loss.
+
+    The linear weights go first, so that factors learn what these leave over; terms whose factors don't
+    pay for themselves end without any.
+    """
+    ids = np.union1d(telling_terms(rows, y), paired_terms(rows, y))
     place = [np.flatnonzero(np.isin(ids, r, assume_unique=True)) for r in rows]
     rng = np.random.default_rng(5)
     z, n = np.zeros(len(ids)), np.zeros(len(ids))
     w = np.zeros(len(ids))
     v = rng.normal(0, 0.01, (len(ids), FACTORS))
-    nv = np.full((len(ids), FACTORS), 1e-4)
+    nv = np.full((len(ids), FACTORS), 0.1)
     w0, n0 = 0.0, 1.0
-    for _ in range(rounds):
+    for at in range(rounds):
+        alone, shrink = at < ALONE, group if at >= SHRINK_FROM else 0.0
         for k in rng.permutation(len(rows)):
             r = place[k]
-            active = r[w[r] != 0]
-            va = v[active]
-            g = learning.sigmoid(_margin(w0, w[active], va)) - y[k]
-            if abs(g) < 1e-4:
+            vr = v[r]
+            g = learning.sigmoid(_margin(w0, w[r], vr)) - y[k]
+            if abs(g) < 1e-3:
                 continue
             n0 += g * g
             w0 -= rate * g / np.sqrt(n0)
+            if not len(r):
+                continue
             old = n[r]
             new = old + g * g
             z[r] += g - (np.sqrt(new) - np.sqrt(old)) / rate * w[r]
             n[r] = new
             zr = z[r]
             w[r] = np.where(np.abs(zr) <= l1, 0.0, -(zr - np.sign(zr) * l1) / (np.sqrt(new) / rate + l2))
-            if len(active):
-                gv = g * (va.sum(axis=0) - va) + l2 * va
-                nv[active] += gv * gv
-                v[active] -= 0.1 * gv / np.sqrt(nv[active])
-    used = w != 0
+            if alone:
+                continue
+            gv = g * (vr.sum(axis=0) - vr) + l2 * vr
+            nv[r] += gv * gv
+            step = 0.1 / np.sqrt(nv[r])
+            moved = vr - step * gv
+            # all factors of a term shrink together, so those that don't pay for themselves vanish
+            size = np.sqrt((moved * moved).sum(axis=1, keepdims=True)) + 1e-12
+            v[r] = moved * np.maximum(0.0, 1 - shrink * step.mean(axis=1, keepdims=True) / size)
+    used = (w != 0) | (v != 0).any(axis=1)
     return {"ids": ids[used], "w": w[used], "v": v[used], "w0": w0}
 
 
@@ -151,14 +215,19 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int =
     """Per row of docs: doc_id, held_out, score (0 to 1, the chance of being toxic), predicted.
 
     The machine is fitted on at most ``bound`` labelled documents that are not held out; every whole text
-    is scored. Null and empty texts get the score of a text without terms; null ids are scored and not
-    held out; repeated rows are scored alike; without labels the score is 0. Other columns are ignored.
+    is scored, however long. Null and empty texts get the score of a text without terms; null ids are
+    scored and not held out; repeated rows are scored alike; without labels the score is 0, with labels of
+    one class that class. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
     return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "fm")
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
-    """The documents that score below ``cut``, all columns as they are."""
+    """The documents that score below ``cut``, all columns as they are.
+
+    Null and empty texts score like texts without terms; rows without an id and repeated rows are judged
+    by their text like any other; columns may have any names. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
     return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s < cut, "fm")

@@ -7,12 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from barwright.llm import shared
 
 #: Labelled documents that a model is fitted on, at most; those of least hash of their id.
 SAMPLE_ROWS = 20_000
+#: UTF-8 bytes of a sample's texts together, and of the longest text that is learnt from: what the one
+#: task that fits a model holds is bounded by bytes, not only by rows.
+SAMPLE_BYTES, LONGEST_BYTES = 96 << 20, 1 << 20
 
 
 def labelled_sample(
@@ -21,17 +24,23 @@ def labelled_sample(
     """(t, y): at most ``bound`` texts that have a label and aren't held out.
 
     A document labelled more than once counts with its greatest label; one that stands there more than
-    once counts with its least text. The ids are bounded, so they are broadcast to the documents.
+    once counts with its least text. Texts beyond LONGEST_BYTES are scored but not learnt from; the
+    sample ends where its texts reach SAMPLE_BYTES. The ids are bounded, so they are broadcast.
     """
+    order = [F.xxhash64("_id"), "_id"]
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~shared.held_out(id_col))
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.max(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("_id"), "_id")
+        .orderBy(*order)
         .limit(bound)
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return rows.join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("t").alias("t")).select("t", "y")
+    some = rows.where(F.octet_length("t") <= LONGEST_BYTES).join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("t").alias("t"))
+    some = shared.stored(some)
+    so_far = F.sum(F.octet_length("t")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    within = some.select("_id", so_far.alias("_sum")).where(F.col("_sum") <= SAMPLE_BYTES).select("_id")
+    return some.join(F.broadcast(within), "_id", "left_semi").select("t", "y")
 
 
 def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callable, owner: str) -> object:

@@ -141,14 +141,19 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int =
     """Per row of docs: doc_id, held_out, score (0 to 1, the chance of quality 1), predicted.
 
     The model is fitted on at most ``bound`` labelled documents that are not held out; every whole text
-    is scored. Null and empty texts get the score of a text without words; null ids are scored and not
-    held out; repeated rows are scored alike; without labels the score is 1. Other columns are ignored.
+    is scored, however long. Null and empty texts get the score of a text without words; null ids are
+    scored and not held out; repeated rows are scored alike; without labels the score is 1, with labels of
+    one class that class. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
     return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "nbsvm")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
-    """The documents that score at least ``cut``, all columns as they are."""
+    """The documents that score at least ``cut``, all columns as they are.
+
+    Null and empty texts score like texts without words; rows without an id and repeated rows are judged
+    by their text like any other; columns may have any names. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
     return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s >= cut, "nbsvm")

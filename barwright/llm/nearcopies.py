@@ -1,4 +1,8 @@
-"""Near copies by what they say: texts whose sets of word shingles have a Jaccard similarity of LEAST_TENTHS or more.
+"""The part of the SimHash stage that fingerprints can't do: texts whose sets of five-word shingles have a
+Jaccard similarity of LEAST_TENTHS or more.
+
+At that similarity fingerprints of 64 bits differ in some ten bits, give or take three; to search that far
+an index of masked blocks would need thousands of masks. So pairs are proposed by MinHash here.
 
 Texts with the same set are one node. Nodes that share a band of MinHash values are candidates, and a
 pair counts only after its whole sets were compared. So that a large group of copies costs its size and
@@ -9,7 +13,7 @@ text is cut. Two texts at the least similarity share no band in three of a milli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,25 +65,27 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 10 * both >= LEAST_TENTHS * (len(a) + len(b) - both)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, text's hash, node (the hash of its set), size, the set, its bands."""
+def sets(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[bytes], int]) -> DataFrame:
+    """Per row: id, the text's fingerprint, node (the hash of its set), size, the set, its bands."""
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
-                found = [shingles(t.as_py()) for t in part.column(2)]
+                texts = [t.as_py() for t in part.column(1)]
+                fps = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+                found = [shingles(t) for t in texts]
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(node), pa.array([len(h) for h in found], pa.int64()),
+                    [part.column(0), pa.array(fps), pa.array(node), pa.array([len(h) for h in found], pa.int64()),
                      pa.array([h.tobytes() for h in found], pa.binary()), pa.array([bands(h) for h in found], pa.list_(pa.int64()))],
-                    names=["id", "said", "node", "size", "held", "bands"],
+                    names=["id", "fp", "node", "size", "held", "bands"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    given = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("said"), shared.text_bytes(text_col).alias("t"))
-    return given.mapInArrow(run, f"id {kind}, said long, node long, size long, held binary, bands array<long>")
+    given = docs.select(F.col(id_col).alias("id"), shared.text_bytes(text_col).alias("t"))
+    return given.mapInArrow(run, f"id {kind}, fp long, node long, size long, held binary, bands array<long>")
 
 
 def _alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,19 +142,3 @@ def _grown(edges: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> tuple[
     new = shared.stored(_alike_pairs(pairs, sets))
     edges = new if edges is None else edges.unionByName(new)
     return edges, shared.stored(shared.components(edges))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the least id, then text hash; rows without an id come last.
-
-    Null and empty texts have the set of a text without words, and are copies of one another.
-    """
-    rows = shared.stored(_sets(docs, id_col, text_col))
-    sets = rows.select("node", "size", "held", "bands").dropDuplicates(["node"])
-    sets = shared.stored(sets)
-    named = rows.select("id", "said", "node").join(components(sets), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "said")).alias("l"))
-    kept = least.select(F.col("l.id").alias("_kept"), F.col("l.said").alias("_said")).distinct()
-    said = docs.withColumn("_text_hash", F.xxhash64(text_col))
-    same = said[id_col].eqNullSafe(kept["_kept"]) & (said["_text_hash"] == kept["_said"])
-    return said.join(kept, same, "left_semi").dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")

@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch that holds whole texts; 1,000 texts of 100 KB are 100 MB.
-TEXT_BATCH_ROWS = "1000"
+#: Rows and bytes of one Arrow batch that holds whole texts, at most (one text beyond that is a batch).
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = "1000", str(64 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder named by spark.checkpoint.dir.
 
-    Where the cluster names none (tests on one machine), a temporary folder is made and named.
+    Where none is named, a local master's only machine shares its own temporary folder with all of its
+    threads, so one is made there; with any other master that would be another folder on every machine,
+    and it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barwright-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/barwright-{uuid.uuid4().hex}"
@@ -39,8 +43,12 @@ def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small enough for a Python worker."""
+    """Keeps Arrow batches of whole texts small enough for a Python worker.
+
+    The options hold for the session, since they are read when a query runs, after an operator returned.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)
 
 
 def text_bytes(column: str = "text"):

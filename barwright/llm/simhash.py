@@ -28,6 +28,8 @@ BLOCKS = 6
 FANOUT = 8
 _ONE = np.uint64(1)
 _CHUNK = 1 << 16
+#: Rows below upper nodes that a task gathers before it links them.
+HELD = 1 << 20
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -192,29 +194,38 @@ def link(distinct: DataFrame, apart: int = MAX_BITS, blocks: int = BLOCKS) -> Da
     """Edges (u, v) between distinct fingerprints (column fp) whose components are those of all links.
 
     Each fingerprint goes to one upper node per mask. Below an upper node at most 2^22 different
-    fingerprints can stand (its free bits), so a task's arrays are bounded however many rows there are.
+    fingerprints can stand (its free bits), and a task takes its upper nodes in order, some HELD rows or
+    one node at a time; so its arrays are bounded however many rows there are.
     """
     masks = F.array(*(F.lit(m) for m in block_masks(blocks, apart)))
     dealt = distinct.select("fp", F.posexplode(masks).alias("k", "m")).select(
         F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("node"), "fp"
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, fps = [], []
-        for b in batches:
-            nodes.append(b.column(0).to_numpy())
-            fps.append(b.column(1).to_numpy())
-        if not nodes:
-            return
-        node, fp = np.concatenate(nodes), np.concatenate(fps).view(np.uint64)
-        order = np.argsort(node, kind="stable")
-        node, fp = node[order], fp[order]
+    def linked(node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         same = node[1:] == node[:-1]
         shared_ = np.r_[same, False] | np.r_[False, same]
         u, v = forest(node[shared_], fp[shared_], apart)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)))
+            rows += b.num_rows
+            if rows < HELD:
+                continue
+            node, fp = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(node, node[-1]))  # the last node may go on in the next batch
+            if cut:
+                yield linked(node[:cut], fp[:cut])
+            held, rows = [(node[cut:], fp[cut:])], len(node) - cut
+        if rows:
+            yield linked(*(np.concatenate(x) for x in zip(*held)))
 
-    return dealt.repartition(F.col("node")).mapInArrow(run, "u long, v long")
+    return dealt.repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(
@@ -241,12 +252,45 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the least id. Repeated rows with that id: one.
-
-    Documents without an id stay, as nothing names them.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, apart: int = MAX_BITS, similar: bool = False
+) -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the least id, then text hash.
+
+    Groups are the components of fingerprint links; with ``similar`` also of texts whose sets of five-word
+    shingles have a Jaccard similarity of 0.8 or more, which mostly lie further apart than a fingerprint
+    index can search (see nearcopies). A row is told by its id and text: where one id stands on different
+    texts, each text is judged by itself; rows without an id are judged too, and come last in their group.
+    Rows that repeat both id and text are one, the one whose columns hash least. Null and empty texts are
+    copies of one another. All columns stay as they are, whatever their names; an empty table stays empty.
     """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    single = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return single.unionByName(docs.where(F.col(id_col).isNull()))
+    from barwright.llm import nearcopies
+
+    key = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("said"))
+    keyed = docs.select(key.alias("key"), F.col(text_col).alias("t"))
+    if similar:
+        rows = shared.stored(nearcopies.sets(keyed, "key", "t", lambda t: fingerprint(t, width)))
+    else:
+        rows = shared.stored(fingerprints(keyed, "key", "t", width).withColumn("node", F.col("fp")))
+    both = shared.stored(rows.select("fp", "node").distinct())
+    least = both.groupBy("fp").agg(F.min("node").alias("rep"))
+    edges = both.join(least, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    near = link(least.select("fp"), apart)
+    u, v = (least.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep")) for c in "uv")
+    edges = edges.unionByName(near.join(u, "u").join(v, "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")))
+    if similar:
+        alike = nearcopies.components(shared.stored(rows.select("node", "size", "held", "bands").dropDuplicates(["node"])))
+        edges = edges.unionByName(alike.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    named = rows.select("id", "node").join(shared.components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = named.groupBy("root").agg(F.min("id").alias("k")).select(*_key_hashes("k")).distinct()
+    content = F.xxhash64(*(f"`{c}`" for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+    rows = docs.select(key.alias("k"), content.alias("content"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    # copies of a row collapse before they are shuffled; the join then finds both sides where they are
+    single = rows.select(*_key_hashes("k"), "content", "row").groupBy("h1", "h2").agg(F.min_by("row", "content").alias("row"))
+    return single.join(kept, ["h1", "h2"], "left_semi").select("row.*")
+
+
+def _key_hashes(key: str) -> tuple:
+    """128 bits that stand for a key."""
+    parts = [f"{key}.no", f"{key}.id", f"{key}.said"]
+    return F.xxhash64(*parts).alias("h1"), F.xxhash64(*parts[::-1], F.lit(1)).alias("h2")

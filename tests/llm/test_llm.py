@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barwright.llm import bpe, capfilter, chat, fm, nbsvm, nearcopies, packing, shardtree, shared, simhash, topk, warc
+from barwright.llm import bpe, capfilter, chat, fm, learning, nbsvm, packing, shardtree, shared, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -236,6 +236,61 @@ def test_nbsvm_sees_all_of_a_long_word():
     assert len(shapes) == 5
 
 
+def test_pairs_without_marginals_are_learnt():
+    """Texts are toxic where two words stand both or neither: each word alone says nothing."""
+    rng, rows, y = random.Random(1), [], []
+    for _ in range(4000):
+        words = [w for w in "the of and stone river cloud walk green ash bend cart dune elm fog gate hill".split() if rng.random() < 0.4]
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(fm.features(" ".join([*words, *["alpha"] * a, *["beta"] * b])))
+        y.append(float(a == b))
+    y = np.array(y)
+    model = fm.descend(rows[:3000], y[:3000])
+    at = [np.flatnonzero(np.isin(model["ids"], r, assume_unique=True)) for r in rows[3000:]]
+    assert np.mean([(fm.margin(model, k) > 0) == z for k, z in zip(at, y[3000:])]) > 0.99
+    linear = {**model, "v": np.zeros_like(model["v"])}
+    assert np.mean([(fm.margin(linear, k) > 0) == z for k, z in zip(at, y[3000:])]) < 0.8
+    assert not len(fm.telling_terms(rows[:3000], y[:3000])) and set(fm.terms("alpha")) <= set(fm.paired_terms(rows[:3000], y[:3000]))
+
+
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    w, v = rng.normal(size=7), rng.normal(size=(7, 4))
+    pairs = sum(v[i] @ v[j] for i in range(7) for j in range(i))
+    assert abs(fm._margin(0.3, w, v) - (0.3 + w.sum() + pairs)) < 1e-9
+
+
+def test_dual_descent_closes_the_gap():
+    """The weights' primal loss meets the dual's bound, so they are the minimum of the hinge loss."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(200)]
+    y = np.array([int((r < 15).sum() > (r >= 25).sum()) for r in rows])
+    ratio, c = nbsvm.log_count_ratios(rows, y, 40), 0.1
+    w = nbsvm.dual_descent(rows, y, ratio, c, rounds=2000)
+    x = np.zeros((200, 40))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r]
+    u = np.divide(w, ratio, out=np.zeros(40), where=ratio != 0)  # weights of the scaled indicators
+    sign = np.where(y == 1, 1.0, -1.0)
+    loss = lambda u: 0.5 * u @ u + c * np.maximum(0, 1 - sign * (x @ u)).sum()
+    slow = np.zeros(40)
+    best = np.inf
+    for t in range(1, 20_000):  # plain subgradient steps
+        slow -= (slow - c * ((sign * (x @ slow) < 1) * sign) @ x) / (1 + t)
+        best = min(best, loss(slow))
+    assert loss(u) <= best * 1.001  # the descent stops at violations below 0.01
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    docs, labels = labelled(spark, 200)
+    docs = docs.unionByName(spark.createDataFrame([(500, "x" * 5000)], docs.schema))
+    labels = labels.unionByName(spark.createDataFrame([(500, 1, 0)], labels.schema))
+    monkeypatch.setattr(learning, "SAMPLE_BYTES", 10_000)
+    monkeypatch.setattr(learning, "LONGEST_BYTES", 4000)
+    texts = [r["t"] for r in learning.labelled_sample(docs, labels, "quality").collect()]
+    assert 0 < sum(map(len, texts)) <= 10_000 and max(map(len, texts)) <= 4000
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 16))
@@ -363,15 +418,29 @@ def test_pipeline_stages(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = shared.stored(stage(spark, docs, SF))
         assert kept.columns == columns and kept.exceptAll(docs).count() == 0 and 0 < kept.count() <= docs.count()
-        if name == "near_dedup":
-            fps = [(r["doc_id"], slow_fingerprint(r["text"])) for r in docs.collect()]
-            comp = least_reachable([i for i, _ in fps], lambda i, j: (fps[i][1] ^ fps[j][1]).bit_count() <= 2)
+        if name == "near_dedup":  # by all pairs: two bits of fingerprint, or 0.8 of five-word shingles
+            rows = docs.select("doc_id", "text").collect()
+            fps, sets = [slow_fingerprint(r["text"]) for r in rows], word_sets(r["text"] for r in rows)
+            near = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2 or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            comp = least_reachable([r["doc_id"] for r in rows], near)
             assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp.values()))
         docs = kept
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in last.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_keep_one_goes_by_id_and_text(spark):
+    copies = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, "alpha beta gamma delta", 1), (1, "completely other words here", 1), (2, copies, 5), (3, copies, 6), (2, copies, 4), (2, copies, 5), (None, copies, 7), (None, "lone text", 8), (None, None, 9), (7, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("k", F.lit("clash")).withColumn("h1", F.create_map(F.lit(1), F.lit(2)))
+    for similar in (False, True):
+        got = simhash.keep_one(df, similar=similar)
+        assert got.columns == df.columns
+        kept = got.select("doc_id", "text").collect()
+        assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, "alpha beta gamma delta"), (1, "completely other words here"), (2, copies), (None, "lone text"), (7, "")]))
+        assert simhash.keep_one(df.limit(0), similar=similar).count() == 0
+
+
 def word_sets(texts):
     out = []
     for t in texts:
@@ -380,17 +449,6 @@ def word_sets(texts):
     return out
 
 
-def test_pipeline_leaves_no_near_copy(spark):
-    docs = shared.table(spark, SF, "documents")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, docs = docs, shared.stored(stage(spark, docs, SF))
-    rows = before.select("doc_id", "text").collect()
-    sets = word_sets(r["text"] for r in rows)
-    comp = least_reachable([r["doc_id"] for r in rows], lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    left = {r["doc_id"] for r in docs.collect()}
-    assert left == set(comp.values()) and len(left) < len(rows)
-
-
 def test_near_copies_are_all_pairs(spark):
     rng = random.Random(5)
     rows = []
@@ -404,7 +462,7 @@ def test_near_copies_are_all_pairs(spark):
     rows += [(3, "another text under a known id"), (None, None), (900, ""), (None, "a b"), (None, "a  B"), *rows[:5]]
     sets = word_sets(t for _, t in rows)
     comp = least_reachable(list(range(len(rows))), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    got = nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), similar=True).collect()
     groups = {}
     for k, (i, t) in enumerate(rows):
         groups.setdefault(comp[k], []).append((i is None, i))
