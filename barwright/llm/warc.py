@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from barwright.llm import shared
 
 #: One read spans at most this many bytes (or one record), bridging gaps up to READ_GAP.
-READ_BYTES = 8 << 20
+READ_BYTES = 4 << 20
 READ_GAP = 64 << 10
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "file string, offset long, length long, page_id long, url string, digest string, record_type string"
@@ -85,10 +85,15 @@ def plan_records(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id",
         F.col(url_col).alias("url"),
         shared.text_bytes(body_col).alias("payload"),
     ).withColumn("sha", F.sha2("payload", 256))
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("first"))
-    again = (F.octet_length("payload") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "sha").select(
-        "page_id", "url", "payload", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit")
+    # decided on ids and hashes alone; payloads then meet their decision by id and hash, so copies of one
+    # page, which differ in their ids, don't meet in one task
+    narrow = rows.select("page_id", "sha", F.octet_length("payload").alias("size")).distinct()
+    first = narrow.groupBy("sha").agg(F.max("page_id").alias("first"))
+    again = (F.col("size") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    plan = narrow.join(first, "sha").where(again).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first")
+    mine = (F.col("sha") == F.col("_sha")) & F.col("page_id").eqNullSafe(F.col("_id"))
+    return rows.join(plan, mine, "left").select(
+        "page_id", "url", "payload", F.col("first").alias("refers_to"), F.col("first").isNotNull().alias("revisit")
     )
 
 
@@ -129,7 +134,10 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def read(index: DataFrame, base: str, with_payload: bool = True) -> DataFrame:
-    """The records that the index rows name, each parsed and its digest checked."""
+    """The records that the index rows name, each parsed and its digest checked.
+
+    ``index`` should be a stored table, or a selection from one, since its lengths are added up first.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = fs.FileSystem.from_uri(base)
         wanted: list[tuple[str, int, int]] = []
@@ -156,8 +164,10 @@ def read(index: DataFrame, base: str, with_payload: bool = True) -> DataFrame:
         if wanted:
             yield from fetch()
 
+    # as many tasks as the archives' bytes ask for; the index alone is too small to tell
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // READ_BYTES))
     chunk = F.floor(F.col("offset") / READ_BYTES)
-    ranges = index.select("file", "offset", "length").repartition("file", chunk).sortWithinPartitions("file", "offset")
+    ranges = index.select("file", "offset", "length").repartition(tasks, "file", chunk).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(run, RECORD)
 
 

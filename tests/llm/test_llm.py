@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -291,25 +292,68 @@ def test_sample_is_bounded_by_bytes(spark, monkeypatch):
     assert 0 < sum(map(len, texts)) <= 10_000 and max(map(len, texts)) <= 4000
 
 
+def slow_top_k(rows, k=5, every=50):
+    """Per asking row (id, vector): its best by all products."""
+    good = [(i, np.floor(256 * np.array(v))) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
+    w = max(len(v) for _, v in good)
+    ids, x = np.array([i for i, _ in good]), np.array([np.pad(v, (0, w - len(v))) for _, v in good])
+    out, seen = [], set()
+    for at in np.flatnonzero(ids % every == 0):
+        if (ids[at], x[at].tobytes()) in seen:
+            continue
+        seen.add((ids[at], x[at].tobytes()))
+        s = x @ x[at]
+        s[ids == ids[at]] = -np.inf
+        best = [j for j in np.lexsort((ids, -s))[:k] if s[j] > -np.inf]
+        out += [(int(ids[at]), r + 1, int(ids[j]), int(s[j])) for r, j in enumerate(best)]
+    return sorted(out)
+
+
+def floats(rows):
+    return [(i, None if v is None else [None if c is None else float(c) for c in v]) for i, v in rows]
+
+
 def test_topk_is_brute_force(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(400, 16))
     x[200:260] = x[0] + rng.normal(size=(60, 16)) * 0.01
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(50, [float(v) for v in x[3]]), (900, None), (901, [None] * 16), (902, [float("nan")] * 16), (None, [1.0] * 16)]
+    rows = floats(enumerate(x)) + floats([(50, x[3]), (50, x[3]), (7, x[7]), (900, None), (901, [None] * 16), (902, [float("nan")] * 16), (None, [1.0] * 16), (950, [3.0, 4.0]), (2**63 - 1, x[0])])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = collections.defaultdict(list)
-    for r in topk.top_k(df).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    ids = np.array([i for i, v in rows if i is not None and v and v[0] is not None and v[0] == v[0]])
-    q = np.array([np.floor(256 * np.array(v)) for i, v in rows if i is not None and v and v[0] is not None and v[0] == v[0]])
-    for at in np.flatnonzero(ids % 50 == 0):
-        if ids[at] == 50:
-            continue  # two rows ask under this id
-        s = q @ q[at]
-        s[ids == ids[at]] = -np.inf
-        best = np.lexsort((ids, -s))[:5]
-        assert got[ids[at]] == [(int(ids[k]), int(s[k])) for k in best]
-    assert topk.top_k(df.limit(0)).count() == 0
+    clash = df.withColumns({n: F.lit("clash") for n in ("id", "x", "row", "cell", "block", "grp", "low", "home", "score")})
+    for vectors, parts in ((df, {}), (clash, {"pivots": 7, "data_block": 50, "query_group": 3})):
+        got = sorted(map(tuple, topk.top_k(vectors, **parts).collect()))
+        assert got == slow_top_k(rows)
+    assert topk.top_k(df.limit(0)).count() == 0 and topk.top_k(df.where("vec_id = 1")).count() == 0
+    few = rows[:3]
+    assert sorted(map(tuple, topk.top_k(spark.createDataFrame(few, df.schema)).collect())) == slow_top_k(few)
+
+
+def test_topk_leaves_out_blocks_of_far_clusters(spark):
+    rng = np.random.default_rng(17)
+    centres = rng.normal(size=(24, 16)) * 20
+    rows = floats(enumerate(centres[k % 24] + rng.normal(size=16) * 0.05 for k in range(3000)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    layout = topk.Layout(topk.usable_rows(df, 256, "vec_id", "embedding"), 50, 24 * 4, 60, 10)
+    assert sorted(map(tuple, topk.top_k(df, pivots=24 * 4, data_block=60, query_group=10).collect())) == slow_top_k(rows)
+    truth = collections.defaultdict(list)
+    for i, _, _, s in slow_top_k(rows):
+        truth[i].append(s)
+    low = spark.createDataFrame([(i, float(min(s))) for i, s in truth.items()], "id long, low double")
+    lows = layout.asked.join(low, "id").groupBy("grp").agg(F.min("low").alias("low"))
+    met, every = topk.block_pairs(layout, lows).count(), layout.groups.count() * layout.blocks.count()
+    assert every > 500 and met < 0.3 * every
+
+
+def test_cover_tree_children_lie_within_half():
+    rng = np.random.default_rng(18)
+    x = np.concatenate([c + rng.normal(size=(200, 4)) * 0.1 for c in rng.normal(size=(20, 4)) * 5])
+    tree = topk.CoverTree(x, leaf=16)
+    assert len(tree.radius) > 20
+    for k, children in enumerate(tree.children):
+        assert np.linalg.norm(x[tree.points[k]] - tree.centre[k], axis=1).max() <= tree.radius[k] + 1e-9
+        assert all(tree.radius[c] <= tree.radius[k] / 2 + 1e-9 for c in children)
+        if children:
+            assert sorted(np.concatenate([tree.points[c] for c in children])) == sorted(tree.points[k])
 
 
 def test_cap_filters_are_all_pairs(spark):
@@ -327,6 +371,33 @@ def test_cap_filters_are_all_pairs(spark):
     comp = least_reachable([r[0] for r in rows], near)
     assert got == sorted((r[0], n[k], comp[k], r[0] == comp[k]) for k, r in enumerate(rows))
     assert sum(n) > 1000
+    kinds = "vec_id long, embedding array<double>, label int"
+    assert capfilter.near_duplicates(spark.createDataFrame([], kinds)).count() == 0
+    clash = spark.createDataFrame(rows[:60], kinds).withColumns({c: F.lit("clash") for c in ("id", "x", "row", "m", "h1", "key", "root", "n", "other")})
+    assert {r["n_links"] for r in capfilter.near_duplicates(clash).collect()} == {0}
+    copies = [(i, rows[0][1], 1) for i in range(5000)] + [(None, rows[0][1], 1), (9000, rows[1][1], 1)]
+    got = capfilter.near_duplicates(spark.createDataFrame(copies, kinds)).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got if r["vec_id"] != 9000} == {(5000, 0)} and sum(r["kept"] for r in got) == 2
+
+
+@pytest.mark.parametrize("dim, n", [(6, 3000), (24, 1200), (96, 4000)])
+def test_cap_filters_recall(spark, dim, n):
+    """All links by exact filters, and (but for one in a thousand) by those of SIGMAS deviations."""
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(n // 4, dim))
+    x = np.concatenate([base, *(base + rng.normal(size=base.shape) * s for s in (0.1, 0.14, 0.2))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.98
+    want = close.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    for sigmas, least in ((float("inf"), 1.0), (capfilter.SIGMAS, 0.999)):
+        got = {r["vec_id"]: r["n_links"] for r in capfilter.near_duplicates(df, sigmas=sigmas).collect()}
+        assert all(got[i] <= want[i] for i in got) and sum(got.values()) >= least * want.sum() > 0
+
+
+def test_codewords_grow_smoothly():
+    filters = [np.prod(capfilter.codewords(n)) / n for n in range(1000, 200_000, 500)]
+    assert max(filters) / min(filters) < 1.35
 
 
 def test_chat_round_trip(spark):
@@ -373,6 +444,9 @@ def test_warc(spark):
         want.append((str(i), len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", first if again else None))
     assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == sorted(want, key=str)
     assert warc.archive_and_read(df.limit(0)).count() == 0
+    copies = spark.createDataFrame([(i, "u", "the same page " * 9) for i in range(500)], "page_id long, url string, html string")
+    first = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_and_read(copies).collect()}
+    assert first == {(499, "response", None), *((i, "revisit", 499) for i in range(499))}
     few = {(r["page_id"], r["record_type"]) for r in warc.archive_and_read(df, min_bytes=5).collect()}
     assert (1, "response") in few and (3, "response") in few
 
@@ -402,6 +476,47 @@ def test_shards(spark, odd, none):
     assert shardtree.assign(none).count() == 0
 
 
+def slow_shard(doc_id, tree):
+    """Every leaf's time by plain code: its ancestors' times plus what its own draw exceeds its siblings' least by."""
+    def draw(path):
+        below = [x for x in tree if (x.region, x.rack, x.shard)[: len(path)] == path]
+        seed = xxhash.xxh64_intdigest("/".join(map(str, path)).encode(), 42)
+        h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed)
+        return -math.log(((h >> 11) + 0.5) / 2.0**53) / sum(x.weight for x in below)
+
+    times = {}
+    for x in tree:
+        path, time = (x.region, x.rack, x.shard), draw((x.region,))
+        for k in (2, 3):
+            siblings = {(y.region, y.rack, y.shard)[:k] for y in tree if (y.region, y.rack, y.shard)[: k - 1] == path[: k - 1]}
+            time += draw(path[:k]) - min(map(draw, siblings))
+        if not x.reserved:
+            times[x.shard] = time
+    return min(times, key=times.get)
+
+
+def test_shards_are_the_least_times(spark):
+    docs = spark.range(300).select((F.col("id") * 7919 - 500_000).alias("doc_id"), F.lit("x").alias("text")).withColumn("shard", F.lit("clash"))
+    odd_tree = [shardtree.Leaf(0, 0, 5, 2.0), shardtree.Leaf(0, 0, 9, 0.5), shardtree.Leaf(0, 1, 2, 1.0, True), shardtree.Leaf(3, 4, 7, 3.0)]
+    for tree in (*(shardtree.even_tree(n) for n in (1, 2, 3, 7, 8, 9)), shardtree.even_tree(11, 3, 2), odd_tree):
+        grown, new = shardtree.with_one_more(tree)
+        for r in shardtree.assign(docs, tree=tree).collect():
+            assert r["shard"] == slow_shard(r["doc_id"], tree) and r["grown_shard"] == slow_shard(r["doc_id"], grown)
+            assert r["grown_shard"] in (r["shard"], new)
+
+
+def test_shard_movement_stays_in_the_changed_subtree(spark):
+    tree = shardtree.even_tree(8)
+    heavier = [*tree[:5], shardtree.Leaf(1, 2, 5, 3.0), *tree[6:]]
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))
+    a, b = ({r["doc_id"]: r["shard"] for r in shardtree.assign(docs, tree=t).collect()} for t in (tree, heavier))
+    moved = [(a[i], b[i]) for i in a if a[i] != b[i]]
+    assert moved and all(y in (4, 5, 6, 7) for _, y in moved)  # into the region whose weight grew
+    assert all(y in (4, 5) for x, y in moved if x in (4, 5, 6, 7)) and all(y == 5 for x, y in moved if x == 4)
+    n = collections.Counter(b.values())
+    assert abs(n[5] - 1800) < 200 and all(abs(n[s] - 600) < 120 for s in range(8) if s != 5)
+
+
 def test_shard_weights(spark):
     tree = [shardtree.Leaf(0, 0, 0, 1.0), shardtree.Leaf(0, 1, 1, 3.0), shardtree.Leaf(1, 2, 2, 4.0)]
     heavier = [*tree[:2], shardtree.Leaf(1, 2, 2, 8.0)]
