@@ -43,9 +43,21 @@ def combine_ts(date: str, time: str) -> Column:
     return F.try_to_timestamp(full)
 
 
+#: Texts that end in an offset of their own.
+_AWARE = r"(Z|[+-]\d{2}:?\d{2})$"
+
+
 def localized(c: str, zone: str) -> Column:
-    """The UTC instant of a wall clock reading in the zone."""
-    return F.to_utc_timestamp(c, zone)
+    """The UTC instant, without a zone, of a time given as text: of an aware one the instant that it names,
+    else a wall clock reading in ``zone``; null where it is no time."""
+    aware = F.expr(f"cast(to_utc_timestamp(try_cast(`{c}` as timestamp), current_timezone()) as timestamp_ntz)")
+    naive = F.expr(f"convert_timezone('{zone}', 'UTC', try_cast(`{c}` as timestamp_ntz))")
+    return F.when(F.trim(c).rlike(_AWARE), aware).otherwise(naive)
+
+
+def period_of(day, cutoff: str, train: str = "train", test: str = "test") -> Column:
+    """The period that a day belongs to: up to and with the cutoff the first one."""
+    return F.when((F.col(day) if isinstance(day, str) else day) <= F.lit(cutoff).cast("date"), train).otherwise(test)
 
 
 def stable_id(*cols) -> Column:
@@ -56,7 +68,7 @@ def stable_id(*cols) -> Column:
 
 def contract_code(c: str) -> Column:
     """struct(family, month_code, year_code, perpetual) of codes such as SiH6; others are their own family."""
-    found = r"^([A-Za-z]{2})([FGHJKMNQUVXZ])(\d{1,2})$"
+    found = r"^([A-Za-z]+)([FGHJKMNQUVXZ])(\d{1,2})$"
     hit = F.col(c).rlike(found)
     return F.struct(
         F.when(hit, F.regexp_extract(c, found, 1)).otherwise(F.col(c)).alias("family"),

@@ -99,12 +99,13 @@ def period_report(days: DataFrame, keys: list[str], day: str, period: str) -> Da
 
 
 def trade_stats(days: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Profit factor (null without losses), win rate and worst drawdown of a series of results."""
+    """Profit factor (infinite without losses), win rate and worst drawdown of a series of results; keys
+    may hold a period (see scalar.period_of), whose equity then starts anew."""
     curve = wn.with_drawdown(days, "pnl_day", keys, order)
     gain, loss = (F.sum(F.when(c, F.abs("pnl_day")).otherwise(0.0)) for c in (F.col("pnl_day") > 0, F.col("pnl_day") < 0))
     return curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.try_divide(gain, loss).alias("profit_factor"),
+        F.when(loss == 0, F.lit(float("inf"))).otherwise(F.try_divide(gain, loss)).alias("profit_factor"),
         F.avg((F.col("pnl_day") > 0).cast("double")).alias("win_rate"),
         F.min("drawdown").alias("max_drawdown"),
     )

@@ -8,15 +8,24 @@ from barwright.operators import windows as wn
 from barwright.operators.daily import weighted_histogram
 
 
-def regime_r(days: DataFrame, key: str, day: str, n: int = 20, calm: float = 0.8, wide: float = 1.2, edge: float = 0.3) -> DataFrame:
-    """R1 calm, R2 wide and closing near an end, R3 wide and closing inside, R4 the rest; by the range
-    against the mean of the n ranges before."""
+def regime_r(
+    days: DataFrame, key: str, day: str, n: int = 20, calm: float = 0.85, wide: float = 1.25,
+    edge: float = 0.3, middle: tuple[float, float] = (0.4, 0.6), body: float = 0.6,
+) -> DataFrame:
+    """R1 calm and closing in the middle, R2 wide, closing near an end with a large body, R3 wide and
+    closing in the middle, R4 the rest and days without a day before; range_ratio is the range against
+    the mean of up to n ranges before."""
     span = F.col("high") - F.col("low")
     df = days.withColumn("_s", span)
-    base = wn.rolling(F.avg, "_s", key, day, n, 5, lag=1)
-    df = df.withColumn("range_ratio", F.try_divide(F.col("_s"), base)).withColumn("close_pos", F.try_divide(F.col("close") - F.col("low"), F.col("_s")))
+    base = wn.rolling(F.avg, "_s", key, day, n, 1, lag=1)
+    safe = F.greatest("_s", F.lit(1e-12))
+    df = (
+        df.withColumn("range_ratio", F.when(base.isNotNull(), F.col("_s") / F.greatest(base, F.lit(1e-12))))
+        .withColumn("close_pos", (F.col("close") - F.col("low")) / safe).withColumn("body_ratio", F.abs(F.col("close") - F.col("open")) / safe)
+    )
     r, c = F.col("range_ratio"), F.col("close_pos")
-    out = F.when(r.isNull(), None).when(r <= calm, "R1").when((r >= wide) & ((c <= edge) | (c >= 1 - edge)), "R2").when(r >= wide, "R3").otherwise("R4")
+    mid, ends = c.between(*middle), (c <= edge) | (c >= 1 - edge)
+    out = F.when((r <= calm) & mid, "R1").when((r >= wide) & ends & (F.col("body_ratio") >= body), "R2").when((r >= wide) & mid, "R3").otherwise("R4")
     return df.withColumn("regime", out).drop("_s")
 
 
@@ -75,20 +84,39 @@ def level_crossings(days: DataFrame, levels: DataFrame, key: str, day: str) -> D
     )
 
 
-def approach(events: DataFrame, days: DataFrame, key: str, day: str, k: int, x: float, atr: str) -> DataFrame:
-    """How price came to a crossed level: over the k days before, 'rejection' if it touched the level and
-    then went off by x ATR, 'retest' if it only touched it, else 'direct'."""
+def approach(
+    events: DataFrame, days: DataFrame, key: str, day: str, grid: list[tuple[int, int, float]], atr: str, near: float = 0.25
+) -> DataFrame:
+    """How price came to a crossed level, for each (n, k, x) of the grid.
+
+    A day touches a level that its range holds or its close lies within ``near`` ATR of the crossing day;
+    it leaves the level when it goes against the crossing's direction by x of its own ATR. Over the k days
+    before, a touch and a later leave is a rejection, a leave without an earlier touch no state, a touch
+    alone a retest; otherwise it is direct if the n days before have no touch, else no state. Without an
+    ATR there is no state. The grid is rows of the events, so one join does for all of it.
+    """
     numbered = days.withColumn("_i", F.row_number().over(wn.over(key, day)))
-    at = events.join(numbered.select(key, F.col(day).alias("crossed_on"), F.col("_i").alias("_e"), F.col(atr).alias("_a")), [key, "crossed_on"])
-    past = numbered.select(key, "_i", "high", "low", "close")
-    back = at.withColumn("_i", F.explode(F.sequence(F.col("_e") - k, F.col("_e") - 1))).join(past, [key, "_i"], "left")
-    touch = (F.col("low") <= F.col("level_price")) & (F.col("high") >= F.col("level_price"))
-    off = F.abs(F.col("close") - F.col("level_price")) >= x * F.col("_a")
-    per = back.groupBy(key, "crossed_on", "level_id", "direction", "outcome").agg(
-        F.min(F.when(touch, F.col("_i"))).alias("_t"), F.max(F.when(off, F.col("_i"))).alias("_o")
+    options = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"), F.lit(float(x)).alias("x")) for n, k, x in grid)))
+    here = numbered.select(key, F.col(day).alias("crossed_on"), F.col("_i").alias("_e"), (near * F.col(atr)).alias("_z"))
+    at = events.join(here, [key, "crossed_on"])
+    most = max(max(n, k) for n, k, _ in grid)
+    past = numbered.select(key, "_i", "high", "low", "close", F.col(atr).alias("_a"))
+    back = at.withColumn("_i", F.explode(F.sequence(F.col("_e") - most, F.col("_e") - 1))).join(past, [key, "_i"], "left")
+    level = F.col("level_price")
+    touch = ((F.col("low") <= level) & (F.col("high") >= level)) | (F.abs(F.col("close") - level) <= F.col("_z"))
+    off = F.when(F.col("direction") == "up", level - F.col("low")).otherwise(F.col("high") - level)
+    back = back.withColumn("_t", touch).withColumn("_off", off).select("*", options.alias("g")).select("*", "g.n", "g.k", "g.x")
+    in_k = F.col("_i") >= F.col("_e") - F.col("k")
+    per = back.groupBy(key, "crossed_on", "level_id", "direction", "outcome", "n", "k", "x", "_z").agg(
+        F.min(F.when(in_k & F.col("_t") & F.col("_a").isNotNull(), F.col("_i"))).alias("_t"),
+        F.max(F.when(in_k & (F.col("_off") >= F.col("x") * F.col("_a")), F.col("_i"))).alias("_o"),
+        F.coalesce(F.bool_or(F.when(F.col("_i") >= F.col("_e") - F.col("n"), F.col("_t"))), F.lit(False)).alias("_n"),
     )
-    state = F.when(F.col("_t").isNull(), "direct").when(F.col("_o") > F.col("_t"), "rejection").otherwise("retest")
-    return per.withColumn("approach_state", state).drop("_t", "_o")
+    state = (
+        F.when(F.col("_z").isNull(), None).when(F.col("_o") > F.col("_t"), "rejection").when(F.col("_o").isNotNull(), None)
+        .when(F.col("_t").isNotNull(), "retest").when(~F.col("_n"), "direct")
+    )
+    return per.withColumn("approach_state", state).drop("_t", "_o", "_n", "_z")
 
 
 def pnl_buckets(days: DataFrame, rules: list[tuple[str, Column]], rest: str = "other") -> DataFrame:
@@ -133,22 +161,44 @@ def compression_breakouts(days: DataFrame, key: str, day: str, q: float, min_his
     return df.select(key, F.col(day).alias("d0"), "d2", side.alias("break_side"), result.alias("result"))
 
 
-def volume_patterns(bars: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
-    """Tags of volume against range: climactic, no_demand, no_supply, stopping, effort_no_result, absorption."""
-    span = F.col("high") - F.col("low")
-    df = bars.withColumn("_s", span).withColumn("_dir", F.signum(F.col("close") - F.col("open")))
-    v = wn.rolling(F.avg, "volume", key, order, n, 5, lag=1)
-    s = wn.rolling(F.avg, "_s", key, order, n, 5, lag=1)
-    df = df.withColumn("_v", F.try_divide(F.col("volume"), v)).withColumn("_r", F.try_divide(F.col("_s"), s))
-    pos = F.try_divide(F.col("close") - F.col("low"), F.col("_s"))
-    loud, quiet, wide, narrow = F.col("_v") >= 2, F.col("_v") <= 0.6, F.col("_r") >= 1.5, F.col("_r") <= 0.7
-    tags = {
-        "climactic": loud & wide,
-        "no_demand": quiet & narrow & (F.col("_dir") > 0),
-        "no_supply": quiet & narrow & (F.col("_dir") < 0),
-        "stopping": loud & (F.col("_dir") < 0) & (pos >= 0.5),
-        "effort_no_result": loud & narrow,
-        "absorption": loud & (F.col("_dir") == 0),
-    }
-    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), t) for t, c in tags.items())), lambda x: x.isNotNull())
-    return df.withColumn("tags", found).drop("_s", "_dir", "_v", "_r")
+#: Tags of volume patterns; fixed values.
+TAGS = (
+    "ClimacticVolume", "NoDemand", "NoSupply", "StoppingVolume", "TestShakeout", "EffortVsResult", "Absorption",
+    "VolumeDivergence", "OIdiv_up_price_down_oi", "OIdiv_down_price_up_oi",
+)
+
+
+def volume_patterns(bars: DataFrame, key: str, order: str, n: int = 20, oi: str | None = None) -> DataFrame:
+    """bars with tags, an array: volume against range, wicks, the last bars' direction and open interest.
+
+    Loudness is the z-score of volume over n bars, narrow is a range in the lowest quarter of n bars; both
+    are unknown before n bars. The direction is that of the three bars before. Without ``oi`` the last two
+    tags don't occur.
+    """
+    w = wn.over(key, order)
+    lag = lambda c, k=1: F.lag(c, k).over(w)
+    df = bars.withColumn("_s", F.col("high") - F.col("low")).withColumn("_i", F.row_number().over(w))
+    mean, spread = (wn.rolling(f, "volume", key, order, n) for f in (F.avg, F.stddev_pop))
+    df = df.withColumn("_m", mean).withColumn("_z", (F.col("volume") - mean) / F.nullif(spread, F.lit(0.0)))
+    df = df.withColumn("_q", wn.rolling(lambda c: F.percentile(c, F.lit(0.25)), "_s", key, order, n))
+    three = wn.over(key, order, -2, 0)
+    df = df.withColumn("_z3", F.min("_z").over(three)).withColumn("_s3", F.avg("_s").over(three)).withColumn("_h5", F.max("high").over(wn.over(key, order, -5, -1)))
+    v, s, z, c = (F.col(x) for x in ("volume", "_s", "_z", "close"))
+    trend, part = lag("close") - lag("close", 3), s + 1e-9
+    up, down, pos = (F.col("high") - F.greatest("open", "close")) / part, (F.least("open", "close") - F.col("low")) / part, (c - F.col("low")) / part
+    narrow, quiet = s <= F.col("_q"), v <= 0.7 * F.col("_m")
+    rules = [
+        (z >= 2) & (s > 0) & (((trend > 0) & (up > 0.35)) | ((trend < 0) & (down > 0.35))),
+        narrow & quiet & (c >= F.col("open")),
+        narrow & quiet & (c < F.col("open")),
+        (z >= 1.5) & (s > 0) & (((trend < 0) & (pos > 0.6)) | ((trend > 0) & (pos < 0.4))),
+        (F.col("low") < lag("low")) & (c > lag("close")) & (F.col("_m") > 0) & (v < 0.9 * F.col("_m")),
+        (z >= 1.2) & narrow,
+        (F.col("_i") >= 3) & (F.col("_z3") >= 1) & (F.abs(c - lag("close", 2)) <= 0.8 * F.col("_s3")),
+        (F.col("_i") >= 6) & (F.col("high") >= F.col("_h5")) & (v < lag("volume")),
+    ]
+    if oi:
+        rules += [(c > lag("close")) & (F.col(oi) < lag(oi)), (c < lag("close")) & (F.col(oi) > lag(oi))]
+    flags = df.withColumns({f"_f{k}": F.coalesce(r, F.lit(False)) for k, r in enumerate(rules)})
+    found = F.filter(F.array(*(F.when(F.col(f"_f{k}"), TAGS[k]) for k in range(len(rules)))), lambda x: x.isNotNull())
+    return flags.withColumn("tags", found).select(*bars.columns, "tags")

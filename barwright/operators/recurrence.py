@@ -1,76 +1,141 @@
 """Exponential averages as a blocked scan.
 
 y_t = a x_t + (1 - a) y_{t-1} is affine in y_{t-1}, so a block of rows maps its entry value y to
-(1 - a)^n y + b. Rows are numbered per key and cut into blocks; each block's b is folded in parallel,
-the few blocks of a key are chained to give every block its entry value, and blocks are then expanded in
-parallel. No task holds more than one block's rows and one key's block summaries.
+(1 - a)^n y + b. Blocks are cut by time, a day or a month of a key, so no rows need to be numbered; each
+block's b is folded in parallel, the blocks of a key are chained by their summaries alone, a few numbers
+each, and then expanded in parallel, all blocks of a batch at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-BLOCK = 4096
 
+def time_block(order: str, kind: str) -> Column:
+    """The block of a row: its month for dates, its day for timestamps, else a thousand steps."""
+    if kind == "date":
+        return F.date_trunc("month", order).cast("long")
+    if kind.startswith("timestamp"):
+        return F.datediff(order, F.lit("1970-01-01")).cast("long")
+    return F.floor(F.col(order) / 1000).cast("long")
 
-def _expand(alpha: float):
+
+def _padded(xs: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The lists as rows of one matrix, filled up with NaN, and their lengths."""
+    size = np.array([len(x) for x in xs])
+    out = np.full((len(xs), size.max() if len(size) else 0), np.nan)
+    for k, x in enumerate(xs):
+        out[k, : size[k]] = x
+    return out, size
+
+
+def _run(x: np.ndarray, y: np.ndarray, a: float) -> np.ndarray:
+    """The averages of every row of x, entered with y; NaN carries the average on."""
+    out = np.empty_like(x)
+    for k in range(x.shape[1]):
+        # an average of equal values is that value, exactly
+        y = np.where(np.isnan(x[:, k]) | (x[:, k] == y), y, a * x[:, k] + (1 - a) * y)
+        out[:, k] = y
+    return out
+
+
+def _fold(rates: list[float]):
+    """Of each block and rate the average at its end when entered with 0."""
     @F.pandas_udf("array<double>")
-    def run(xs: pd.Series, entry: pd.Series) -> pd.Series:
-        out = []
-        for values, y in zip(xs, entry):
-            ys = np.empty(len(values))
-            for i, x in enumerate(values):
-                if x is not None and x == x and x != y:  # an average of equal values is that value, exactly
-                    y = alpha * x + (1 - alpha) * y
-                ys[i] = y
-            out.append(ys)
+    def run(xs: pd.Series) -> pd.Series:
+        x, _ = _padded(xs)
+        ends = [_run(x, np.zeros(len(x)), a)[:, -1] if x.size else np.zeros(len(x)) for a in rates]
+        return pd.Series(list(np.array(ends).T))
+
+    return run
+
+
+def _entries(rates: list[float]):
+    """Per key and block the entry values, from the blocks' maps in order."""
+    @F.pandas_udf("array<array<double>>")
+    def run(live: pd.Series, ends: pd.Series, seed: pd.Series) -> pd.Series:
+        keep, out = 1 - np.array(rates), []
+        for n, b, y in zip(live, ends, seed):
+            at, y = [], np.full(len(rates), y, dtype=float)
+            for k in range(len(n)):
+                at.append(y)
+                y = keep ** n[k] * y + b[k]
+            out.append(at)
         return pd.Series(out)
 
     return run
 
 
-def with_ema(df: DataFrame, keys: list[str], order: list[str], column: str, spans: dict[str, int], block: int = BLOCK) -> DataFrame:
+def _expand(rates: list[float]):
+    """Of each block and rate the averages of its rows."""
+    @F.pandas_udf("array<array<double>>")
+    def run(xs: pd.Series, entry: pd.Series) -> pd.Series:
+        x, size = _padded(xs)
+        at = np.array(entry.tolist(), dtype=float).reshape(len(x), len(rates))
+        ys = [_run(x, at[:, k], a) for k, a in enumerate(rates)]
+        return pd.Series([[y[i, :n] for y in ys] for i, n in enumerate(size)])
+
+    return run
+
+
+def with_ema(df: DataFrame, keys: list[str], order: list[str], column: str, spans: dict[str, int], block: Column | None = None) -> DataFrame:
     """df with one column per name in spans: the average of that span, seeded with the first value.
 
-    Rows whose value is null keep the average before them; a key's leading nulls are treated as its
-    first value.
+    Rows whose value is null keep the average before them; a key's leading nulls are treated as its first
+    value, and a key of nulls alone has no average. ``block`` must not decrease with the order (see
+    time_block); a task holds one block's rows, and one key's summaries of blocks.
     """
-    w = W.partitionBy(*keys).orderBy(*order)
-    first = F.first(column, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    numbered = df.withColumn("_rn", F.row_number().over(w) - 1).withColumn("_seed", first)
-    numbered = numbered.withColumn("_block", F.floor(F.col("_rn") / block))
-    rows = numbered.groupBy(*keys, "_block").agg(
-        F.array_sort(F.collect_list(F.struct("_rn", *df.columns))).alias("_rows"), F.first("_seed").alias("_seed")
-    )
-    rows = rows.withColumn("_x", F.transform("_rows", lambda r: r[column].cast("double")))
-    chain = W.partitionBy(*keys).orderBy("_block")
-    for name, span in spans.items():
-        a = 2.0 / (span + 1)
-        live = F.size(F.filter("_x", lambda x: x.isNotNull()))
-        fold = F.aggregate("_x", F.lit(0.0), lambda y, x: F.coalesce(F.lit(a) * x + F.lit(1 - a) * y, y))
-        step = F.struct(F.pow(F.lit(1 - a), live).alias("m"), fold.alias("b"))
-        earlier = F.collect_list(step).over(chain.rowsBetween(W.unboundedPreceding, -1))
-        entry = F.aggregate(earlier, F.col("_seed").cast("double"), lambda y, s: s["m"] * y + s["b"])
-        rows = rows.withColumn(f"_y_{name}", _expand(a)("_x", entry))
-    zipped = rows.select(*keys, F.explode(F.arrays_zip("_rows", *(f"_y_{n}" for n in spans))).alias("z"))
-    return zipped.select(*(F.col(f"z._rows.{c}").alias(c) for c in df.columns), *(F.col(f"z._y_{n}").alias(n) for n in spans))
-
-
-def with_ew_stats(df: DataFrame, keys: list[str], order: list[str], column: str, span: int, min_periods: int) -> DataFrame:
-    """df with ew_mean, ew_std (unbiased) and ew_z of an adjusted exponential window, per block of state.
-
-    Three weighted sums are carried along like the averages above: of weights, values and squares; the
-    sum of squared weights gives the bias correction.
-    """
-    a = 2.0 / (span + 1)
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    block = time_block(order[0], dict(df.dtypes)[order[0]]) if block is None else block
+    key = F.struct(*keys).alias("_key") if keys else F.lit(0).alias("_key")
+    row = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.struct(*df.columns).alias("r"))
+    rows = df.groupBy(key, block.alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    rows = rows.withColumn("_x", F.transform("_rows", lambda r: r["r"][column].cast("double")))
+    live = F.filter("_x", lambda x: x.isNotNull() & ~F.isnan(x))
+    rates = [2.0 / (n + 1) for n in spans.values()]
+    steps = [F.col("_block").alias("block"), F.get(live, F.lit(0)).alias("first"), F.size(live).alias("n"), _fold(rates)("_x").alias("b")]
+    few = rows.select("_key", *steps).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("block", "first", "n", "b"))).alias("s"))
+    seed = F.get(F.filter(F.transform("s", lambda s: s["first"]), lambda x: x.isNotNull()), F.lit(0))
+    entries = _entries(rates)(F.transform("s", lambda s: s["n"]), F.transform("s", lambda s: s["b"]), seed).alias("e")
+    chained = few.select("_key", F.transform("s", lambda s: s["block"]).alias("block"), entries)
+    at = chained.select(F.col("_key").alias("_own"), F.explode(F.arrays_zip("block", "e")).alias("z")).select("_own", F.col("z.block").alias("_at"), F.col("z.e").alias("e"))
+    met = rows.join(at, rows["_key"].eqNullSafe(at["_own"]) & (rows["_block"] == at["_at"]))
+    ys = met.select("_rows", _expand(rates)("_x", "e").alias("ys"))
+    zipped = ys.select(F.explode(F.arrays_zip("_rows", *(F.col("ys")[k].alias(f"y{k}") for k in range(len(rates))))).alias("z"))
+    value = [F.when(~F.isnan(f"z.y{k}"), F.col(f"z.y{k}")).alias(n) for k, n in enumerate(spans)]
+    return zipped.select(*(F.col(f"z._rows.r.{c}").alias(c) for c in df.columns), *value)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        e = pdf[column].ewm(alpha=a, min_periods=min_periods)
-        mean, std = e.mean(), e.std(bias=False)
-        return pdf.assign(ew_mean=mean, ew_std=std, ew_z=((pdf[column] - mean) / std).where(std > 0))
+def with_ew_stats(
+    df: DataFrame, keys: list[str], order: list[str], column: str, span: int, min_periods: int, fallback: int | None = None
+) -> DataFrame:
+    """df with ew_mean, ew_std (unbiased) and ew_z of an exponential window seeded with the first value.
+
+    The mean is an average of the values; the variance is the same average of (1 - a) (x - mean before)^2,
+    from 0; its bias is made up for by the sum of squared weights, which after n values is
+    q^n + a (1 - q^n) / (2 - a) with q = (1 - a)^2. All are null before min_periods values. Where there is
+    no score and ``fallback`` is given, mean, deviation (population) and score of the last so many rows
+    take their place, from 3 values on.
+    """
+    from barwright.operators import windows as wn
 
-    return df.groupBy(*keys).applyInPandas(run, f"{spec}, ew_mean double, ew_std double, ew_z double")
+    a, q = 2.0 / (span + 1), (1 - 2.0 / (span + 1)) ** 2
+    w = wn.over(keys, order)
+    x = F.col(column)
+    df = with_ema(df, keys, order, column, {"ew_mean": span})
+    df = df.withColumn("_n", F.count(column).over(w)).withColumn("_z", (1 - a) * (x - F.lag("ew_mean").over(w)) ** 2)
+    df = with_ema(df.withColumn("_z", F.when(x.isNotNull(), F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_z")))), keys, order, "_z", {"_v": span})
+    squares = F.pow(F.lit(q), F.col("_n") - 1) + a * (1 - F.pow(F.lit(q), F.col("_n") - 1)) / (2 - a)
+    enough = F.col("_n") >= min_periods
+    std = F.when(enough & (F.col("_n") > 1), F.sqrt(F.col("_v") / (1 - squares)))
+    df = df.withColumn("_std", std).withColumn("_mean", F.when(enough, F.col("ew_mean")))
+    df = df.withColumn("_score", F.when(F.col("_std") > 0, (x - F.col("_mean")) / F.col("_std")))
+    mean, dev, score = (F.col(c) for c in ("_mean", "_std", "_score"))
+    if fallback is not None:
+        m, s = (wn.rolling(f, column, keys, order, fallback, 3) for f in (F.avg, F.stddev_pop))
+        df = df.withColumn("_fm", m).withColumn("_fs", s)
+        none = score.isNull()
+        mean, dev = F.when(none, F.col("_fm")).otherwise(mean), F.when(none, F.col("_fs")).otherwise(dev)
+        score = F.coalesce(score, F.when(F.col("_fs") > 0, (x - F.col("_fm")) / F.col("_fs")))
+    return df.withColumns({"ew_mean": mean, "ew_std": dev, "ew_z": score}).drop("_n", "_z", "_v", "_std", "_mean", "_score", "_fm", "_fs")

@@ -9,6 +9,10 @@ from barwright.operators import windows as wn
 from barwright.operators.recurrence import with_ema
 
 
+#: Decimals at which results are compared when parameters are ranked.
+RANK_DIGITS = 6
+
+
 def ema_positions(bars: DataFrame, keys: list[str], order: str, fast: int, slow: int, mode: str = "both") -> DataFrame:
     """Signal is the sign of fast - slow average, clipped by mode (both, long, short); the position of a
     bar is the signal of the bar before, 0 at first."""
@@ -74,8 +78,13 @@ def segment(days: DataFrame, keys: list[str], near_zero: float = 1e-9) -> DataFr
 
 
 def ranked(segments: DataFrame, within: list[str], ties: list[str]) -> DataFrame:
-    """Rank 1 is the highest mean, then win rate, then the smallest drawdown, then the ties' order."""
-    w = W.partitionBy(*within).orderBy(F.desc("mean_pnl"), F.desc("win_rate"), F.desc("max_drawdown"), *ties)
+    """Rank 1 is the highest mean, then win rate, then the smallest drawdown, then the ties' order.
+
+    The metrics are compared at RANK_DIGITS decimals: parameters that trade alike must tie, and sums of
+    the same numbers in another order differ in their last bits.
+    """
+    by = [F.round(c, RANK_DIGITS).desc() for c in ("mean_pnl", "win_rate", "max_drawdown")]
+    w = W.partitionBy(*within).orderBy(*by, *ties)
     return segments.withColumn("rank", F.row_number().over(w))
 
 
@@ -129,13 +138,15 @@ def walk_forward(days: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
     per = ["window_id", "role", *keys]
     runs = wn.with_drawdown(seg.drop("drawdown"), "pnl_day", per, "day")
     results = segment(runs, per)
-    best = ranked(results.where("role = 'train'"), ["window_id", keys[0]], keys[1:]).where("rank = 1")
-    shown = results.where("role = 'valid'").select(
-        "window_id", *keys, F.col("mean_pnl").alias("valid_mean"), F.col("total_pnl").alias("valid_total"), F.col("days").alias("valid_days")
-    )
-    return best.select("window_id", *keys, F.col("mean_pnl").alias("train_mean"), F.col("days").alias("train_days")).join(
-        shown, ["window_id", *keys], "left"
+    def of(role: str, c: str):
+        return F.max(F.when(F.col("role") == role, F.col(c)))
+
+    wide = results.groupBy("window_id", *keys).agg(
+        *(of("train", c).alias(c) for c in ("mean_pnl", "win_rate", "max_drawdown")), of("train", "days").alias("train_days"),
+        of("valid", "mean_pnl").alias("valid_mean"), of("valid", "total_pnl").alias("valid_total"), of("valid", "days").alias("valid_days"),
     )
+    best = ranked(wide.where("train_days is not null"), ["window_id", keys[0]], keys[1:]).where("rank = 1")
+    return best.select("window_id", *keys, F.col("mean_pnl").alias("train_mean"), "train_days", "valid_mean", "valid_total", "valid_days")
 
 
 def threshold_positions(bars: DataFrame, key: str, order: str, n: int, k: float) -> DataFrame:

@@ -102,10 +102,10 @@ def transitions(df: DataFrame, label: str, keys, order) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("label_from")))
 
 
-def beta_posterior(df: DataFrame, keys: list[str], hit: str, a: float, b: float) -> DataFrame:
+def beta_posterior(df: DataFrame, keys: list[str], hit: str, a: float, b: float, count: str = "n") -> DataFrame:
     """(k + a) / (n + a + b) per group."""
     k, n = F.sum(F.col(hit).cast("long")), F.count(F.lit(1))
-    return df.groupBy(*keys).agg(n.alias("n"), k.alias("hits"), ((k + a) / (n + a + b)).alias("p"))
+    return df.groupBy(*keys).agg(n.alias(count), k.alias("hits"), ((k + a) / (n + a + b)).alias("p"))
 
 
 def concentration(df: DataFrame, part) -> DataFrame:

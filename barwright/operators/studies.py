@@ -76,11 +76,14 @@ def day_context(days: DataFrame, key: str, day: str, weights: dict[str, float],
     return df.select(key, day, "vol_z", "body_ratio", p.alias("score"), F.coalesce(F.when(p.isNotNull(), band(p, low, high)), F.lit("blocked")).alias("context"))
 
 
-def quantile_screen(df: DataFrame, features: list[str], target: str, train: Column, q: float, least_n: int) -> DataFrame:
+def quantile_screen(df: DataFrame, features: list[str], target: str, train: Column, q: float, least_n: int, train_n: int = 200) -> DataFrame:
     """Per feature and tail: the training quantile, how often the target follows beyond it in either
-    period, its lift, and whether the rule holds (enough rows, lift 1.2, 2 points above the base)."""
+    period, its lift, and whether the rule holds (enough rows, lift 1.2, 2 points above the base).
+    Features with fewer than train_n training values are left out."""
     rows = stats.long_form(df.withColumn("_train", train), ["_train", target], features)
-    cuts = rows.where("_train").groupBy("metric").agg(F.percentile("value", F.lit(q)).alias("low"), F.percentile("value", F.lit(1 - q)).alias("high"))
+    cuts = rows.where("_train").groupBy("metric").agg(
+        F.percentile("value", F.lit(q)).alias("low"), F.percentile("value", F.lit(1 - q)).alias("high"), F.count(F.lit(1)).alias("_n")
+    ).where(F.col("_n") >= train_n).drop("_n")
     base = df.withColumn("_train", train).groupBy("_train").agg(F.avg(F.col(target).cast("double")).alias("base"))
     tails = F.explode(F.array(F.struct(F.lit("low").alias("tail"), (F.col("value") <= F.col("low")).alias("hit")), F.struct(F.lit("high").alias("tail"), (F.col("value") >= F.col("high")).alias("hit"))))
     hit = rows.join(F.broadcast(cuts), "metric").select("metric", "_train", target, "low", "high", tails.alias("t")).where("t.hit")
@@ -92,15 +95,10 @@ def quantile_screen(df: DataFrame, features: list[str], target: str, train: Colu
     return out.select(F.col("metric").alias("feature"), "tail", F.when(F.col("_train"), "train").otherwise("test").alias("period"), "cut", "n", "rate", "lift", good.alias("ok"))
 
 
-def approach_sweep(crossings: DataFrame, days: DataFrame, key: str, day: str, ks: list[int], xs: list[float], atr: str) -> DataFrame:
-    """Posterior chance of a confirmed break per approach state, for every (k, x) of the grid."""
-    out = None
-    for k in ks:
-        for x in xs:
-            one = events.approach(crossings, days, key, day, k, x, atr).where("outcome is not null").withColumn("hit", F.col("outcome") == "confirmed")
-            one = stats.beta_posterior(one, ["approach_state"], "hit", 1, 1).withColumn("k", F.lit(k)).withColumn("x", F.lit(x))
-            out = one if out is None else out.unionByName(one)
-    return out
+def approach_sweep(crossings: DataFrame, days: DataFrame, key: str, day: str, grid: list[tuple[int, int, float]], atr: str) -> DataFrame:
+    """Posterior chance of a confirmed break per approach state, for every (n, k, x) of the grid."""
+    states = events.approach(crossings, days, key, day, grid, atr).where("outcome is not null and approach_state is not null")
+    return stats.beta_posterior(states.withColumn("hit", F.col("outcome") == "confirmed"), ["n", "k", "x", "approach_state"], "hit", 1, 1, count="events")
 
 
 def level_bar_events(days: DataFrame, levels: DataFrame, key: str, day: str, near: float) -> DataFrame:

@@ -221,7 +221,7 @@ def period_report_year(spark, sf_dir):
 
 @query(sql("day_bars", f""", {_DAY_PNL}, e as (select *, sum(pnl_day) over (partition by instrument order by trade_date rows unbounded preceding) as equity from pnl),
     p as (select *, max(equity) over (partition by instrument order by trade_date rows unbounded preceding) as peak from e)
-    select instrument, count(*) as n, round(sum(case when pnl_day > 0 then pnl_day else 0 end) / nullif(sum(case when pnl_day < 0 then -pnl_day else 0 end), 0), 6) as profit_factor,
+    select instrument, count(*) as n, case when count(*) filter (pnl_day < 0) = 0 then 'infinity'::double else round(sum(case when pnl_day > 0 then pnl_day else 0 end) / sum(case when pnl_day < 0 then -pnl_day else 0 end), 6) end as profit_factor,
     round(avg(case when pnl_day > 0 then 1.0 else 0 end), 6) as win_rate, round(min(equity - peak), 4) as max_drawdown from p group by all"""))
 def trade_stats(spark, sf_dir):
     """C19, E9 profit factor and drawdown."""

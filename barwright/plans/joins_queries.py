@@ -207,14 +207,22 @@ def ema_sql(fast: int, slow: int) -> str:
 @query(sql("bars_1h", f", {ema_sql(5, 12)} select instrument, bar_end, round(ema_fast, 6) as ema_fast, round(ema_slow, 6) as ema_slow from ema", recursive=True))
 def ema_1h(spark, sf_dir):
     """E2 exponential averages by a blocked scan."""
-    e = recurrence.with_ema(views.event_bars(spark, sf_dir), ["instrument"], ["bar_end"], "close", {"ema_fast": 5, "ema_slow": 12}, block=256)
+    e = recurrence.with_ema(views.event_bars(spark, sf_dir), ["instrument"], ["bar_end"], "close", {"ema_fast": 5, "ema_slow": 12})
     return rounded(e.select("instrument", "bar_end", "ema_fast", "ema_slow"))
 
 
-@query()
+@query(sql("bars_1h", """, n as (select instrument, bar_end, close, row_number() over (partition by instrument order by bar_end) as rn from bars_1h),
+    e(instrument, rn, bar_end, close, m, v, s) as (select instrument, rn, bar_end, close, close, 0::double, 1::double from n where rn = 1
+        union all select n.instrument, n.rn, n.bar_end, n.close, e.m + (2.0::double / 13) * (n.close - e.m), (1 - 2.0::double / 13) * (e.v + (2.0::double / 13) * (n.close - e.m) * (n.close - e.m)), (1 - 2.0::double / 13) * (1 - 2.0::double / 13) * e.s + (2.0::double / 13) * (2.0::double / 13)
+        from e join n on n.instrument = e.instrument and n.rn = e.rn + 1),
+    k as (select *, case when rn >= 5 then m end as mean, case when rn >= 5 then sqrt(v / (1 - s)) end as std from e),
+    z as (select *, case when std > 0 then (close - mean) / std end as z, case when count(*) over w >= 3 then avg(close) over w end as fm, case when count(*) over w >= 3 then stddev_pop(close) over w end as fs from k window w as (partition by instrument order by bar_end rows 19 preceding))
+    select instrument, bar_end, round(close, 6) as close, round(case when z is null then fm else mean end, 6) as ew_mean, round(case when z is null then fs else std end, 5) as ew_std, round(coalesce(z, case when fs > 0 then (close - fm) / fs end), 5) as ew_z from z""", recursive=True))
 def ew_zscore_1h(spark, sf_dir):
-    """E3 exponentially weighted z-score; compared with pandas in the tests."""
-    return recurrence.with_ew_stats(views.event_bars(spark, sf_dir).select("instrument", "bar_end", "close"), ["instrument"], ["bar_end"], "close", 12, 5)
+    """E3 exponentially weighted z-score, with a rolling one until there is enough history."""
+    b = views.event_bars(spark, sf_dir).select("instrument", "bar_end", "close")
+    out = recurrence.with_ew_stats(b, ["instrument"], ["bar_end"], "close", 12, 5, fallback=20)
+    return out.select("instrument", "bar_end", F.round("close", 6).alias("close"), F.round("ew_mean", 6).alias("ew_mean"), F.round("ew_std", 5).alias("ew_std"), F.round("ew_z", 5).alias("ew_z"))
 
 
 @query(sql("day_bars", f"""select instrument, trade_date, round(case when count(close) over {_w('rows 19 preceding')} >= 10 then avg(close) over {_w('rows 19 preceding')} end, 6) as mean_20,
@@ -339,8 +347,8 @@ def cleaned(spark, sf_dir):
 
 
 @query("""with m as (select c_custkey, case when c_custkey % 4 = 0 then c_name || 'F' when c_custkey % 4 = 1 then 'Si' || chr(cast(70 + c_nationkey % 2 as integer)) || (c_custkey % 100) else 'BR' || 'H' || c_nationkey % 10 end as code from customer)
-    select c_custkey, code, case when regexp_matches(code, '^([A-Za-z]{2})([FGHJKMNQUVXZ])(\\d{1,2})$') then regexp_extract(code, '^([A-Za-z]{2})([FGHJKMNQUVXZ])(\\d{1,2})$', 1) else code end as family,
-    case when regexp_matches(code, '^([A-Za-z]{2})([FGHJKMNQUVXZ])(\\d{1,2})$') then regexp_extract(code, '^([A-Za-z]{2})([FGHJKMNQUVXZ])(\\d{1,2})$', 2) end as month_code, regexp_matches(lower(code), '(f|perp)$') as perpetual from m""")
+    select c_custkey, code, case when regexp_matches(code, '^([A-Za-z]+)([FGHJKMNQUVXZ])(\\d{1,2})$') then regexp_extract(code, '^([A-Za-z]+)([FGHJKMNQUVXZ])(\\d{1,2})$', 1) else code end as family,
+    case when regexp_matches(code, '^([A-Za-z]+)([FGHJKMNQUVXZ])(\\d{1,2})$') then regexp_extract(code, '^([A-Za-z]+)([FGHJKMNQUVXZ])(\\d{1,2})$', 2) end as month_code, regexp_matches(lower(code), '(f|perp)$') as perpetual from m""")
 def contract_codes(spark, sf_dir):
     """B8 parts of a contract's code."""
     m = views.table(spark, sf_dir, "customer").select(

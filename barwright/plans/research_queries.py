@@ -166,7 +166,7 @@ _SEG = "count(*) as days, avg(pnl_day) as mean_pnl, avg(case when pnl_day > 0 th
 @query(sql("day_bars", f"""{_grid_sql()}, c as (select *, sum(pnl_day) over (partition by instrument, fast, slow order by day rows unbounded preceding) as eq from days),
     d as (select *, eq - max(eq) over (partition by instrument, fast, slow order by day rows unbounded preceding) as dd from c),
     s as (select instrument, fast, slow, {_SEG}, min(dd) as max_drawdown from d group by all)
-    select instrument, fast, slow, days, round(mean_pnl, 4) as mean_pnl, round(win_rate, 6) as win_rate, cast(row_number() over (partition by instrument order by mean_pnl desc, win_rate desc, max_drawdown desc, fast, slow) as integer) as rank from s""", recursive=True))
+    select instrument, fast, slow, days, round(mean_pnl, 4) as mean_pnl, round(win_rate, 6) as win_rate, cast(row_number() over (partition by instrument order by round(mean_pnl, 6) desc, round(win_rate, 6) desc, round(max_drawdown, 6) desc, fast, slow) as integer) as rank from s""", recursive=True))
 def grid_search(spark, sf_dir):
     """F14, D13, E13 all pairs of spans, ranked."""
     s = signals.segment(_grid_days(spark, sf_dir), ["instrument", "fast", "slow"])
@@ -176,13 +176,15 @@ def grid_search(spark, sf_dir):
 
 @query(sql("day_bars", f"""{_grid_sql()}, m as (select month, row_number() over (order by month) - 1 as i from (select distinct cast(date_trunc('month', trade_date) as date) as month from day_bars)),
     w as (select cast(a.i // 12 as integer) as window_id, a.month as ta, b.month as tb, c.month as va, e.month as vb from m a join m b on b.i = a.i + 23 join m c on c.i = a.i + 24 join m e on e.i = a.i + 35 where a.i % 12 = 0),
-    t as (select window_id, instrument, fast, slow, {_SEG} from days join w on date_trunc('month', day) between ta and tb group by all),
-    u as (select *, row_number() over (partition by window_id, instrument order by mean_pnl desc, win_rate desc, fast, slow) as r from t),
+    te as (select w.window_id, days.*, sum(pnl_day) over (partition by window_id, instrument, fast, slow order by day rows unbounded preceding) as eq from days join w on date_trunc('month', day) between ta and tb),
+    td as (select *, eq - max(eq) over (partition by window_id, instrument, fast, slow order by day rows unbounded preceding) as dd from te),
+    t as (select window_id, instrument, fast, slow, {_SEG}, min(dd) as max_drawdown from td group by all),
+    u as (select *, row_number() over (partition by window_id, instrument order by round(mean_pnl, 6) desc, round(win_rate, 6) desc, round(max_drawdown, 6) desc, fast, slow) as r from t),
     v as (select window_id, instrument, fast, slow, {_SEG} from days join w on date_trunc('month', day) between va and vb group by all)
     select u.window_id, u.instrument, u.fast, u.slow, round(u.mean_pnl, 4) as train_mean, u.days as train_days, round(v.mean_pnl, 4) as valid_mean, v.days as valid_days
     from u left join v using (window_id, instrument, fast, slow) where r = 1""", recursive=True))
 def walk_forward(spark, sf_dir):
-    """F15, F16, B19 train and validation windows rolling over months."""
+    """F15 train and validation windows rolling over months."""
     days = _grid_days(spark, sf_dir)
     months = views.sessions(spark, sf_dir).select(F.trunc("trade_date", "month").alias("month"))
     out = signals.walk_forward(days, signals.month_windows(months, 24, 12, 12), ["instrument", "fast", "slow"])
@@ -219,13 +221,15 @@ def gate_buckets(spark, sf_dir):
     return rounded(out.select(F.coalesce(F.col("risk").cast("string"), F.lit("all")).alias("gate"), "days", F.round("m", 4).alias("mean_pnl"), "win_rate"))
 
 
-@query(sql("day_bars", """, s as (select *, high - low as s from day_bars), r as (select *, case when count(s) over w >= 5 then avg(s) over w end as base from s window w as (partition by instrument order by trade_date rows between 20 preceding and 1 preceding)),
-    x as (select instrument, trade_date, s / nullif(base, 0) as range_ratio, (close - low) / nullif(s, 0) as close_pos from r)
-    select instrument, trade_date, round(range_ratio, 6) as range_ratio, round(close_pos, 6) as close_pos, case when range_ratio is null then null when range_ratio <= 0.8 then 'R1' when range_ratio >= 1.2 and (close_pos <= 0.3 or close_pos >= 0.7) then 'R2' when range_ratio >= 1.2 then 'R3' else 'R4' end as regime from x"""))
+@query(sql("day_bars", """, s as (select *, high - low as s, avg(high - low) over (partition by instrument order by trade_date rows between 20 preceding and 1 preceding) as base from day_bars),
+    x as (select instrument, trade_date, s / greatest(base, 1e-12) as range_ratio, (close - low) / greatest(s, 1e-12) as close_pos, abs(close - open) / greatest(s, 1e-12) as body_ratio, base from s)
+    select instrument, trade_date, round(case when base is not null then range_ratio end, 6) as range_ratio, round(close_pos, 6) as close_pos, round(body_ratio, 6) as body_ratio, case when base is null then 'R4'
+    when range_ratio <= 0.85 and close_pos between 0.4 and 0.6 then 'R1' when range_ratio >= 1.25 and (close_pos >= 0.7 or close_pos <= 0.3) and body_ratio >= 0.6 then 'R2'
+    when range_ratio >= 1.25 and close_pos between 0.4 and 0.6 then 'R3' else 'R4' end as regime from x"""))
 def regime_r1r4(spark, sf_dir):
     """G7 four day regimes."""
     out = events.regime_r(views.day_bars(spark, sf_dir), "instrument", "trade_date")
-    return rounded(out.select("instrument", "trade_date", "range_ratio", "close_pos", "regime"))
+    return rounded(out.select("instrument", "trade_date", "range_ratio", "close_pos", "body_ratio", "regime"))
 
 
 _VOL = """v as (select instrument, trade_date, close - open as pnl_day, (high - low) / nullif(open, 0) as v, abs(close - open) / nullif(high - low, 0) as t from day_bars),
@@ -353,17 +357,25 @@ def level_crossings(spark, sf_dir):
     return rounded(events.level_crossings(d, _levels(d), "instrument", "trade_date"))
 
 
-@query(sql("day_bars", f""", {_CROSS}, t as (select *, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr, row_number() over w as i from day_bars window w as (partition by instrument order by trade_date)),
+def approach_sql(grid: str) -> str:
+    """Rows st: events with their parameters n, k, x of a values list, and the approach state."""
+    return f""", {_CROSS}, t as (select *, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr, row_number() over w as i from day_bars window w as (partition by instrument order by trade_date)),
     a as (select *, case when count(tr) over w >= 5 then avg(tr) over w end as atr from t window w as (partition by instrument order by trade_date rows 13 preceding)),
-    e as (select cr.*, a.i as e, a.atr from cr join a on a.instrument = cr.instrument and a.trade_date = cr.crossed_on),
-    x as (select e.instrument, crossed_on, level_id, direction, outcome, min(p.i) filter (p.low <= level_price and p.high >= level_price) as t, max(p.i) filter (abs(p.close - level_price) >= 0.5 * e.atr) as o
-        from e left join a p on p.instrument = e.instrument and p.i between e.e - 5 and e.e - 1 group by all)
-    select instrument, crossed_on, level_id, direction, outcome, case when t is null then 'direct' when o > t then 'rejection' else 'retest' end as approach_state from x"""))
+    e as (select cr.*, a.i as e, 0.25::double * a.atr as z, grid.n, grid.k, grid.x from cr join a on a.instrument = cr.instrument and a.trade_date = cr.crossed_on, (values {grid}) as grid(n, k, x)),
+    h as (select e.*, p.i, p.atr as pa, (p.low <= level_price and p.high >= level_price) or abs(p.close - level_price) <= z as touched,
+        case when direction = 'up' then level_price - p.low else p.high - level_price end >= x * p.atr as gone
+        from e left join a p on p.instrument = e.instrument and p.i between e.e - greatest(e.n, e.k) and e.e - 1),
+    g as (select instrument, crossed_on, level_id, direction, outcome, n, k, x, z, min(i) filter (touched and pa is not null and i >= e - k) as t, max(i) filter (gone and i >= e - k) as o,
+        coalesce(bool_or(touched) filter (i >= e - n), false) as near from h group by all),
+    st as (select *, case when z is null then null when o > t then 'rejection' when o is not null then null when t is not null then 'retest' when not near then 'direct' end as approach_state from g)"""
+
+
+@query(sql("day_bars", f"{approach_sql('(10, 5, 0.5)')} select instrument, crossed_on, level_id, direction, outcome, approach_state from st"))
 def classify_approach(spark, sf_dir):
     """G3 how price came to a level."""
     d = wn.with_atr(views.day_bars(spark, sf_dir), "instrument", "trade_date")
     ev = events.level_crossings(d, _levels(d), "instrument", "trade_date")
-    return events.approach(ev, d, "instrument", "trade_date", 5, 0.5, "atr")
+    return events.approach(ev, d, "instrument", "trade_date", [(10, 5, 0.5)], "atr").drop("n", "k", "x")
 
 
 @query(sql("day_bars", f""", k as (select *, count(*) over (partition by instrument) as c, row_number() over (partition by instrument order by trade_date) - 1 as i, min(close) over (partition by instrument) as lo, max(close) over (partition by instrument) as hi from day_bars),
@@ -396,13 +408,19 @@ def compression_breakout(spark, sf_dir):
     return rounded(events.compression_breakouts(views.day_bars(spark, sf_dir), "instrument", "trade_date", 0.8, 60))
 
 
-@query(sql("day_bars", """, a as (select *, high - low as s, sign(close - open) as d, case when count(volume) over w >= 5 then avg(volume) over w end as bv, case when count(high) over w >= 5 then avg(high - low) over w end as bs from day_bars window w as (partition by instrument order by trade_date rows between 20 preceding and 1 preceding)),
-    b as (select *, volume / nullif(bv, 0) as v, s / nullif(bs, 0) as r, (close - low) / nullif(s, 0) as p from a)
-    select instrument, trade_date, list_filter([case when v >= 2 and r >= 1.5 then 'climactic' end, case when v <= 0.6 and r <= 0.7 and d > 0 then 'no_demand' end, case when v <= 0.6 and r <= 0.7 and d < 0 then 'no_supply' end,
-    case when v >= 2 and d < 0 and p >= 0.5 then 'stopping' end, case when v >= 2 and r <= 0.7 then 'effort_no_result' end, case when v >= 2 and d = 0 then 'absorption' end], lambda x: x is not null) as tags from b"""))
+@query(sql("day_bars", """, a as (select *, high - low as s, row_number() over w as i, lag(low) over w as pl, lag(close) over w as pc, lag(close, 2) over w as c2, lag(close, 3) over w as c3, lag(volume) over w as pv, lag(n) over w as pn,
+        max(high) over (partition by instrument order by trade_date rows between 5 preceding and 1 preceding) as h5 from day_bars window w as (partition by instrument order by trade_date)),
+    b as (select *, case when count(*) over w >= 20 then avg(volume) over w end as vm, case when count(*) over w >= 20 then stddev_pop(volume) over w end as vs, case when count(*) over w >= 20 then quantile_cont(s, 0.25) over w end as p25,
+        sign(pc - c3) as d, (high - greatest(open, close)) / (s + 1e-9) as up, (least(open, close) - low) / (s + 1e-9) as dn, (close - low) / (s + 1e-9) as p from a window w as (partition by instrument order by trade_date rows 19 preceding)),
+    c as (select *, (volume - vm) / nullif(vs, 0) as z from b), e as (select *, min(z) over w as z3, avg(s) over w as s3 from c window w as (partition by instrument order by trade_date rows 2 preceding))
+    select instrument, trade_date, list_filter([case when z >= 2 and s > 0 and ((d > 0 and up > 0.35) or (d < 0 and dn > 0.35)) then 'ClimacticVolume' end,
+    case when s <= p25 and volume <= 0.7::double * vm and close >= open then 'NoDemand' end, case when s <= p25 and volume <= 0.7::double * vm and close < open then 'NoSupply' end,
+    case when z >= 1.5 and s > 0 and ((d < 0 and p > 0.6) or (d > 0 and p < 0.4)) then 'StoppingVolume' end, case when low < pl and close > pc and vm > 0 and volume < 0.9::double * vm then 'TestShakeout' end,
+    case when z >= 1.2 and s <= p25 then 'EffortVsResult' end, case when i >= 3 and z3 >= 1 and abs(close - c2) <= 0.8::double * s3 then 'Absorption' end, case when i >= 6 and high >= h5 and volume < pv then 'VolumeDivergence' end,
+    case when close > pc and n < pn then 'OIdiv_up_price_down_oi' end, case when close < pc and n > pn then 'OIdiv_down_price_up_oi' end], lambda x: x is not null) as tags from e"""))
 def volume_patterns(spark, sf_dir):
-    """F22 tags of volume against range."""
-    return events.volume_patterns(views.day_bars(spark, sf_dir), "instrument", "trade_date").select("instrument", "trade_date", "tags")
+    """F22 tags of volume against price, range and open interest (here the number of trades)."""
+    return events.volume_patterns(views.day_bars(spark, sf_dir), "instrument", "trade_date", oi="n").select("instrument", "trade_date", "tags")
 
 
 @query(sql("day_bars", "select instrument, trade_date, round(close - open, 6) as pnl from day_bars qualify row_number() over (partition by instrument order by close - open, trade_date) <= 5"))

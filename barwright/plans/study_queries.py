@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwright.operators import bars, events, recurrence, signals, studies, windows as wn
 from barwright.plans.joins_queries import _ROLL, ema_sql
 from barwright.plans.registry import query, rounded
-from barwright.plans.research_queries import _CROSS, _levels, _LEVELS
+from barwright.plans.research_queries import _levels, _LEVELS, approach_sql
 from barwright.plans.stream_queries import _room, _stream, _written
 from barwright.sources import views
 from barwright.sources.views import sql
@@ -79,7 +79,7 @@ def day_context(spark, sf_dir):
 
 @query(sql("day_bars", f""", f as (select instrument, trade_date, cast(close > open as integer) as good, trade_date < date '1999-01-01' as train, lag((high - low) / open) over {_D} as rel_range, lag(volume) over {_D} as prior_volume from day_bars),
     l as (select good, train, unnest(['rel_range', 'prior_volume']) as feature, unnest([rel_range, prior_volume]) as value from f), v as (select * from l where value is not null),
-    c as (select feature, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from v where train group by feature), b as (select train, avg(good) as base from f group by train),
+    c as (select feature, quantile_cont(value, 0.1) as lo, quantile_cont(value, 0.9) as hi from v where train group by feature having count(*) >= 200), b as (select train, avg(good) as base from f group by train),
     h as (select feature, 'low' as tail, train, good, lo as cut from v join c using (feature) where value <= lo union all select feature, 'high', train, good, hi from v join c using (feature) where value >= hi),
     p as (select feature, tail, train, any_value(cut) as cut, count(*) as n, avg(good) as rate from h group by all)
     select feature, tail, case when train then 'train' else 'test' end as period, round(cut, 6) as cut, n, round(rate, 6) as rate, round(rate / base, 6) as lift, n >= 30 and rate / base >= 1.2 and rate >= base + 0.02 as ok from p join b using (train)"""))
@@ -92,23 +92,13 @@ def quantile_feature_screen(spark, sf_dir):
     return rounded(studies.quantile_screen(d, ["rel_range", "prior_volume"], "good", F.col("trade_date") < "1999-01-01", 0.1, 30))
 
 
-def _sweep_sql() -> str:
-    grid = "(values (3, 0.5), (3, 1.0), (5, 0.5), (5, 1.0)) as grid(k, x)"
-    return f""", {_CROSS}, t as (select *, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr, row_number() over w as i from day_bars window w as (partition by instrument order by trade_date)),
-    a as (select *, case when count(tr) over w >= 5 then avg(tr) over w end as atr from t window w as (partition by instrument order by trade_date rows 13 preceding)),
-    e as (select cr.*, a.i as e, a.atr, k, x from cr join a on a.instrument = cr.instrument and a.trade_date = cr.crossed_on, {grid} where outcome is not null),
-    s as (select e.instrument, crossed_on, level_id, outcome, k, x, min(p.i) filter (p.low <= level_price and p.high >= level_price) as t, max(p.i) filter (abs(p.close - level_price) >= x * e.atr) as o
-        from e left join a p on p.instrument = e.instrument and p.i between e.e - e.k and e.e - 1 group by all),
-    z as (select k, x, outcome, case when t is null then 'direct' when o > t then 'rejection' else 'retest' end as approach_state from s)
-    select k, cast(x as double) as x, approach_state, count(*) as n, count(*) filter (outcome = 'confirmed') as hits, round((count(*) filter (outcome = 'confirmed') + 1) / (count(*) + 2), 6) as p from z group by all"""
-
-
-@query(sql("day_bars", _sweep_sql()))
+@query(sql("day_bars", f"""{approach_sql('(10, 3, 0.5), (10, 3, 1.0), (10, 5, 0.5), (15, 5, 1.0)')} select n, k, cast(x as double) as x, approach_state, count(*) as events, count(*) filter (outcome = 'confirmed') as hits,
+    round((count(*) filter (outcome = 'confirmed') + 1) / (count(*) + 2), 6) as p from st where outcome is not null and approach_state is not null group by all"""))
 def approach_sweep(spark, sf_dir):
     """G4 approach states over a grid of parameters."""
     d = wn.with_atr(views.day_bars(spark, sf_dir), "instrument", "trade_date")
     c = events.level_crossings(d, _levels(d), "instrument", "trade_date")
-    return rounded(studies.approach_sweep(c, d, "instrument", "trade_date", [3, 5], [0.5, 1.0], "atr"))
+    return rounded(studies.approach_sweep(c, d, "instrument", "trade_date", [(10, 3, 0.5), (10, 3, 1.0), (10, 5, 0.5), (15, 5, 1.0)], "atr"))
 
 
 @query(sql("day_bars", f""", {_LEVELS} select d.instrument, d.trade_date, bool_or(abs(close - level_price) <= 0.05 * level_price) as near_level,
@@ -128,11 +118,11 @@ def lake_refresh(spark, sf_dir):
     return studies.refresh(spark, _room(spark), raw, views.contracts(spark, sf_dir), "trade_date")
 
 
-@query(sql("sessions", """, d as (select cast(trade_date as timestamp) as d from sessions where year(trade_date) = 1999)
+@query(sql("sessions", """, d as (select cast(trade_date as timestamp) as d from sessions)
     select cast(unnest(generate_series(d + interval '10 hours 5 minutes', d + interval '14 hours', interval 5 minute)) as timestamp) as expected_end, cast(d as date) as trade_date from d"""))
 def expected_bars(spark, sf_dir):
     """J7, D7 the bars that a calendar expects."""
-    s = views.sessions(spark, sf_dir).where("year(trade_date) = 1999").withColumn("d", F.col("trade_date").cast("timestamp_ntz"))
+    s = views.sessions(spark, sf_dir).withColumn("d", F.col("trade_date").cast("timestamp_ntz"))
     ends = F.expr("sequence(d + interval 10 hours 5 minutes, d + interval 14 hours, interval 5 minutes)")
     return s.select(F.explode(ends).alias("expected_end"), "trade_date")
 
