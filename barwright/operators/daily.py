@@ -74,6 +74,18 @@ def pivot_last(df: DataFrame, keys: list[str], group: str, groups: list[str], va
     return wide.withColumn("total", total)
 
 
+def group_shares(df: DataFrame, keys: list[str], group: str, groups: list[str], value: str, order, along: str, within: list[str] = ()) -> DataFrame:
+    """Wide form with each group's share of the total size, and the total's change from row to row."""
+    wide = df.groupBy(*keys).pivot(group, groups).agg(F.max_by(value, order))
+    total = F.abs(F.col(groups[0]))
+    for g in groups[1:]:
+        total = total + F.abs(F.col(g))
+    wide = wide.withColumn("oi_total", total)
+    shares = {f"{g}_share": F.try_divide(F.abs(F.col(g)), F.nullif("oi_total", F.lit(0.0))) for g in groups}
+    w = W.partitionBy(*(within or [F.lit(0)])).orderBy(along)  # one row per bucket, of one series or of each of within
+    return wide.withColumns(shares).withColumn("oi_delta", F.col("oi_total") - F.lag("oi_total").over(w))
+
+
 def last_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last whole row of each key."""
     w = W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
@@ -87,25 +99,33 @@ def daily_mode(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def period_report(days: DataFrame, keys: list[str], day: str, period: str) -> DataFrame:
-    """Per calendar period: days, profit, mean, win rate, and whether it was profitable."""
+def period_report(days: DataFrame, keys: list[str], day: str, period: str, stopped: str | None = None) -> DataFrame:
+    """Per calendar period: days, profit, mean, win rate, and whether it was profitable; with a column of
+    stopped trades also trades and the rate of these."""
+    more = [F.count(F.lit(1)).alias("trades"), F.avg(F.col(stopped).cast("double")).alias("stop_rate")] if stopped else []
     return days.groupBy(*keys, F.date_trunc(period, day).cast("date").alias("period")).agg(
         F.count_distinct(day).alias("days"),
         F.sum("pnl_day").alias("net"),
         F.avg("pnl_day").alias("mean"),
         F.avg((F.col("pnl_day") > 0).cast("double")).alias("win_rate"),
         (F.sum("pnl_day") > 0).alias("profitable"),
+        *more,
     )
 
 
+def profit_factor(pnl: str) -> Column:
+    """An aggregate: gains over losses, infinite without losses."""
+    gain, loss = (F.sum(F.when(c, F.abs(pnl)).otherwise(0.0)) for c in (F.col(pnl) > 0, F.col(pnl) < 0))
+    return F.when(loss == 0, F.lit(float("inf"))).otherwise(F.try_divide(gain, loss))
+
+
 def trade_stats(days: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Profit factor (infinite without losses), win rate and worst drawdown of a series of results; keys
     may hold a period (see scalar.period_of), whose equity then starts anew."""
     curve = wn.with_drawdown(days, "pnl_day", keys, order)
-    gain, loss = (F.sum(F.when(c, F.abs("pnl_day")).otherwise(0.0)) for c in (F.col("pnl_day") > 0, F.col("pnl_day") < 0))
     return curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.when(loss == 0, F.lit(float("inf"))).otherwise(F.try_divide(gain, loss)).alias("profit_factor"),
+        profit_factor("pnl_day").alias("profit_factor"),
         F.avg((F.col("pnl_day") > 0).cast("double")).alias("win_rate"),
         F.min("drawdown").alias("max_drawdown"),
     )

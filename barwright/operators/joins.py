@@ -63,6 +63,44 @@ def ambiguous(joined: DataFrame, key: list[str]) -> DataFrame:
     return joined.groupBy(*key).agg(F.count(F.lit(1)).alias("matches")).where("matches > 1")
 
 
+def _fails(bad: DataFrame, reason: str) -> None:
+    """Stops the run if there is a bad row; looks no further than the first."""
+    from barwright.operators.quality import CheckFailed
+
+    if not bad.isEmpty():
+        raise CheckFailed(reason)
+
+
+def _repeated(df: DataFrame, on: list[str]) -> DataFrame:
+    return df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+
+
+def one_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join whose keys stand once on either side; repeated keys raise."""
+    _fails(_repeated(left, on), "left_keys_not_unique")
+    _fails(_repeated(right, on), "right_keys_not_unique")
+    return left.join(right, on)
+
+
+def many_to_one(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Every left row with its one right row; a repeated right key or a left row without one raises."""
+    _fails(_repeated(right, on), "right_keys_not_unique")
+    _fails(left.join(right, on, "left_anti"), "lookup_missed")
+    return left.join(right, on)
+
+
+def covered_once(rows: DataFrame, windows: DataFrame, on: list[str], key: list[str], at: str, start: str, end: str) -> DataFrame:
+    """Every row with the one window that holds ``at`` (start < at <= end); a row in none or in more raises."""
+    a, b = rows.alias("a"), windows.alias("b")
+    test = (F.col(f"b.{start}") < F.col(f"a.{at}")) & (F.col(f"a.{at}") <= F.col(f"b.{end}"))
+    for c in on:
+        test = (F.col(f"a.{c}") == F.col(f"b.{c}")) & test
+    met = a.join(b, test, "left").select("a.*", *(F.col(f"b.{c}") for c in windows.columns if c not in on))
+    _fails(met.where(F.col(start).isNull()), "outside_session_calendar")
+    _fails(_repeated(met, key), "covered_more_than_once")
+    return met
+
+
 def missing_keys(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:
     return expected.select(*keys).distinct().join(observed.select(*keys).distinct(), keys, "left_anti")
 
@@ -120,10 +158,19 @@ def previous_and_next(anchors: DataFrame, sessions: DataFrame, anchor: str, day:
     )
 
 
-def first_touch(events: DataFrame, bars: DataFrame, keys: list[str], event_ts: str, bar_ts: str, hit: Column) -> DataFrame:
-    """Per event the first later bar of its key for which ``hit`` holds (null where none does)."""
-    e, b = events.alias("e"), bars.alias("b")
-    cond = F.col(f"b.{bar_ts}") > F.col(f"e.{event_ts}")
+def first_touch(events: DataFrame, bars: DataFrame, keys: list[str], event_ts: str, bar_ts: str, hit: Column, within: int, span: int = 32) -> DataFrame:
+    """Per event the first bar of its key after it, at most ``within`` days later, for which ``hit`` holds
+    (null where none does). Repeated events are one.
+
+    Days are dealt into spans; an event goes to the few spans that its days reach into, so it meets the
+    bars of these and not those of its whole key.
+    """
+    number = F.floor(F.datediff(F.col(bar_ts), F.lit("1970-01-01")) / span)
+    from_, to = (F.floor((F.datediff(F.col(event_ts), F.lit("1970-01-01")) + d) / span) for d in (0, within))
+    e = events.withColumn("_span", F.explode(F.sequence(from_, to))).alias("e")
+    b = bars.withColumn("_span", number).alias("b")
+    cond = (F.col("e._span") == F.col("b._span")) & (F.col(f"b.{bar_ts}") > F.col(f"e.{event_ts}"))
+    cond = cond & (F.datediff(F.col(f"b.{bar_ts}"), F.col(f"e.{event_ts}")) <= within)
     for k in keys:
         cond = (F.col(f"e.{k}") == F.col(f"b.{k}")) & cond
     return e.join(b, cond & hit, "left").groupBy(*(F.col(f"e.{c}") for c in events.columns)).agg(
@@ -131,6 +178,22 @@ def first_touch(events: DataFrame, bars: DataFrame, keys: list[str], event_ts: s
     )
 
 
+def touch_fills(events: DataFrame, bars: DataFrame, keys: list[str], day: str, ts: str, level: str, side: str) -> DataFrame:
+    """Break of a level within a day: entered at the open of the bar after the first that trades through
+    it, left at the day's last close. events: keys, day, level, side (1 up, -1 down); nulls where nothing
+    was touched, or where the touch was the day's last bar."""
+    w = W.partitionBy(*keys, day).orderBy(ts)
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    b = bars.withColumn("_open", F.lead("open").over(w)).withColumn("_at", F.lead(ts).over(w)).withColumn("_exit", F.last("close").over(whole))
+    met = events.join(b, [*keys, day], "left")
+    through = F.when(F.col(side) > 0, F.col("high") > F.col(level)).otherwise(F.col("low") < F.col(level))
+    first = F.min_by(F.struct(F.col("_at").alias("filled_at"), F.col("_open").alias("fill")), F.when(through, F.col(ts)))
+    out = met.groupBy(*events.columns).agg(F.min(F.when(through, F.col(ts))).alias("touched_at"), first.alias("_f"), F.max("_exit").alias("_x"))
+    return out.select(
+        *events.columns, "touched_at", "_f.filled_at", "_f.fill", F.when(F.col("_f.fill").isNotNull(), F.col(side) * (F.col("_x") - F.col("_f.fill"))).alias("pnl")
+    )
+
+
 def bucketed_join(left: DataFrame, right: DataFrame, keys: list[str], left_bucket: Column, right_bucket: Column) -> DataFrame:
     """Left join on keys and computed buckets; the right must have one row per bucket."""
     return left.withColumn("bucket", left_bucket).join(right.withColumn("bucket", right_bucket), [*keys, "bucket"], "left")

@@ -92,15 +92,16 @@ def grid(fasts: range, slows: range) -> list[tuple[int, int]]:
     return [(f, s) for f in fasts for s in slows if f < s]
 
 
-def grid_search(bars: DataFrame, key: str, order: str, pairs: list[tuple[int, int]], commission: float, day: Column) -> DataFrame:
+def grid_search(bars: DataFrame, key: str | list[str], order: str, pairs: list[tuple[int, int]], commission: float, day: Column) -> DataFrame:
     """Day results of every pair: each span's average is computed once, pairs are exploded afterwards."""
     spans = sorted({s for p in pairs for s in p})
-    df = with_ema(bars, [key], [order], "close", {f"e{s}": s for s in spans})
+    own = [key] if isinstance(key, str) else list(key)
+    df = with_ema(bars, own, [order], "close", {f"e{s}": s for s in spans})
     options = F.array(
         *(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.signum(F.col(f"e{f}") - F.col(f"e{s}")).cast("int").alias("signal")) for f, s in pairs)
     )
-    long = df.select(key, order, "open", "close", F.explode(options).alias("g")).select(key, order, "open", "close", "g.*")
-    keys = [key, "fast", "slow"]
+    long = df.select(*own, order, "open", "close", F.explode(options).alias("g")).select(*own, order, "open", "close", "g.*")
+    keys = [*own, "fast", "slow"]
     long = long.withColumn("position", F.coalesce(F.lag("signal").over(wn.over(keys, order)), F.lit(0)))
     return by_day(open_to_open(long, keys, order, commission).withColumn("day", day), keys, "day")
 
@@ -149,6 +150,79 @@ def walk_forward(days: DataFrame, windows: DataFrame, keys: list[str]) -> DataFr
     return best.select("window_id", *keys, F.col("mean_pnl").alias("train_mean"), "train_days", "valid_mean", "valid_total", "valid_days")
 
 
+def held_out_months(bars: DataFrame, order: str, n: int) -> DataFrame:
+    """bars with role: 'holdout' in the last n months that have bars, 'train' before.
+
+    There must be a month more than that; months are counted over all keys, a few rows a year.
+    """
+    from barwright.operators.quality import CheckFailed
+
+    month = F.trunc(order, "month")
+    known = bars.agg(F.sort_array(F.collect_set(month), asc=False).alias("m"))
+    if (known.select(F.size("m")).first()[0] or 0) < n + 1:
+        raise CheckFailed("not_enough_months")
+    cut = F.broadcast(known.select(F.element_at("m", n).alias("_cut")))
+    return bars.join(cut).withColumn("role", F.when(month >= F.col("_cut"), "holdout").otherwise("train")).drop("_cut")
+
+
+def holdout(bars: DataFrame, key: str, order: str, pairs: list[tuple[int, int]], commission: float, months: int, day: Column) -> DataFrame:
+    """Per key the best pair of the training months, frozen, and its results on the last ``months``.
+
+    Averages start anew in either part, so the training part sees nothing of the other.
+    """
+    parts = held_out_months(bars, order, months)
+    results = segment(grid_search(parts, ["role", key], order, pairs, commission, day), ["role", key, "fast", "slow"])
+
+    def of(role: str, c: str):
+        return F.max(F.when(F.col("role") == role, F.col(c)))
+
+    metrics = ("mean_pnl", "win_rate", "max_drawdown", "total_pnl", "days")
+    wide = results.groupBy(key, "fast", "slow").agg(*(of("train", c).alias(c) for c in metrics), *(of("holdout", c).alias(f"holdout_{c}") for c in metrics))
+    return ranked(wide.where("days is not null"), [key], ["fast", "slow"]).where("rank = 1").drop("rank")
+
+
+def timeframe_holdout(frames: dict[str, DataFrame], key: str, order: str, pairs: list[tuple[int, int]], commission: float, months: int, day: Column) -> DataFrame:
+    """Every pair of every timeframe on the last ``months``, ranked within key and timeframe on these
+    months themselves. ``frames`` has bars of the same columns by timeframe."""
+    df = None
+    for name, bars in frames.items():
+        part = held_out_months(bars, order, months).where("role = 'holdout'").withColumn("timeframe", F.lit(name))
+        df = part if df is None else df.unionByName(part)
+    results = segment(grid_search(df, ["timeframe", key], order, pairs, commission, day), ["timeframe", key, "fast", "slow"])
+    return ranked(results, ["timeframe", key], ["fast", "slow"])
+
+
+def gated_grid(days: DataFrame, context: DataFrame, on: list[str], keys: list[str], day: str, blocked: str, since: str | None = None) -> DataFrame:
+    """Results of every key as they are (RAW) and without the blocked days (BLOCK), over all days and
+    from ``since`` on. Every day must have a context; a day without one stops the run."""
+    from barwright.operators.joins import many_to_one
+
+    met = many_to_one(days, context.select(*on, F.col(blocked).alias("_blocked")), on)
+    modes = F.array(F.lit("RAW"), F.when(~F.col("_blocked"), "BLOCK"))
+    slices = F.array(F.lit("full"), *([F.when(F.col(day) >= F.lit(since).cast("date"), f"from_{since}")] if since else []))
+    long = met.withColumn("mode_name", F.explode(F.array_compact(modes))).withColumn("slice_label", F.explode(F.array_compact(slices)))
+    out = long.groupBy("mode_name", "slice_label", *keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(day).alias("first_date"), F.max(day).alias("last_date"), F.sum("pnl_day").alias("total_pnl"),
+        F.max(-F.col("drawdown")).alias("max_drawdown"), F.sum("trades_day").alias("trades"), F.avg((F.col("pnl_day") > 0).cast("double")).alias("edge_rate"),
+    )
+    return out.withColumn("pnl_max_dd", F.try_divide("total_pnl", F.nullif("max_drawdown", F.lit(0.0))))
+
+
+def lead_follow(df: DataFrame, keys: list[str], order: str, lead: str, follow: str, least: float, cost: float) -> DataFrame:
+    """Per key the results of trading ``follow`` in the direction of ``lead``'s last log return, where that
+    reached ``least``: bars, trades, win rate of bars that moved, net profit and its mean per trade."""
+    w = wn.over(keys, order)
+    r = wn.log_return(lead, w)
+    df = df.withColumn("_s", F.when(F.abs(r) >= least, F.signum(r)).otherwise(0.0))
+    df = df.withColumn("_p", F.coalesce(F.lag("_s").over(w), F.lit(0.0))).withColumn("_d", wn.diff(follow, w))
+    df = df.withColumn("_g", F.col("_p") * F.col("_d")).withColumn("_t", (F.col("_p") != F.coalesce(F.lag("_p").over(w), F.lit(0.0))).cast("long"))
+    out = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("bars"), F.sum("_t").alias("trades"), F.avg(F.when(F.col("_g") != 0, (F.col("_g") > 0).cast("double"))).alias("win_rate"),
+        (F.coalesce(F.sum(F.col("_g") - F.col("_t") * cost), F.lit(0.0))).alias("pnl_net"),
+    )
+    return out.withColumn("avg_per_trade", F.coalesce(F.try_divide("pnl_net", "trades"), F.lit(0.0)))
+
+
 def threshold_positions(bars: DataFrame, key: str, order: str, n: int, k: float) -> DataFrame:
     """Mean reversion: against returns beyond k deviations of the last n; held for the next bar."""
     w = wn.over(key, order)
@@ -177,40 +251,48 @@ def hysteresis(df: DataFrame, key: str, order: str, x: str, enter: float, leave:
     return df.groupBy(key).applyInPandas(run, f"{spec}, position int")
 
 
-def brackets(days: DataFrame, keys: list[str], order: str, stop_k: float, take_k: float) -> DataFrame:
+def brackets(days: DataFrame, keys: list[str], order: str, grid: list[tuple[float, float]]) -> DataFrame:
     """One position at a time: entered at the next open after a signal, closed by an ATR stop, else by an
-    ATR target, else at the last close. Rows: keys, entry, exit, side, pnl, reason.
+    ATR target, else at the last close; for every (stop_k, take_k) of the grid, in multiples of the ATR at
+    the signal. Rows: keys, stop_k, take_k, entry, exit, side, pnl, reason.
 
-    The next entry depends on the last exit, so each key (with its parameters) is one group.
+    The next entry depends on the last exit, so each key with its parameters is one group; the grid is
+    part of the key, and groups run side by side.
     """
     kinds = {f.name: f.dataType.simpleString() for f in days.schema}
-    spec = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", entry {kinds[order]}, exit {kinds[order]}, side int, pnl double, reason string"
-    names = [*keys, "entry", "exit", "side", "pnl", "reason"]
+    spec = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", stop_k double, take_k double, entry {kinds[order]}, exit {kinds[order]}, side int, pnl double, reason string"
+    names = [*keys, "stop_k", "take_k", "entry", "exit", "side", "pnl", "reason"]
+    options = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("stop_k"), F.lit(float(t)).alias("take_k")) for s, t in grid)))
+    used = [*keys, order, "open", "high", "low", "close", "atr", "signal"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        rows, head, side = [], [pdf[k].iloc[0] for k in keys], 0
-        for i in range(1, len(pdf)):
-            bar, before = pdf.iloc[i], pdf.iloc[i - 1]
-            if side == 0 and before["signal"] != 0 and before["atr"] == before["atr"] and before["atr"] is not None:
-                side, entry, price = int(before["signal"]), bar[order], bar["open"]
-                stop, take = price - side * stop_k * before["atr"], price + side * take_k * before["atr"]
+        pdf = pdf.sort_values(order)
+        at = pdf[order].tolist()
+        o, h, l, c, atr, signal = (pdf[x].to_numpy(dtype=float) for x in ("open", "high", "low", "close", "atr", "signal"))
+        head = [pdf[k].iloc[0] for k in (*keys, "stop_k", "take_k")]
+        stop_k, take_k = head[-2:]
+        rows, side = [], 0
+        for i in range(1, len(at)):
             if side == 0:
+                if not signal[i - 1] or atr[i - 1] != atr[i - 1]:
+                    continue
+                side, entry, price = int(signal[i - 1]), at[i], o[i]
+                stop, take = price - side * stop_k * atr[i - 1], price + side * take_k * atr[i - 1]
+            worst, best = (l[i], h[i]) if side > 0 else (h[i], l[i])
+            if (worst - stop) * side <= 0:
+                out, reason = stop, "stop"
+            elif (best - take) * side >= 0:
+                out, reason = take, "target"
+            elif i == len(at) - 1:
+                out, reason = c[i], "end"
+            else:
                 continue
-            low, high = (bar["low"], bar["high"]) if side > 0 else (bar["high"], bar["low"])
-            at = reason = None
-            if (low - stop) * side <= 0:
-                at, reason = stop, "stop"
-            elif (high - take) * side >= 0:
-                at, reason = take, "target"
-            elif i == len(pdf) - 1:
-                at, reason = bar["close"], "end"
-            if reason:
-                rows.append((*head, entry, bar[order], side, (at - price) * side, reason))
-                side = 0
+            rows.append((*head, entry, at[i], side, (out - price) * side, reason))
+            side = 0
         return pd.DataFrame(rows, columns=names)
 
-    return days.groupBy(*keys).applyInPandas(run, spec)
+    many = days.select(*used, options.alias("_g")).select(*used, "_g.*")
+    return many.groupBy(*keys, "stop_k", "take_k").applyInPandas(run, spec)
 
 
 def realized(log: DataFrame, keys: list[str], order: str) -> DataFrame:

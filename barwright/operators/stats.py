@@ -102,6 +102,25 @@ def transitions(df: DataFrame, label: str, keys, order) -> DataFrame:
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("label_from")))
 
 
+def run_verdict(df: DataFrame, good: str, key: str, order: str, margin: float = 0.05) -> DataFrame:
+    """Per key: the share of good rows, how often one follows its like, mean lengths of runs and those that
+    independent rows would give, and a verdict: CLUSTERED where good rows follow good ones by ``margin``
+    more than their share and runs are longer, ALTERNATING where they do so by that much less."""
+    from barwright.operators.windows import over, with_runs
+
+    d = with_runs(df, good, key, order).withColumn("_n", F.lead(good).over(over(key, order)))
+    g, nxt = F.col(good), F.col("_n")
+    run = F.when(F.col("run_pos") == 1, F.col("run_len"))
+    out = d.groupBy(key).agg(
+        F.avg(g.cast("double")).alias("p_good"), F.avg(F.when(g, nxt.cast("double"))).alias("p_good_good"), F.avg(F.when(~g, (~nxt).cast("double"))).alias("p_bad_bad"),
+        F.avg(F.when(g, run)).alias("mean_good_run"), F.avg(F.when(~g, run)).alias("mean_bad_run"),
+    )
+    out = out.withColumn("iid_good_run", F.try_divide(F.lit(1.0), 1 - F.col("p_good"))).withColumn("iid_bad_run", F.try_divide(F.lit(1.0), F.col("p_good")))
+    more = F.col("p_good_good") - F.col("p_good")
+    verdict = F.when((more >= margin) & (F.col("mean_good_run") > F.col("iid_good_run")), "CLUSTERED").when(-more >= margin, "ALTERNATING").otherwise("IID_LIKE")
+    return out.withColumn("verdict", verdict)
+
+
 def beta_posterior(df: DataFrame, keys: list[str], hit: str, a: float, b: float, count: str = "n") -> DataFrame:
     """(k + a) / (n + a + b) per group."""
     k, n = F.sum(F.col(hit).cast("long")), F.count(F.lit(1))

@@ -56,11 +56,11 @@ def always_in(df: DataFrame, keys: list[str], order: str, fast: str, slow: str)
     )
 
 
-def first_hit_exit(entries: DataFrame, bars: DataFrame, keys: list[str], entry_ts: str, order: str, hit: Column) -> DataFrame:
+def first_hit_exit(entries: DataFrame, bars: DataFrame, keys: list[str], entry_ts: str, order: str, hit: Column, within: int) -> DataFrame:
     """Each entry with the first later bar that meets its exit; entries may overlap."""
     from barwright.operators.joins import first_touch
 
-    return first_touch(entries, bars, keys, entry_ts, order, hit)
+    return first_touch(entries, bars, keys, entry_ts, order, hit, within)
 
 
 def day_context(days: DataFrame, key: str, day: str, weights: dict[str, float], low: float, high: float, n: int = 20) -> DataFrame:
@@ -101,8 +101,9 @@ def approach_sweep(crossings: DataFrame, days: DataFrame, key: str, day: str, gr
     return stats.beta_posterior(states.withColumn("hit", F.col("outcome") == "confirmed"), ["n", "k", "x", "approach_state"], "hit", 1, 1, count="events")
 
 
-def level_bar_events(days: DataFrame, levels: DataFrame, key: str, day: str, near: float) -> DataFrame:
-    """Per day: whether any level of its key was near the close, broken through, or bounced off.
+def level_bar_events(days: DataFrame, levels: DataFrame, key: str, day: str, near: float, by: list[str] = ()) -> DataFrame:
+    """Per day, and per type of level where ``by`` names columns of the levels: whether any level of its key
+    was near the close, broken through, or bounced off.
 
     Levels are a few per key, joined on it.
     """
@@ -110,7 +111,7 @@ def level_bar_events(days: DataFrame, levels: DataFrame, key: str, day: str, nea
     p = F.col("level_price")
     breakout = ((F.col("open") < p) & (F.col("close") > p)) | ((F.col("open") > p) & (F.col("close") < p))
     rebound = (F.col("low") <= p) & (F.col("high") >= p) & ~breakout
-    return j.groupBy(key, day).agg(
+    return j.groupBy(key, day, *by).agg(
         F.bool_or(F.abs(F.col("close") - p) <= near * p).alias("near_level"), F.bool_or(breakout).alias("breakout"), F.bool_or(rebound).alias("rebound"),
         F.sum(breakout.cast("long")).alias("broken"),
     )
@@ -123,7 +124,9 @@ def stop_or_poc(days: DataFrame, key: str, order: str, stop_k: float) -> DataFra
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, side = [], 0
-        for bar in pdf.sort_values(order).to_dict("records"):
+        used = [key, order, "high", "low", "close", "signal", "atr", "poc"]
+        for values in pdf.sort_values(order)[used].itertuples(index=False, name=None):
+            bar = dict(zip(used, values))
             if side:
                 worst = bar["low"] if side > 0 else bar["high"]
                 if (worst - stop) * side <= 0:

@@ -8,6 +8,7 @@ from barwright.functions import scalar
 from barwright.operators import bars, joins, quality, recurrence, windows as wn
 from barwright.plans.registry import query, rounded
 from barwright.sources import lake, views
+from barwright.sources.room import kept
 from barwright.sources.views import sql
 
 
@@ -47,7 +48,9 @@ _ROLL = """near as (select family, secid, anchor, (select max(trade_date) from s
 
 
 def _rolls(spark, sf_dir):
-    return quality.roll_map(views.contracts(spark, sf_dir), views.sessions(spark, sf_dir), "family", "anchor", "trade_date")
+    # both are small, and the map reads them many times; they are taken from the trades once
+    contracts, sessions = kept(views.contracts(spark, sf_dir)), kept(views.sessions(spark, sf_dir))
+    return kept(quality.roll_map(contracts, sessions, "family", "anchor", "trade_date"))
 
 
 @query(sql("sessions", "contracts", f", {_ROLL} select * from rolls"))
@@ -132,8 +135,7 @@ def first_touch(spark, sf_dir):
     """D15 first later bar that breaks a price."""
     d = views.day_bars(spark, sf_dir)
     e = d.where(F.dayofmonth("trade_date") == 1).select("instrument", "trade_date", "close")
-    hit = (F.col("b.high") >= F.col("e.close") * 1.2) & (F.col("b.trade_date") <= F.date_add(F.col("e.trade_date"), 60))
-    return joins.first_touch(e, d, ["instrument"], "trade_date", "trade_date", hit)
+    return joins.first_touch(e, d, ["instrument"], "trade_date", "trade_date", F.col("b.high") >= F.col("e.close") * 1.2, 60)
 
 
 @query(sql("ticks", """, a as (select user_id, instrument, ts, price, time_bucket(interval '5 minutes', ts) + interval '5 minutes' as bucket from ticks where instrument = 'click'),

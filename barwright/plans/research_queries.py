@@ -105,20 +105,38 @@ def large_day_fade(spark, sf_dir):
     return rounded(p.where(large).select("instrument", "trade_date", (-F.signum(move).cast("int")).alias("side"), (-F.signum(move) * (F.col("close") - F.col("open"))).alias("pnl")))
 
 
-@query()
+SIGNAL_SQL = """, tt as (select *, greatest(high - low, abs(high - lag(close) over w), abs(low - lag(close) over w)) as tr, close / lag(close) over w - 1 as ret from day_bars window w as (partition by instrument order by trade_date)),
+    ta as (select *, case when count(tr) over w >= 5 then avg(tr) over w end as atr from tt window w as (partition by instrument order by trade_date rows 13 preceding)),
+    tv as (select *, case when count(ret) over w >= 20 then stddev_samp(ret) over w end as vol from ta window w as (partition by instrument order by trade_date rows 19 preceding)),
+    ms as (select *, case when ret <= -1.5 * vol then 1 when ret >= 1.5 * vol then -1 else 0 end as signal from tv)"""
+_GRID_K = [(0.5, 1.0), (1.0, 2.0), (1.5, 3.0)]
+
+
+@query(sql("day_bars", f"""{SIGNAL_SQL}, n as (select m.*, lag(signal) over w as ps, lag(atr) over w as pa, row_number() over w as rn, lead(trade_date) over w is null as final from ms m window w as (partition by instrument order by trade_date)),
+    g as (select n.*, stop_k, take_k from n, (values {', '.join(map(str, _GRID_K))}) as k(stop_k, take_k)),
+    st(instrument, stop_k, take_k, rn, trade_date, side, price, stop, take, entry, kind, pnl, was) as (select instrument, stop_k, take_k, rn, trade_date, 0, 0::double, 0::double, 0::double, trade_date, null::varchar, null::double, 0 from g where rn = 1
+        union all select g.instrument, g.stop_k, g.take_k, g.rn, g.trade_date, case when y.hit is not null then 0 else x.side end, x.price, x.stop, x.take, x.entry, y.hit,
+            case y.hit when 'stop' then (x.stop - x.price) * x.side when 'target' then (x.take - x.price) * x.side when 'end' then (g.close - x.price) * x.side end, x.side
+        from st s join g on g.instrument = s.instrument and g.stop_k = s.stop_k and g.take_k = s.take_k and g.rn = s.rn + 1,
+        lateral (select case when s.side <> 0 then s.side when g.ps <> 0 and g.pa is not null then g.ps else 0 end as side, case when s.side <> 0 then s.price else g.open end as price,
+            case when s.side <> 0 then s.stop else g.open - g.ps * g.stop_k * g.pa end as stop, case when s.side <> 0 then s.take else g.open + g.ps * g.take_k * g.pa end as take, case when s.side <> 0 then s.entry else g.trade_date end as entry) x,
+        lateral (select case when x.side = 0 then null when (case when x.side > 0 then g.low else g.high end - x.stop) * x.side <= 0 then 'stop' when (case when x.side > 0 then g.high else g.low end - x.take) * x.side >= 0 then 'target' when g.final then 'end' end as hit) y)
+    select instrument, cast(stop_k as double) as stop_k, cast(take_k as double) as take_k, entry, trade_date as exit, cast(was as integer) as side, round(pnl, 6) as pnl, kind as reason from st where kind is not null""", recursive=True))
 def bracket_backtest(spark, sf_dir):
-    """F9 entries with ATR stops and targets over a grid of both; brute force in the tests."""
+    """F9 entries with ATR stops and targets over a grid of both."""
     d = wn.with_atr(views.day_bars(spark, sf_dir), "instrument", "trade_date")
-    s = signals.threshold_positions(d, "instrument", "trade_date", 20, 1.5).select("instrument", "trade_date", "open", "high", "low", "close", "atr", "signal")
-    return signals.brackets(s, ["instrument"], "trade_date", 1.0, 2.0)
+    return rounded(signals.brackets(signals.threshold_positions(d, "instrument", "trade_date", 20, 1.5), ["instrument"], "trade_date", _GRID_K))
 
 
-@query()
+@query(sql("day_bars", """, n as (select instrument, trade_date, close / lag(close) over w - 1 as ret, row_number() over w as rn from day_bars window w as (partition by instrument order by trade_date)),
+    h(instrument, trade_date, ret, rn, position) as (select instrument, trade_date, ret, rn, 0 from n where rn = 1 union all
+        select n.instrument, n.trade_date, n.ret, n.rn, case when n.ret is null then h.position when h.position = 0 and abs(n.ret) >= 0.5 then sign(n.ret) when h.position <> 0 and abs(n.ret) < 0.1 then 0 else h.position end from h join n on n.instrument = h.instrument and n.rn = h.rn + 1)
+    select instrument, trade_date, round(ret, 6) as ret, cast(position as integer) as position from h""", recursive=True))
 def hysteresis_positions(spark, sf_dir):
-    """F12 two thresholds; brute force in the tests."""
+    """F12 two thresholds."""
     w = wn.over("instrument", "trade_date")
     d = views.day_bars(spark, sf_dir).select("instrument", "trade_date", wn.pct_change("close", w).alias("ret"))
-    return signals.hysteresis(d, "instrument", "trade_date", "ret", 0.5, 0.1)
+    return rounded(signals.hysteresis(d, "instrument", "trade_date", "ret", 0.5, 0.1))
 
 
 @query("""with l as (select l_orderkey % 100 as trade_date, row_number() over (partition by l_orderkey % 100 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as seq, l_extendedprice as price,
@@ -145,19 +163,26 @@ def _grid_days(spark, sf_dir):
     return signals.grid_search(d, "instrument", "trade_date", _PAIRS, 1.0, F.col("trade_date"))
 
 
-def _grid_sql() -> str:
+def grid_sql(source: str, parts: str) -> str:
+    """Rows days: day results of every pair, for each group of the parts of source(parts, trade_date, open, close)."""
     spans = sorted({s for p in _PAIRS for s in p})
     alpha = {s: f"(2.0::double / {s + 1})" for s in spans}
     cols = ", ".join(f"e{s}" for s in spans)
     step = ", ".join(f"{alpha[s]} * n.close + (1 - {alpha[s]}) * e.e{s}" for s in spans)
     first = ", ".join("close" for _ in spans)
-    options = " union all ".join(f"select instrument, trade_date, open, close, {f} as fast, {s} as slow, cast(sign(e{f} - e{s}) as integer) as signal from ema" for f, s in _PAIRS)
-    w = "(partition by instrument, fast, slow order by trade_date)"
-    return f""", n as (select instrument, trade_date, open, close, row_number() over (partition by instrument order by trade_date) as rn from day_bars),
-    ema(instrument, rn, trade_date, open, close, {cols}) as (select instrument, rn, trade_date, open, close, {first} from n where rn = 1 union all select n.instrument, n.rn, n.trade_date, n.open, n.close, {step} from ema e join n on n.instrument = e.instrument and n.rn = e.rn + 1),
+    options = " union all ".join(f"select {parts}, trade_date, open, close, {f} as fast, {s} as slow, cast(sign(e{f} - e{s}) as integer) as signal from ema" for f, s in _PAIRS)
+    w = f"(partition by {parts}, fast, slow order by trade_date)"
+    same = " and ".join(f"n.{c.strip()} = e.{c.strip()}" for c in parts.split(","))
+    mine = ", ".join(f"n.{c.strip()}" for c in parts.split(","))
+    return f""", n as (select {parts}, trade_date, open, close, row_number() over (partition by {parts} order by trade_date) as rn from {source}),
+    ema({parts}, rn, trade_date, open, close, {cols}) as (select {parts}, rn, trade_date, open, close, {first} from n where rn = 1 union all select {mine}, n.rn, n.trade_date, n.open, n.close, {step} from ema e join n on {same} and n.rn = e.rn + 1),
     o as ({options}), p as (select *, coalesce(lag(signal) over {w}, 0) as position from o),
     b as (select *, abs(position - coalesce(lag(position) over {w}, 0)) as trades, coalesce(lead(open) over {w}, close) - open as step, lead(trade_date) over {w} is null as last from p),
-    days as (select instrument, fast, slow, trade_date as day, position * step - trades * 1.0 - case when last then abs(position) * 1.0 else 0 end as pnl_day, trades as trades_day from b)"""
+    days as (select {parts}, fast, slow, trade_date as day, position * step - trades * 1.0 - case when last then abs(position) * 1.0 else 0 end as pnl_day, trades as trades_day from b)"""
+
+
+def _grid_sql() -> str:
+    return grid_sql("day_bars", "instrument")
 
 
 _SEG = "count(*) as days, avg(pnl_day) as mean_pnl, avg(case when pnl_day > 0 then 1.0 else 0 end) as win_rate, sum(pnl_day) as total_pnl"

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from barwright.plans.registry import query, rounded
 from barwright.sources import views
+from barwright.sources.room import room as _room
 from barwright.sources.views import sql
 from barwright.streaming import bars as sb
 
 
-def _room(spark) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barwright-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _in_order(df, ts, path, parts=4):
     """df as files that appear one after the other in time order: equal spans, oldest first."""
     a, b = df.agg(F.min(ts), F.max(ts)).first()

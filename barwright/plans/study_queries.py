@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwright.operators import bars, events, recurrence, signals, studies, windows as wn
 from barwright.plans.joins_queries import _ROLL, ema_sql
 from barwright.plans.registry import query, rounded
-from barwright.plans.research_queries import _levels, _LEVELS, approach_sql
+from barwright.plans.research_queries import _levels, _LEVELS, approach_sql, SIGNAL_SQL
 from barwright.plans.stream_queries import _room, _stream, _written
 from barwright.sources import views
 from barwright.sources.views import sql
@@ -56,13 +56,18 @@ def first_hit_exit(spark, sf_dir):
     """F10 overlapping entries with their first exit."""
     d = views.day_bars(spark, sf_dir)
     e = d.where(F.dayofmonth("trade_date") == 10).select("instrument", "trade_date", F.col("close").alias("price"))
-    hit = (F.col("b.close") <= F.col("e.price") * 0.9) & (F.col("b.trade_date") <= F.date_add(F.col("e.trade_date"), 90))
-    return studies.first_hit_exit(e, d, ["instrument"], "trade_date", "trade_date", hit)
+    return studies.first_hit_exit(e, d, ["instrument"], "trade_date", "trade_date", F.col("b.close") <= F.col("e.price") * 0.9, 90)
 
 
-@query()
+@query(sql("day_bars", f"""{SIGNAL_SQL}, n as (select instrument, trade_date, high, low, close, atr, signal, lag(close) over {_D} as poc, row_number() over {_D} as rn from ms),
+    st(instrument, rn, trade_date, side, price, stop, goal, entry, kind, pnl) as (select instrument, rn, trade_date, case when signal <> 0 and atr is not null then signal else 0 end, close, close - signal * atr, poc, trade_date, null::varchar, null::double from n where rn = 1
+        union all select n.instrument, n.rn, n.trade_date, case when x.hit is not null then 0 when s.side <> 0 then s.side when n.signal <> 0 and n.atr is not null then n.signal else 0 end,
+            case when s.side <> 0 then s.price else n.close end, case when s.side <> 0 then s.stop else n.close - n.signal * n.atr end, case when s.side <> 0 then s.goal else n.poc end, case when s.side <> 0 then s.entry else n.trade_date end,
+            x.hit, case x.hit when 'stop' then (s.stop - s.price) * s.side when 'poc' then (n.close - s.price) * s.side end
+        from st s join n on n.instrument = s.instrument and n.rn = s.rn + 1, lateral (select case when s.side = 0 then null when (case when s.side > 0 then n.low else n.high end - s.stop) * s.side <= 0 then 'stop' when (n.close - s.goal) * s.side >= 0 then 'poc' end as hit) x)
+    select instrument, lag(entry) over {_D} as entry, trade_date as exit, cast(lag(side) over {_D} as integer) as side, pnl, kind as reason from st qualify kind is not null""", recursive=True))
 def stop_or_poc(spark, sf_dir):
-    """F10 stop, else the level; one position at a time. Brute force in the tests."""
+    """F10 stop, else the level; one position at a time."""
     d = wn.with_atr(views.day_bars(spark, sf_dir), "instrument", "trade_date")
     d = signals.threshold_positions(d, "instrument", "trade_date", 20, 1.5).withColumn("poc", F.lag("close").over(wn.over("instrument", "trade_date")))
     return studies.stop_or_poc(d.select("instrument", "trade_date", "high", "low", "close", "atr", "signal", "poc"), "instrument", "trade_date", 1.0)

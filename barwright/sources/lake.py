@@ -88,6 +88,56 @@ def column_blocks(payloads: DataFrame, column: str, blocks: list[str]) -> DataFr
     )
 
 
+def refresh_tail(spark: SparkSession, root: str, tail: DataFrame, day: str, cutoff: str, key: list[str], month: str = "month") -> None:
+    """Days from the cutoff on replaced by the tail's, in a lake partitioned by month.
+
+    Only the months from the cutoff's on are read and written, each anew; earlier ones aren't touched.
+    What goes out is stored beside the lake first, since a folder can't be read and written at once. The
+    tail must not reach before the cutoff.
+    """
+    from pyspark.sql import Window as W
+
+    first = cutoff[:7]
+    old = spark.read.parquet(root).where((F.col(month) >= first) & (F.col(day) < F.lit(cutoff).cast("date")))
+    new = tail.where(F.col(day) >= F.lit(cutoff).cast("date")).withColumn(month, F.date_format(day, "yyyy-MM"))
+    w = W.partitionBy(*key).orderBy(*(F.desc(c) for c in new.columns if c not in key))
+    last = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    stage = f"{root.rstrip('/')}-stage"
+    old.unionByName(last).write.mode("overwrite").partitionBy(month).parquet(stage)
+    staged = spark.read.parquet(stage)
+    staged.repartition(month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(root)
+
+
+def guarded_swap(spark: SparkSession, candidate: DataFrame, root: str, name: str, ts: str) -> bool:
+    """Takes a candidate as the table's next version, unless it is empty or ends earlier than the present.
+
+    Versions are folders below root/name; a row of the table root/name-current names the one in force, so
+    readers see the old or the new one, whole. Says whether the candidate was taken.
+    """
+    from uuid import uuid4
+
+    version = uuid4().hex
+    candidate.write.parquet(f"{root}/{name}/{version}")
+    new = spark.read.schema(candidate.schema).parquet(f"{root}/{name}/{version}")
+    old = current(spark, root, name, candidate.schema)
+    if old is not None and not quality.may_replace(new, old, ts) or old is None and new.isEmpty():
+        return False
+    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/{name}-current")
+    return True
+
+
+def current(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame | None:
+    """The table's version in force, or None before the first."""
+    try:
+        versions = spark.read.schema("version string, at timestamp").parquet(f"{root}/{name}-current")
+    except Exception as gone:  # the reader's class for a missing path differs between Spark's interfaces
+        if "PATH_NOT_FOUND" in str(gone):
+            return None
+        raise
+    last = versions.orderBy(F.desc("at")).limit(1).first()
+    return spark.read.schema(schema).parquet(f"{root}/{name}/{last['version']}") if last else None
+
+
 def unique_names(names: list[str]) -> list[str]:
     """c, c#2, c#3 for repeated names."""
     seen: dict[str, int] = {}
