@@ -1,4 +1,4 @@
-"""Bars from ticks and bars: right-closed and left-labelled buckets, session buckets, last and mean values."""
+"""Bars from ticks and bars: right-closed and right-labelled buckets, session buckets, last and mean values."""
 
 from __future__ import annotations
 

@@ -108,7 +108,7 @@ def series_checks(registry: DataFrame, expirations: DataFrame, rolls: DataFrame,
         "missing_next_contract": number(numbered.where("next_secid is null and not _last")),
         "identity_validation": number(rolls.where("valid_through < valid_from")),
         "adjustment_factor_not_1": None if factor is None else number(bars.where(F.col(factor) != 1)),
-        "unexpected_included_instruments": number(bars.select("family", "secid").distinct().join(known, ["family", "secid"], "left_anti")),
+        "unexpected_included_instruments": number(bars.where("secid is not null").select("family", "secid").distinct().join(known, ["family", "secid"], "left_anti")),
         "excluded_instruments_included": number(bars.where(F.col("secid").isin(*excluded)).select("family", "secid").distinct()),
         "row_source_lineage_completeness": number(bars.where("secid is null")),
         "missing_expiration_map_artifact": missing(expirations),

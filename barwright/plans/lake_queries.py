@@ -28,12 +28,12 @@ def scan_partitions(spark, sf_dir):
     return some.select("instrument", "trade_date", "open", "high", "low", "close", F.col("month").cast("string").alias("month"), F.col("source_file").contains("month=").alias("from_lake"))
 
 
-@query(sql("day_bars", "select cast(trade_date as timestamp) + interval 18 hour as ts, round(open, 4) as open, round(high, 4) as high, round(low, 4) as low, round(close, 4) as close, volume from day_bars"))
+@query(sql("day_bars", "select cast(trade_date as timestamp) + interval 18 hour as ts, open, high, low, close, volume from day_bars"))
 def csv_bars(spark, sf_dir):
     """A2 bars from delimited text with other column names."""
     path = room(spark, "csv")
     d = views.day_bars(spark, sf_dir)
-    text = d.select(F.concat(F.date_format("trade_date", "dd.MM.yyyy"), F.lit(" 18:00")).alias("Time"), *(F.round(c, 4).alias(n) for c, n in (("open", "Op"), ("high", "Hi"), ("low", "Lo"), ("close", "Cl"))), F.col("volume").alias("Vol"))
+    text = d.select(F.concat(F.date_format("trade_date", "dd.MM.yyyy"), F.lit(" 18:00")).alias("Time"), *(F.col(c).alias(n) for c, n in (("open", "Op"), ("high", "Hi"), ("low", "Lo"), ("close", "Cl"))), F.col("volume").alias("Vol"))
     text.write.option("header", True).option("sep", ";").csv(path)
     names = {"ts": "Time", "open": "Op", "high": "Hi", "low": "Lo", "close": "Cl", "volume": "Vol"}
     out = lake.read_ohlc_csv(spark, path, names, ";", "dd.MM.yyyy HH:mm")

@@ -122,6 +122,52 @@ def run_to_table(stream: DataFrame, target: str, checkpoint: str, mode: str = "a
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).format("parquet").option("path", target).trigger(availableNow=True).start().awaitTermination()
 
 
+def last_versions(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of changing rows in update mode and returns each key's last version.
+
+    Every batch keeps the rows that it changed, under its number; a batch that is run again replaces them.
+    """
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    versions = stream.sparkSession.read.option("basePath", target).parquet(f"{target}/batch=*")
+    rest = [c for c in stream.columns if c not in keys]
+    last = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_l"))
+    return last.select(*keys, *(F.col(f"_l.{c}").alias(c) for c in rest))
+
+
+class Smoothed(StatefulProcessor):
+    """Per instrument the exponential average of the means that came so far, in the order of buckets."""
+
+    def __init__(self, span: int):
+        self.rate = 2 / (span + 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("smoothed", "value double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        means = pd.concat(list(rows)).sort_values("bucket")
+        value = self.state.get()[0] if self.state.exists() else None
+        out = []
+        for x in means["price_mean"]:
+            value = x if value is None else value + self.rate * (x - value)
+            out.append(value)
+        self.state.update((float(value),))
+        yield means.assign(smooth=out)[["instrument", "bucket", "price_mean", "price_last", "smooth"]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_smoothed(means: DataFrame, span: int) -> DataFrame:
+    """means with their smoothed value; needs the RocksDB state store."""
+    kind = dict(means.dtypes)["bucket"]
+    return means.groupBy("instrument").transformWithStateInPandas(
+        statefulProcessor=Smoothed(span), outputStructType=f"instrument string, bucket {kind}, price_mean double, price_last double, smooth double", outputMode="Append", timeMode="None"
+    )
+
+
 def enrich_each_batch(stream: DataFrame, latest: DataFrame, keys: list[str], values: list[str], target: str, checkpoint: str) -> None:
     """Each batch of bars with the latest values of a static feed as of its time, appended to a table."""
     from barwright.operators.joins import asof
