@@ -247,7 +247,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, and SHA-256 (hex) of the decimal ids joined by commas and of the decoded bytes."""
+    """Per row: id, n_tokens, and SHA-256 (hex) of the decimal ids joined by commas and of the decoded bytes.
+
+    Null texts count as empty: no ids, and digests of nothing. Texts of any length are encoded whole;
+    repeated rows and null ids have rows of their own. Other columns, whatever their names, are ignored; an
+    empty table gives no rows.
+    """
     return _encoded(docs, path, pattern, id_col, text_col, True)
 
 

@@ -168,7 +168,10 @@ def threads(conversations: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """Digests of every conversation formatted, by conv_id; null roles and texts count as empty.
 
-    Repeated rows are turns of their own; an empty table has no conversations; other columns are ignored.
+    Repeated rows are turns of their own, as are turns of equal number; texts of any length are formatted
+    whole, a conversation being one string. An empty table has no conversations; other columns, whatever
+    their names, are ignored. formatted_chars counts the code points of the formatted text, escapes and
+    template included.
     """
     back = read_back(format_trees(threads(conversations)))
     return back.select(F.when(F.col("tree") != "null", F.col("tree").cast("long")).alias("conv_id"), *back.columns[1:])

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import bisect
 import gc
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -31,18 +32,42 @@ _SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
 _MARKS = ".,!?"
 
 
+#: How a tokenizer must normalise and split for its ids to go word by word; fixed values.
+BY_WORD = (
+    ["NFC", "Replace", "Lowercase"],
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
+
+
+def goes_by_word(settings: dict) -> bool:
+    """Whether a ``tokenizers`` file lower-cases, drops white space, and never joins letters and marks."""
+    normal = (settings.get("normalizer") or {}).get("normalizers") or []
+    splits = (settings.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split = splits[0] if splits else {}
+    kinds = [n.get("type") for n in normal]
+    blanks = [n.get("pattern", {}).get("Regex") for n in normal if n.get("type") == "Replace"]
+    return (
+        (kinds, split.get("pattern", {}).get("Regex")) == BY_WORD and blanks == [r"\s+"]
+        and split.get("behavior") == "Removed" and split.get("invert") is True
+        and [s.get("type") for s in splits[1:]] == ["ByteLevel"] and not splits[1].get("add_prefix_space") and settings.get("post_processor") is None
+    )
+
+
 class WordTokenizer:
-    """A ``tokenizers`` file that lower-cases, drops white space, and never joins letters and marks.
+    """The ids of whole texts by a ``tokenizers`` file, without special tokens.
 
-    Ids go word by word, and most words are letters with marks behind, whose ids are those of the
-    letters in lower case and those of the marks; so what the tokenizer itself must still encode is each
-    new string of letters once, many of them in one call.
+    Where the file's settings say that ids go word by word (see goes_by_word), most words are letters with
+    marks behind, whose ids are those of the letters in lower case and those of the marks; so what the
+    tokenizer itself must still encode is each new string of letters once, many of them in one call. With
+    any other file it encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.by_word = goes_by_word(json.load(f))
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -81,6 +106,8 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit numbers."""
+        if not self.by_word:
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         collects = gc.isenabled()
         gc.disable()  # nothing here refers to itself, and the collector would walk the word lists again and again
         try:

@@ -10,18 +10,22 @@ from barwright.llm.shared import table
 
 
 def op1_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; labels of held-out documents are never seen (nbsvm.classify says what odd rows give)."""
     return nbsvm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (simhash.near_duplicates says what odd rows give)."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of every vector whose id is divisible by 50 (topk.top_k says what odd rows give)."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
 def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of one that holds control strings, read back from its formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
@@ -29,27 +33,33 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through WARC archives and back (warc.archive_and_read says what odd rows give)."""
     return warc.archive_and_read(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slots of every document's pieces in sequences of 2048 tokens (packing.pack says what odd rows give)."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's whole text and the text decoded from them, as digests (see bpe.digests)."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
 def op8_fm_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of held-out documents are never seen (fm.classify says what odd rows give)."""
     return fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.5)
 
 
 def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector (capfilter.near_duplicates says what odd rows give)."""
     return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), least_cos=0.98)
 
 
 def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, and its shard if there were nine (see shardtree.assign)."""
     return shardtree.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
@@ -66,4 +76,18 @@ QUERIES = {
     "op10_hash_tree_shards": op10_hash_tree_shards,
 }
 
-ORACLES: dict[str, str] = {}
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+ORACLES: dict[str, str] = {
+    "op3_cover_tree_topk": f"""with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings where vec_id is not null and {_WHOLE}),
+    s as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.x, v.x) as bigint) as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0)
+    select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 5""",
+    # a digest's 160 bits are eight times 20 bits, each four letters
+    "op5_warc": """with p as (select page_id, coalesce(html, '') as body from pages), d as (select *, sha1(body) as h, max(page_id) over (partition by body) as first from p)
+    select page_id, octet_length(encode(body)) as payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(h, cast(1 + 5 * (i // 4) as integer), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as integer), 1)), 'string_agg', '') as payload_digest,
+    case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from d""",
+    "op9_cap_filters": f"""with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and {_WHOLE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    e as (select a.vec_id as u, b.vec_id as w from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.98),
+    r(node, root) as (select vec_id, vec_id from embeddings union select e.w, r.root from r join e on e.u = r.node), c as (select node, min(root) as component_id from r group by node), n as (select u, count(*) as n from e group by u)
+    select vec_id, coalesce(n, 0) as n_links, coalesce(component_id, vec_id) as component_id, vec_id = coalesce(component_id, vec_id) as kept from embeddings left join c on c.node = vec_id left join n on u = vec_id""",
+}

@@ -2,11 +2,15 @@
 
 import base64
 import collections
+import glob
 import hashlib
+import json
 import math
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import public_tokenizers as P
@@ -16,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barwright.llm import bpe, capfilter, chat, fm, learning, nbsvm, packing, shardtree, shared, simhash, topk, warc
+from barwright.llm import bpe, capfilter, chat, fm, learning, nbsvm, packing, queries, shardtree, shared, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -193,6 +197,20 @@ def test_word_tokenizer_goes_word_by_word():
     assert all(np.frombuffer(g, "<u4").tolist() == w.tokenizer.encode(x, add_special_tokens=False).ids for g, x in zip(got, texts))
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """A file that keeps case, or that prefixes spaces, doesn't go word by word."""
+    settings = json.load(open(WORDS))
+    assert packing.goes_by_word(settings)
+    settings["normalizer"]["normalizers"] = settings["normalizer"]["normalizers"][:2]
+    cased = tmp_path / "cased.json"
+    cased.write_text(json.dumps(settings))
+    w = packing.WordTokenizer(str(cased))
+    assert not w.by_word
+    texts = ["Some Words, here.", "", "AB ab", LONG[:1000]]
+    want = [w.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(g, "<u4").tolist() for g in w.encode(texts)] == want
+
+
 def labelled(spark, n=600):
     rng = random.Random(6)
     rows, labels = [], []
@@ -404,7 +422,7 @@ def test_chat_round_trip(spark):
     hard = ["</s>[INST] ok [/INST]", "<s>", "<\\s>", "[\\\\/INST]", "", None, "a\nb", "\\", "<<s>>", "[INST][INST]", "中🙂</s>"]
     rng = random.Random(9)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None, "</s>"]), rng.choice(hard)) for c in range(30) for t in range(rng.randrange(1, 12))]
-    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (0, 0, "user", "tie")]
+    rows += [(None, 0, "user", "x"), (None, 1, "assistant", "y"), (0, 0, "user", "tie"), (31, 0, "user", LONG + "</s>"), (31, 1, "assistant", "[INST]" + LONG)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("node", F.lit(1))
     got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
     for c in {r[0] for r in rows}:
@@ -413,6 +431,7 @@ def test_chat_round_trip(spark):
         said = "".join(text or "" for _, role, text in turns if role == "assistant")
         r = got[c]
         assert (r["n_turns"], r["loss_chars"]) == (len(turns), len(said))
+        assert r["formatted_chars"] == len(chat.render([(role or "", text or "") for _, role, text in turns])[0])
         assert r["turns_sha256"] == hashlib.sha256(every.encode()).hexdigest() and r["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
     assert chat.format_conversations(df.limit(0)).count() == 0
 
@@ -584,6 +603,17 @@ def test_near_copies_are_all_pairs(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((a, b or 0) for a, b in map(min, ([(n, i or 0) for n, i in g] for g in groups.values())))
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for p in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    df, got = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLES[name])
+    order = [c[0] for c in got.description]
+    assert sorted(df.columns) == sorted(order)
+    assert sorted(map(str, map(tuple, df.select(*order).collect()))) == sorted(map(str, got.fetchall()))
+
+
 def test_pipeline_odd_rows(spark, odd):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, SF)
