@@ -66,7 +66,10 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[bytes], int]) -> DataFrame:
-    """Per row: id, the text's fingerprint, node (the hash of its set), size, the set, its bands."""
+    """Per row: id, the text's fingerprint, node (the hash of its set), size, the set's bands.
+
+    The sets themselves are as large as the texts, so they aren't kept; see held_sets.
+    """
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,13 +82,24 @@ def sets(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[byt
                 node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(fps), pa.array(node), pa.array([len(h) for h in found], pa.int64()),
-                     pa.array([h.tobytes() for h in found], pa.binary()), pa.array([bands(h) for h in found], pa.list_(pa.int64()))],
-                    names=["id", "fp", "node", "size", "held", "bands"],
+                     pa.array([bands(h) for h in found], pa.list_(pa.int64()))],
+                    names=["id", "fp", "node", "size", "bands"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), shared.text_bytes(text_col).alias("t"))
-    return given.mapInArrow(run, f"id {kind}, fp long, node long, size long, held binary, bands array<long>")
+    return given.mapInArrow(run, f"id {kind}, fp long, node long, size long, bands array<long>")
+
+
+def held_sets(texts: DataFrame) -> DataFrame:
+    """(node, held) of the texts (node, t): their whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingles(t.as_py()).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["node", "held"])
+
+    return texts.select("node", "t").mapInArrow(run, "node long, held binary")
 
 
 def _alike_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -110,12 +124,14 @@ def _size_fits(a: str, b: str):
     return F.least(a, b) * 10 >= F.greatest(a, b) * LEAST_TENTHS
 
 
-def components(sets: DataFrame) -> DataFrame:
-    """(node, root) of all nodes that are alike to another; ``sets`` has each node once."""
+def components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of all nodes that are alike to another; ``nodes`` has each node once, with its size and
+    bands, and ``texts`` gives the texts (node, t) of nodes: only those that share a band are asked for."""
     spread = F.posexplode("bands").alias("k", "band")
-    filed = sets.select("node", "size", spread).select(F.xxhash64("k", "band").alias("key"), "node", "size")
+    filed = nodes.select("node", "size", spread).select(F.xxhash64("k", "band").alias("key"), "node", "size")
     crowds = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     filed = shared.stored(filed.join(crowds, "key"))
+    sets = shared.stored(held_sets(texts(filed.select("node").distinct())))
     edges, roots = None, None
     for pick in (F.min, F.max):
         placed = _placed(filed, roots)

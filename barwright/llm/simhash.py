@@ -279,7 +279,12 @@ def keep_one(
     u, v = (least.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_rep")) for c in "uv")
     edges = edges.unionByName(near.join(u, "u").join(v, "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")))
     if similar:
-        alike = nearcopies.components(shared.stored(rows.select("node", "size", "held", "bands").dropDuplicates(["node"])))
+        def texts(nodes: DataFrame) -> DataFrame:
+            one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("k")).select("node", *_key_hashes("k"))
+            mine = keyed.select(*_key_hashes("key"), shared.text_bytes("t").alias("t"))
+            return mine.join(one, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+
+        alike = nearcopies.components(rows.select("node", "size", "bands").dropDuplicates(["node"]), texts)
         edges = edges.unionByName(alike.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = rows.select("id", "node").join(shared.components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("id").alias("k")).select(*_key_hashes("k")).distinct()
