@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import os
 import random
+import sys
 
 import numpy as np
 import pandas as pd
@@ -59,22 +61,32 @@ def test_position_is_lagged_signal(spark):
 def test_blocked_scan_is_the_recursion(spark, block):
     rng = random.Random(1)
     rows = [(k, i, rng.random() * 100) for k in "ab" for i in range(40)]
-    got = recurrence.with_ema(frame(spark, rows, "k string, t int, x double"), ["k"], ["t"], "x", {"e": 5}, block).toPandas()
+    got = recurrence.with_ema(frame(spark, rows, "k string, t int, x double"), ["k"], ["t"], "x", {"e": 5}, F.floor(F.col("t") / block)).toPandas()
     for _, g in got.sort_values("t").groupby("k"):
         assert np.allclose(g["e"], g["x"].ewm(span=5, adjust=False).mean(), rtol=1e-12)
 
 
 def test_scan_keeps_average_over_nulls(spark):
     df = frame(spark, [("a", 0, None), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 4.0)], "k string, t int, x double")
-    got = [r["e"] for r in recurrence.with_ema(df, ["k"], ["t"], "x", {"e": 3}, 2).orderBy("t").collect()]
+    got = [r["e"] for r in recurrence.with_ema(df, ["k"], ["t"], "x", {"e": 3}, F.floor(F.col("t") / 2)).orderBy("t").collect()]
     assert got == [2.0, 2.0, 2.0, 3.0]
 
 
 def test_ew_stats(spark):
     rows = [("a", i, float(i * i % 7)) for i in range(30)]
     got = recurrence.with_ew_stats(frame(spark, rows, "k string, t int, x double"), ["k"], ["t"], "x", 5, 3).toPandas().sort_values("t")
-    e = got["x"].ewm(alpha=2 / 6, min_periods=3)
-    assert np.allclose(got["ew_mean"], e.mean(), equal_nan=True) and np.allclose(got["ew_std"], e.std(), equal_nan=True)
+    a, w = 2 / 6, np.array([])
+    for i, (mean, std) in enumerate(zip(got["ew_mean"], got["ew_std"])):  # by the weights themselves
+        w = np.append(w * (1 - a), a if i else 1.0)
+        x = got["x"].to_numpy()[: i + 1]
+        m = (w * x).sum()
+        if i < 2:
+            assert np.isnan(mean) and np.isnan(std)
+        else:
+            assert np.isclose(mean, m) and np.isclose(std, np.sqrt((w * (x - m) ** 2).sum() / (1 - (w**2).sum())))
+    back = recurrence.with_ew_stats(frame(spark, rows, "k string, t int, x double"), ["k"], ["t"], "x", 5, 12, fallback=4).toPandas().sort_values("t")
+    roll = got["x"].rolling(4, min_periods=3)
+    assert np.allclose(back["ew_mean"][:11], roll.mean()[:11], equal_nan=True) and np.allclose(back["ew_std"][:11], roll.std(ddof=0)[:11], equal_nan=True)
 
 
 def test_asof_is_the_theta_join(spark):
@@ -170,8 +182,8 @@ def test_hysteresis(spark):
 def test_brackets_stop_before_target(spark):
     rows = [("a", 0, 10.0, 10.0, 10.0, 10.0, 1.0, 1), ("a", 1, 10.0, 13.0, 8.0, 11.0, 1.0, 1), ("a", 2, 11.0, 14.0, 10.5, 13.0, 1.0, 0)]
     df = frame(spark, rows, "k string, t int, open double, high double, low double, close double, atr double, signal int")
-    got = sorted(tuple(r) for r in signals.brackets(df, ["k"], "t", 1.0, 2.0).collect())
-    assert got == [("a", 1, 1, 1, -1.0, "stop"), ("a", 2, 2, 1, 2.0, "target")]
+    got = sorted(tuple(r) for r in signals.brackets(df, ["k"], "t", [(1.0, 2.0), (3.0, 9.0)]).collect())
+    assert got == [("a", 1.0, 2.0, 1, 1, 1, -1.0, "stop"), ("a", 1.0, 2.0, 2, 2, 1, 2.0, "target"), ("a", 3.0, 9.0, 1, 2, 1, 3.0, "end")]
 
 
 def test_runs(spark):
@@ -252,10 +264,79 @@ def test_stateful_positions_equal_batch(spark, tmp_path):
     assert np.allclose(got["cum_pnl"], np.cumsum(pnl))
 
 
-def test_llm_can_be_missing():
-    import __spark_entry__
-
-    assert "ema_backtest_day" in __spark_entry__.queries()
+def test_llm_can_be_missing(tmp_path):
+    """A copy without the training-data folder and its pipeline imports and has all other queries."""
+    import shutil
+    import subprocess
+
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{here}/barwright", tmp_path / "barwright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'ema_backtest_day' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q); print(len(q), len(e.oracle_sql()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout.split()[0]) > 150
+
+
+def test_regimes_by_hand(spark):
+    """Ranges 10, 10, 20, 5: ratios none, 1, 2, 0.375 of the mean before; closes and bodies decide the rest."""
+    from barwright.operators import events
+
+    rows = [("a", 1, 100.0, 110.0, 100.0, 105.0), ("a", 2, 100.0, 110.0, 100.0, 104.0), ("a", 3, 101.0, 120.0, 100.0, 118.0), ("a", 4, 100.0, 105.0, 100.0, 102.5), ("a", 5, 100.0, 140.0, 100.0, 120.0), ("a", 6, 118.0, 140.0, 100.0, 135.0)]
+    got = events.regime_r(frame(spark, rows, "k string, d int, open double, high double, low double, close double"), "k", "d").orderBy("d").collect()
+    assert [r["regime"] for r in got] == ["R4", "R4", "R2", "R1", "R3", "R4"]
+    assert [r["range_ratio"] for r in got][:3] == [None, 1.0, 2.0]
+
+
+def test_approach_states_by_hand(spark):
+    """A level at 100 crossed upwards on day 6 with an ATR of 4: touches, leaves below, and days far off."""
+    from barwright.operators import events
+
+    far, touch, below = (110.0, 108.0, 109.0), (101.0, 99.0, 100.0), (99.0, 95.0, 96.0)
+    cases = {"rejection": [far, touch, below, far, far], "retest": [far, far, touch, far, far], "direct": [far] * 5, None: [below, far, far, far, far]}
+    days, crossings = [], []
+    for k, (state, bars) in enumerate(cases.items()):
+        key = str(state)
+        days += [(key, d + 1, h, l, c, 4.0) for d, (h, l, c) in enumerate(bars)] + [(key, 6, 103.0, 99.0, 102.0, 4.0)]
+        crossings.append((key, 6, 1, 100.0, "up", "confirmed"))
+    d = frame(spark, days, "family string, d int, high double, low double, close double, atr double")
+    e = frame(spark, crossings, "family string, crossed_on int, level_id int, level_price double, direction string, outcome string")
+    got = {r["family"]: r["approach_state"] for r in events.approach(e, d, "family", "d", [(5, 5, 0.5)], "atr").collect()}
+    assert got == {str(s): s for s in cases}
+
+
+def test_checked_joins_raise(spark):
+    from barwright.operators import joins
+    from barwright.operators.quality import CheckFailed
+
+    a, b = frame(spark, [(1, "x"), (2, "y")], "k int, a string"), frame(spark, [(1, "p"), (2, "q")], "k int, b string")
+    assert joins.one_to_one(a, b, ["k"]).count() == joins.many_to_one(a.unionByName(a), b, ["k"]).count() / 2 == 2
+    twice = b.unionByName(b.limit(1))
+    for call in (lambda: joins.one_to_one(a, twice, ["k"]), lambda: joins.one_to_one(a.unionByName(a), b, ["k"]), lambda: joins.many_to_one(a, twice, ["k"]), lambda: joins.many_to_one(a, b.where("k = 1"), ["k"])):
+        with pytest.raises(CheckFailed):
+            call()
+    w = frame(spark, [(0, 5, "early"), (5, 9, "late")], "s int, e int, name string")
+    t = frame(spark, [(1,), (5,), (6,)], "t int")
+    assert {(r["t"], r["name"]) for r in joins.covered_once(t, w, [], ["t"], "t", "s", "e").collect()} == {(1, "early"), (5, "early"), (6, "late")}
+    for bad in (t.unionByName(frame(spark, [(10,)], "t int")), ):
+        with pytest.raises(CheckFailed, match="outside_session_calendar"):
+            joins.covered_once(bad, w, [], ["t"], "t", "s", "e")
+    with pytest.raises(CheckFailed, match="more_than_once"):
+        joins.covered_once(t, w.unionByName(frame(spark, [(4, 7, "mid")], "s int, e int, name string")), [], ["t"], "t", "s", "e")
+
+
+def test_builders_are_checked(spark):
+    from barwright.operators import packages
+    from barwright.operators.quality import CheckFailed
+
+    b = frame(spark, [("a", t, float(t)) for t in range(4)], "k string, t int, close double")
+    ok = packages.built(b, ["k"], "t", {"x": lambda: F.col("close") * 2}, lambda d: d.withColumn("signal", (F.col("x") > 2).cast("int")))
+    assert [r["position"] for r in ok.orderBy("t").collect()] == [0, 0, 0, 1]
+    with pytest.raises(CheckFailed):
+        packages.built(b, ["k"], "t", {}, lambda d: d)
+    with pytest.raises(Exception, match="signal_outside_domain"):
+        packages.built(b, ["k"], "t", {}, lambda d: d.withColumn("signal", F.lit(7))).collect()
 
 
 def test_sparse_signals_take_effect_on_the_next_bar(spark):
