@@ -282,7 +282,8 @@ def keep_one(
         def texts(nodes: DataFrame) -> DataFrame:
             one = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("k")).select("node", *_key_hashes("k"))
             mine = keyed.select(*_key_hashes("key"), shared.text_bytes("t").alias("t"))
-            return mine.join(one, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+            # stored, so its size is known before the texts move: they stay in place where Spark may broadcast it
+            return mine.join(shared.stored(one), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
 
         alike = nearcopies.components(rows.select("node", "size", "bands").dropDuplicates(["node"]), texts)
         edges = edges.unionByName(alike.select(F.col("node").alias("u"), F.col("root").alias("v")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from barwright.llm import bpe, capfilter, chat, fm, learning, nbsvm, packing, queries, shardtree, shared, simhash, topk, warc
+from barwright.llm import bpe, capfilter, chat, fm, learning, nbsvm, nearcopies, packing, queries, shardtree, shared, simhash, topk, warc
 
 SF = "/root/testdata/sf0.001"
 BPE, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -603,6 +603,19 @@ def test_near_copies_are_all_pairs(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((a, b or 0) for a, b in map(min, ([(n, i or 0) for n, i in g] for g in groups.values())))
 
 
+def test_counts_leave_out_no_alike_pair(spark):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(400)]
+    texts = [" ".join([*base[: 400 - cut], *(f"x{rng.randrange(10**6)}" for _ in range(cut))]) for cut in range(0, 200, 4)]
+    texts += [" ".join(base[:n]) for n in (1, 4, 5, 6, 320, 321)] + [""]
+    sets = shared.stored(nearcopies.held_sets(spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "node long, t binary")))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    whole = [nearcopies.shingles(t.encode()) for t in texts]
+    got = nearcopies._alike_pairs(spark.createDataFrame(pairs, "u long, v long"), sets).collect()
+    assert sorted(map(tuple, got)) == sorted(p for p in pairs if nearcopies.alike(whole[p[0]], whole[p[1]]))
+    assert 0 < len(got) < len(pairs)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
