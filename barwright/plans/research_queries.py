@@ -254,7 +254,9 @@ def gate_buckets(spark, sf_dir):
 def regime_r1r4(spark, sf_dir):
     """G7 four day regimes."""
     out = events.regime_r(views.day_bars(spark, sf_dir), "instrument", "trade_date")
-    return rounded(out.select("instrument", "trade_date", "range_ratio", "close_pos", "body_ratio", "regime"))
+    # means of no range are floored, so ratios can have 16 digits before the point; rounded as SQL's round does it
+    ratio = (F.rint(F.col("range_ratio") * 1e6) / 1e6).alias("range_ratio")
+    return rounded(out.select("instrument", "trade_date", ratio, "close_pos", "body_ratio", "regime"))
 
 
 _VOL = """v as (select instrument, trade_date, close - open as pnl_day, (high - low) / nullif(open, 0) as v, abs(close - open) / nullif(high - low, 0) as t from day_bars),
