@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe, capfilter, chat, fm, nbsvm, packing, shardtree, simhash, topk, warc
+from barwright.llm import bpe, capfilter, chat, fm, nbsvm, packing, pieces, shallot, shardtree, simhash, slices, topk, warc
 from barwright.llm.shared import table
 
 
@@ -63,6 +63,21 @@ def op10_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shardtree.assign(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_shallot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector of 64 components (shallot.cluster says what odd rows give)."""
+    return shallot.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, scale=64, dim=64, salt="1:")
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, spans and decoded text of every document's whole text, as digests (pieces.encode says what odd rows give)."""
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of every vector (slices.compress says what odd rows give)."""
+    return slices.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
 QUERIES = {
     "op1_nbsvm_quality": op1_nbsvm_quality,
     "op2_simhash": op2_simhash,
@@ -74,11 +89,58 @@ QUERIES = {
     "op8_fm_toxicity": op8_fm_toxicity,
     "op9_cap_filters": op9_cap_filters,
     "op10_hash_tree_shards": op10_hash_tree_shards,
+    "op11_shallot_clusters": op11_shallot_clusters,
+    "op12_sentence_pieces": op12_sentence_pieces,
+    "op13_slice_codes": op13_slice_codes,
 }
 
 _WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 
+
+def _floor_mean(total: str, count: str) -> str:
+    return f"cast(({total} - (({total} % {count}) + {count}) % {count}) // {count} as bigint)"
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Each round is a pair of tables: nearest centroid (distance and number in one integer), and new centroids."""
+    sql = f"""with v as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as x from embeddings where len(embedding) = 64 and {_WHOLE}),
+    e as materialized (select vec_id, unnest(range(1, 65)) as i, unnest(x) as x from v),
+    s as (select vec_id, row_number() over (order by sha256('1:' || vec_id)) - 1 as c from v),
+    c0 as materialized (select c, i, x as y from s join e using (vec_id) where c < {k})"""
+    for r in range(rounds + 1):
+        sql += f""",
+    a{r} as materialized (select vec_id, min(d * {k} + c) as m from (select vec_id, c, cast(sum((x - y) * (x - y)) as bigint) as d from e join c{r} using (i) group by vec_id, c) group by vec_id)"""
+        if r < rounds:
+            sql += f""",
+    n{r} as (select m % {k} as c, i, cast(sum(x) as bigint) as s, count(*) as n from a{r} join e using (vec_id) group by m % {k}, i),
+    c{r + 1} as materialized (select c, i, coalesce({_floor_mean("s", "n")}, y) as y from c{r} left join n{r} using (c, i))"""
+    return sql + f""",
+    h as (select c, sha256(string_agg(cast(y as varchar), ',' order by i)) as h from c{rounds} group by c)
+    select vec_id, cast(c as integer) as cluster, m // {k} as distance, cast(sum(m // {k}) over (partition by c) as bigint) as cluster_inertia, cast(sum(m // {k}) over () as bigint) as inertia, h as centroid_sha256
+    from a{rounds} join h on c = m % {k}"""
+
+
+def _codes_sql(rounds: int) -> str:
+    sql = f"""with v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(4096 * x::double) as bigint)) as x from embeddings where {_WHOLE}),
+    e as materialized (select vec_id, (i - 1) // (n // 8) as p, i, x from (select vec_id, len(x) as n, unnest(range(1, len(x) + 1)) as i, unnest(x) as x from v)),
+    s as (select vec_id, row_number() over (order by vec_id) - 1 as c from v),
+    c0 as materialized (select c, p, i, x as y from s join e using (vec_id) where c < 16)"""
+    for r in range(rounds + 1):
+        sql += f""",
+    a{r} as materialized (select vec_id, p, min(d * 16 + c) as m from (select vec_id, e.p, c, cast(sum((x - y) * (x - y)) as bigint) as d from e join c{r} using (i) group by vec_id, e.p, c) group by vec_id, p)"""
+        if r < rounds:
+            sql += f""",
+    n{r} as (select m % 16 as c, i, cast(sum(x) as bigint) as s, count(*) as n from a{r} join e using (vec_id, p) group by m % 16, i),
+    c{r + 1} as materialized (select c, p, i, coalesce({_floor_mean("s", "n")}, y) as y from c{r} left join n{r} using (c, i))"""
+    return sql + f""",
+    f as (select vec_id, string_agg(lower(printf('%02x', m % 16)), '' order by p) as code, cast(sum(m // 16) as bigint) as error from a{rounds} group by vec_id),
+    h as (select sha256(string_agg(cast(y as varchar), ',' order by p, c, i)) as codebooks_sha256 from c{rounds})
+    select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from f join v using (vec_id), h"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_shallot_clusters": _clusters_sql(16, 3),
+    "op13_slice_codes": _codes_sql(6),
     "op3_cover_tree_topk": f"""with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as x from embeddings where vec_id is not null and {_WHOLE}),
     s as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.x, v.x) as bigint) as score from v q join v on v.vec_id <> q.vec_id where q.vec_id % 50 = 0)
     select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s qualify rank <= 5""",
