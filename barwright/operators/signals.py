@@ -92,62 +92,132 @@ def grid(fasts: range, slows: range) -> list[tuple[int, int]]:
     return [(f, s) for f in fasts for s in slows if f < s]
 
 
-def grid_search(bars: DataFrame, key: str | list[str], order: str, pairs: list[tuple[int, int]], commission: float, day: Column) -> DataFrame:
-    """Day results of every pair: each span's average is computed once, pairs are exploded afterwards."""
+#: Averages that differ by less than this share of their size count as equal: equal averages that were
+#: computed along different ways differ in their last bits.
+EQUAL_SHARE = 1e-12
+
+
+def _pair_days(df: DataFrame, own: list[str], order: str, averages: Column, spans: list[int], pairs: list[tuple[int, int]], commission: float, mode: str) -> DataFrame:
+    """Day results (own, fast, slow, day, pnl_day, trades_day) of all pairs; df has order, open, close and day.
+
+    A row carries the signals of all pairs as one array of bytes. The array's last two values give all positions
+    and trades of a bar, and pairs become rows only where they are added up by day, before any shuffle.
+    """
+    w, at = wn.over(own, order), {n: k for k, n in enumerate(spans)}
+    names = F.array(*(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.lit(at[f]).alias("f"), F.lit(at[s]).alias("s")) for f, s in pairs))
+    low, high = {"both": (-1, 1), "long": (0, 1), "short": (-1, 0)}[mode]
+
+    def signal(p: Column) -> Column:
+        a, b = F.get(F.col("_e"), p["f"]), F.get(F.col("_e"), p["s"])
+        sign = F.when(F.abs(a - b) <= EQUAL_SHARE * F.greatest(F.abs(a), F.abs(b)), 0.0).otherwise(F.signum(a - b))
+        return F.least(F.greatest(F.coalesce(sign, F.lit(0.0)), F.lit(low)), F.lit(high)).cast("tinyint")
+
+    df = df.withColumn("_e", averages).withColumn("_sig", F.transform(names, signal)).select(*own, order, "day", "open", "close", "_sig")
+    none = F.array_repeat(F.lit(0).cast("tinyint"), len(pairs))
+    df = df.select(
+        *own, "day", F.coalesce(F.lag("_sig").over(w), none).alias("_now"), F.coalesce(F.lag("_sig", 2).over(w), none).alias("_was"),
+        (F.coalesce(F.lead("open").over(w), F.col("close")) - F.col("open")).alias("_step"), F.lead(order).over(w).isNull().alias("_last"),
+    )
+    bar = F.explode(F.arrays_zip(names.alias("p"), F.col("_now").alias("now"), F.col("_was").alias("was"))).alias("b")
+    bars = df.select(*own, "day", "_step", "_last", bar).select(
+        *own, "day", "_step", "_last", F.col("b.p.fast").alias("fast"), F.col("b.p.slow").alias("slow"), F.col("b.now").cast("int").alias("now"), F.col("b.was").cast("int").alias("was")
+    )
+    trades, ended = F.abs(F.col("now") - F.col("was")), F.when(F.col("_last"), F.abs("now")).otherwise(0)
+    return bars.groupBy(*own, "fast", "slow", "day").agg(
+        F.sum(F.col("now") * F.col("_step") - (trades + ended) * F.lit(commission)).alias("pnl_day"), F.sum(trades).alias("trades_day")
+    )
+
+
+def grid_search(bars: DataFrame, key: str | list[str], order: str, pairs: list[tuple[int, int]], commission: float, day: Column, mode: str = "both") -> DataFrame:
+    """Day results of every pair, with cumulated profit and drawdown: each span's average is computed once, and
+    what is shuffled is bars and day sums, never bars times pairs."""
     spans = sorted({s for p in pairs for s in p})
     own = [key] if isinstance(key, str) else list(key)
-    df = with_ema(bars, own, [order], "close", {f"e{s}": s for s in spans})
-    options = F.array(
-        *(F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.signum(F.col(f"e{f}") - F.col(f"e{s}")).cast("int").alias("signal")) for f, s in pairs)
-    )
-    long = df.select(*own, order, "open", "close", F.explode(options).alias("g")).select(*own, order, "open", "close", "g.*")
+    df = with_ema(bars, own, [order], "close", {f"e{s}": s for s in spans}).withColumn("day", day)
+    days = _pair_days(df, own, order, F.array(*(F.col(f"e{s}") for s in spans)), spans, pairs, commission, mode)
     keys = [*own, "fast", "slow"]
-    long = long.withColumn("position", F.coalesce(F.lag("signal").over(wn.over(keys, order)), F.lit(0)))
-    return by_day(open_to_open(long, keys, order, commission).withColumn("day", day), keys, "day")
+    return wn.with_drawdown(days, "pnl_day", keys, "day").select(*keys, "day", "pnl_day", "trades_day", F.col("equity").alias("cum_pnl"), "drawdown")
 
 
-def month_windows(months: DataFrame, train: int, valid: int, step: int) -> DataFrame:
-    """Rolling windows over the distinct months (column month): window_id, train and valid bounds.
+def month_windows(bars: DataFrame, key: str, order: str, train: int, valid: int, step: int) -> DataFrame:
+    """Rolling windows over each key's full months: key, window_id (w001, ...), role (train or valid), month_from,
+    month_to, months (the array of them).
 
-    A window exists where all its months do; months are numbered, so gaps in the calendar count as none.
+    A month is full if the key has bars in it, its first bar of all is no later than the month's start, and its
+    last bar of all no earlier than the next month's start. Months are counted, so a month without bars is none.
     """
-    m = months.select("month").distinct().withColumn("i", F.row_number().over(W.orderBy("month")) - 1)
-    at = {r["i"]: r["month"] for r in m.collect()}
-    rows = [
-        (k // step, at[k], at[k + train - 1], at[k + train], at[k + train + valid - 1])
-        for k in range(0, len(at) - train - valid + 1, step)
-    ]
-    return months.sparkSession.createDataFrame(
-        rows, "window_id int, train_from date, train_to date, valid_from date, valid_to date"
+    if min(train, valid, step) < 1:
+        raise ValueError("train, valid and step are months: 1 at least")
+    months = bars.groupBy(key, F.trunc(order, "month").alias("month")).agg(F.min(order).alias("a"), F.max(order).alias("b"))
+    spans = months.groupBy(key).agg(F.min("a").alias("a"), F.max("b").alias("b"), F.collect_set("month").alias("m"))
+    full = F.filter("m", lambda m: (F.col("a") <= m) & (F.col("b") >= F.add_months(m, 1)))
+    spans = spans.select(key, F.array_sort(full).alias("m"))
+    count = F.size("m") - (train + valid) + 1
+    spans = spans.where(count > 0).select(key, "m", F.posexplode(F.sequence(F.lit(1), count, F.lit(step))).alias("_k", "_at"))
+    roles = F.array(
+        F.struct(F.lit("train").alias("role"), F.slice("m", F.col("_at"), F.lit(train)).alias("months")),
+        F.struct(F.lit("valid").alias("role"), F.slice("m", F.col("_at") + train, F.lit(valid)).alias("months")),
     )
+    out = spans.select(key, F.format_string("w%03d", F.col("_k") + 1).alias("window_id"), F.explode(roles).alias("r"))
+    return out.select(key, "window_id", "r.role", F.element_at("r.months", 1).alias("month_from"), F.element_at("r.months", -1).alias("month_to"), "r.months")
 
 
-def walk_forward(days: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per window the best parameters on the training months, and their results on the months after."""
-    month = F.trunc("day", "month")
-    roles = windows.select(
-        "window_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("train").alias("role"), F.col("train_from").alias("a"), F.col("train_to").alias("b")),
-                F.struct(F.lit("valid").alias("role"), F.col("valid_from").alias("a"), F.col("valid_to").alias("b")),
-            )
-        ).alias("r"),
-    ).select("window_id", "r.*")
-    d = days.withColumn("_m", month)
-    seg = d.join(F.broadcast(roles), (F.col("_m") >= F.col("a")) & (F.col("_m") <= F.col("b")))
-    per = ["window_id", "role", *keys]
-    runs = wn.with_drawdown(seg.drop("drawdown"), "pnl_day", per, "day")
-    results = segment(runs, per)
-    def of(role: str, c: str):
-        return F.max(F.when(F.col("role") == role, F.col(c)))
+def walk_forward_segments(
+    bars: DataFrame, key: str, order: str, pairs: list[tuple[int, int]], commission: float, day: Column,
+    train: int, valid: int, step: int, mode: str = "both", near_zero: float = 1e-9,
+) -> DataFrame:
+    """The results of every pair on every window's training and validation months, each segment by itself:
+    averages begin with the segment's first close, positions flat, the last bar pays for its position.
+
+    Overlapping segments take their averages from one scan over the key. An average is affine in its entry value,
+    so n closes after a segment's first it is the scan's plus (1 - a)^n times (that first close less the scan's
+    average there). Bars without a close before the segment's first have no signal. A task holds one segment's bars.
+    """
+    from barwright.operators.quality import CheckFailed
+
+    spans = sorted({s for p in pairs for s in p})
+    windows = month_windows(bars, key, order, train, valid, step)
+    if windows.isEmpty():
+        raise CheckFailed("no_full_month_windows")
+    df = with_ema(bars.select(key, order, "open", "close"), [key], [order], "close", {f"e{s}": s for s in spans})
+    df = df.select(key, order, "open", "close", F.array(*(F.col(f"e{s}") for s in spans)).alias("_all"), F.trunc(order, "month").alias("_month"))
+    roles = windows.select(F.col(key).alias("_key"), "window_id", "role", F.explode("months").alias("_of"))
+    met = df.join(roles, df[key].eqNullSafe(roles["_key"]) & (df["_month"] == roles["_of"])).withColumn("day", day)
+    own = ["window_id", "role", key]
+    upto = wn.over(own, order, W.unboundedPreceding, 0)
+    live = F.col("close").isNotNull()
+    met = met.withColumn("_first", F.first(F.when(live, F.struct("close", "_all")), ignorenulls=True).over(upto)).withColumn("_n", F.count("close").over(upto) - 1)
+    keep = F.array(*(F.lit(1 - 2.0 / (n + 1)) for n in spans))
+    own_average = F.when(
+        F.col("_first").isNotNull(),
+        F.transform(
+            F.arrays_zip(F.col("_all").alias("e"), F.col("_first._all").alias("at"), keep.alias("q")),
+            lambda z: z["e"] + F.pow(z["q"], F.col("_n")) * (F.col("_first.close") - z["at"]),
+        ),
+    )
+    days = _pair_days(met, own, order, own_average, spans, pairs, commission, mode)
+    keys = [*own, "fast", "slow"]
+    results = segment(wn.with_drawdown(days, "pnl_day", keys, "day"), keys, near_zero)
+    at = windows.select("window_id", "role", F.col(key).alias("_key"), "month_from", "month_to")
+    joined = results.join(at, (results["window_id"] == at["window_id"]) & (results["role"] == at["role"]) & results[key].eqNullSafe(at["_key"]))
+    return joined.select(*(results[c] for c in results.columns), "month_from", "month_to")
+
+
+def best_by_window(segments: DataFrame, key: str) -> DataFrame:
+    """Of walk_forward_segments per window the best pair of the training months, and its results on both parts."""
+    metrics = ("mean_pnl", "win_rate", "near_zero_rate", "total_pnl", "days", "trades", "max_drawdown")
+
+    def of(role: str, c: str) -> Column:
+        return F.max(F.when(F.col("role") == role, F.col(c))).alias(f"{role}_{c}")
 
-    wide = results.groupBy("window_id", *keys).agg(
-        *(of("train", c).alias(c) for c in ("mean_pnl", "win_rate", "max_drawdown")), of("train", "days").alias("train_days"),
-        of("valid", "mean_pnl").alias("valid_mean"), of("valid", "total_pnl").alias("valid_total"), of("valid", "days").alias("valid_days"),
+    wide = segments.groupBy("window_id", key, "fast", "slow").agg(
+        *(of(role, c) for role in ("train", "valid") for c in metrics),
+        F.max(F.when(F.col("role") == "train", F.col("month_from"))).alias("train_from"), F.max(F.when(F.col("role") == "valid", F.col("month_from"))).alias("valid_from"),
+        F.max("month_to").alias("valid_to"),
     )
-    best = ranked(wide.where("train_days is not null"), ["window_id", keys[0]], keys[1:]).where("rank = 1")
-    return best.select("window_id", *keys, F.col("mean_pnl").alias("train_mean"), "train_days", "valid_mean", "valid_total", "valid_days")
+    named = wide.select("*", *(F.col(f"train_{c}").alias(c) for c in ("mean_pnl", "win_rate", "max_drawdown")))
+    best = ranked(named, ["window_id", key], ["fast", "slow"]).where("rank = 1")
+    return best.drop("rank", "mean_pnl", "win_rate", "max_drawdown")
 
 
 def held_out_months(bars: DataFrame, order: str, n: int) -> DataFrame:

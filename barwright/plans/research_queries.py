@@ -199,21 +199,41 @@ def grid_search(spark, sf_dir):
     return rounded(out.select("instrument", "fast", "slow", "days", F.round("mean_pnl", 4).alias("mean_pnl"), "win_rate", "rank"))
 
 
-@query(sql("day_bars", f"""{_grid_sql()}, m as (select month, row_number() over (order by month) - 1 as i from (select distinct cast(date_trunc('month', trade_date) as date) as month from day_bars)),
-    w as (select cast(a.i // 12 as integer) as window_id, a.month as ta, b.month as tb, c.month as va, e.month as vb from m a join m b on b.i = a.i + 23 join m c on c.i = a.i + 24 join m e on e.i = a.i + 35 where a.i % 12 = 0),
-    te as (select w.window_id, days.*, sum(pnl_day) over (partition by window_id, instrument, fast, slow order by day rows unbounded preceding) as eq from days join w on date_trunc('month', day) between ta and tb),
-    td as (select *, eq - max(eq) over (partition by window_id, instrument, fast, slow order by day rows unbounded preceding) as dd from te),
-    t as (select window_id, instrument, fast, slow, {_SEG}, min(dd) as max_drawdown from td group by all),
-    u as (select *, row_number() over (partition by window_id, instrument order by round(mean_pnl, 6) desc, round(win_rate, 6) desc, round(max_drawdown, 6) desc, fast, slow) as r from t),
-    v as (select window_id, instrument, fast, slow, {_SEG} from days join w on date_trunc('month', day) between va and vb group by all)
-    select u.window_id, u.instrument, u.fast, u.slow, round(u.mean_pnl, 4) as train_mean, u.days as train_days, round(v.mean_pnl, 4) as valid_mean, v.days as valid_days
-    from u left join v using (window_id, instrument, fast, slow) where r = 1""", recursive=True))
+_SEGMENTS = f""", dm as (select instrument, cast(date_trunc('month', trade_date) as date) as month, min(trade_date) as a, max(trade_date) as b from day_bars group by all),
+    fm as (select instrument, month, row_number() over (partition by instrument order by month) - 1 as i from (select *, min(a) over (partition by instrument) as first, max(b) over (partition by instrument) as last from dm) where first <= month and last >= month + interval 1 month),
+    win as (select 'w' || lpad(cast(a.i // 12 + 1 as varchar), 3, '0') as window_id, a.instrument, a.i from fm a join fm b on a.instrument = b.instrument and b.i = a.i + 35 where a.i % 12 = 0),
+    roles as (select window_id, 'train' as role, instrument, i as a, i + 23 as b from win union all select window_id, 'valid', instrument, i + 24, i + 35 from win),
+    src as (select window_id, role, d.instrument, trade_date, open, close from day_bars d join fm on d.instrument = fm.instrument and date_trunc('month', trade_date) = month join roles r on r.instrument = d.instrument and i between a and b)
+    {grid_sql("src", "window_id, role, instrument")},
+    eq as (select *, sum(pnl_day) over (partition by window_id, role, instrument, fast, slow order by day rows unbounded preceding) as eq from days),
+    dd as (select *, eq - max(eq) over (partition by window_id, role, instrument, fast, slow order by day rows unbounded preceding) as dd from eq),
+    seg as (select window_id, role, instrument, fast, slow, {_SEG}, avg(case when abs(pnl_day) <= 25 then 1.0 else 0 end) as near_zero_rate, cast(sum(trades_day) as bigint) as trades, min(dd) as max_drawdown from dd group by all)"""
+
+
+def _segments(spark, sf_dir):
+    d = views.day_bars(spark, sf_dir)
+    return signals.walk_forward_segments(d, "instrument", "trade_date", _PAIRS, 1.0, F.col("trade_date"), 24, 12, 12, near_zero=25.0)
+
+
+@query(sql("day_bars", f"""{_SEGMENTS} select s.window_id, s.role, s.instrument, fast, slow, days, trades, round(mean_pnl, 4) as mean_pnl, round(total_pnl, 4) as total_pnl, round(win_rate, 4) as win_rate, round(near_zero_rate, 4) as near_zero_rate, round(max_drawdown, 4) as max_drawdown, f.month as month_from, t.month as month_to
+    from seg s join roles r on s.window_id = r.window_id and s.role = r.role and s.instrument = r.instrument join fm f on f.instrument = r.instrument and f.i = r.a join fm t on t.instrument = r.instrument and t.i = r.b""", recursive=True))
+def walk_forward_grid(spark, sf_dir):
+    """F15 every pair on every window's training and validation months, each segment started anew."""
+    return rounded(_segments(spark, sf_dir), 4)
+
+
+@query(sql("day_bars", f"""{_SEGMENTS}, u as (select *, row_number() over (partition by window_id, instrument order by round(mean_pnl, 6) desc, round(win_rate, 6) desc, round(max_drawdown, 6) desc, fast, slow) as r from seg where role = 'train')
+    select u.window_id, u.instrument, u.fast, u.slow, round(u.mean_pnl, 4) as train_mean, u.days as train_days, round(u.max_drawdown, 4) as train_max_drawdown, round(v.mean_pnl, 4) as valid_mean, round(v.total_pnl, 4) as valid_total, v.days as valid_days,
+    round(v.win_rate, 4) as valid_win_rate, round(v.near_zero_rate, 4) as valid_near_zero_rate, v.trades as valid_trades, round(v.max_drawdown, 4) as valid_max_drawdown
+    from u join seg v on v.window_id = u.window_id and v.instrument = u.instrument and v.fast = u.fast and v.slow = u.slow and v.role = 'valid' where r = 1""", recursive=True))
 def walk_forward(spark, sf_dir):
-    """F15 train and validation windows rolling over months."""
-    days = _grid_days(spark, sf_dir)
-    months = views.sessions(spark, sf_dir).select(F.trunc("trade_date", "month").alias("month"))
-    out = signals.walk_forward(days, signals.month_windows(months, 24, 12, 12), ["instrument", "fast", "slow"])
-    return rounded(out.drop("valid_total"), 4)
+    """F15 per window the best pair of the training months, and what it did on the months after."""
+    best = signals.best_by_window(_segments(spark, sf_dir), "instrument")
+    out = best.select(
+        "window_id", "instrument", "fast", "slow", F.col("train_mean_pnl").alias("train_mean"), "train_days", "train_max_drawdown", F.col("valid_mean_pnl").alias("valid_mean"),
+        F.col("valid_total_pnl").alias("valid_total"), "valid_days", "valid_win_rate", "valid_near_zero_rate", "valid_trades", "valid_max_drawdown",
+    )
+    return rounded(out, 4)
 
 
 _GATE = """f as (select instrument, trade_date, close - open as pnl_day, lag(abs(close - open) / nullif(high - low, 0)) over w as trend_ratio, lag((high - low) / open) over w as rel_range from day_bars window w as (partition by instrument order by trade_date)),
