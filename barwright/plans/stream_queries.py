@@ -9,7 +9,7 @@ from barwright.plans.registry import query, rounded
 from barwright.sources import views
 from barwright.sources.room import room as _room
 from barwright.sources.views import sql
-from barwright.streaming import bars as sb
+from barwright.streaming import bars as sb, merge as sm
 
 
 #: Rows of one span of time that a batch takes, and the files that a span is written as.
@@ -92,13 +92,18 @@ def stream_book_means(spark, sf_dir):
     """I4 left-labelled means of a stream of quotes, then smoothed by a stateful average of span 6."""
     s, room = _stream(spark, sf_dir, flush=True)
     means = _written(spark, sb.stream_means(s, "1 hour", "2 days"), room)
-    _rocks(spark)
-    smooth = sb.stream_smoothed(spark.readStream.schema(means.schema).parquet(f"{room}/out").where("instrument <> '~'"), 6)
+    smooth = sb.stream_smoothed(_rocks(spark).readStream.schema(means.schema).parquet(f"{room}/out").where("instrument <> '~'"), 6)
     return rounded(_written(spark, smooth, room, name="smooth"))
 
 
 def _rocks(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """A session of its own whose streams keep their state in RocksDB; the caller's session stays as it is."""
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        if spark.conf.get(name, None) is not None:
+            own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
 
 
 @query(sql("bars_1h", f""", {ema_sql(5, 12)}, t as (select *, case when rn >= 12 then cast(sign(ema_fast - ema_slow) as integer) else 0 end as target, lag(close) over w as prior from ema window w as (partition by instrument order by rn)),
@@ -107,42 +112,67 @@ def _rocks(spark):
     select instrument, bar_end, close, round(ema_fast, 6) as ema_fast, round(ema_slow, 6) as ema_slow, position, round(pnl, 5) as pnl, round(sum(pnl) over (partition by instrument order by rn rows unbounded preceding), 4) as cum_pnl from g""", recursive=True))
 def stream_ema_positions(spark, sf_dir):
     """I6, I7, F21 stateful positions per instrument; bars that come again are ignored."""
-    _rocks(spark)
     room = _room(spark)
     b = views.event_bars(spark, sf_dir).select("instrument", "bar_end", "close")
     _in_order(b, "bar_end", f"{room}/in")
     again = b.where(F.col("bar_end") < F.lit("2024-01-10").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
     again.write.mode("append").parquet(f"{room}/in")  # already processed, so they change nothing
-    s = spark.readStream.schema(b.schema).option("maxFilesPerTrigger", SPAN_FILES).parquet(f"{room}/in")
+    s = _rocks(spark).readStream.schema(b.schema).option("maxFilesPerTrigger", SPAN_FILES).parquet(f"{room}/in")
     out = _written(spark, sb.stream_positions(s), room)
     digits = {"ema_fast": 6, "ema_slow": 6, "pnl": 5, "cum_pnl": 4}
     return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
-@query(sql("ticks", """, m as (select instrument, time_bucket(interval '5 minutes', ts - interval '1 microsecond') as part_start, price, ts from ticks), p as (select instrument, part_start, arg_min(price, ts) as open, max(price) as high, min(price) as low, arg_max(price, ts) as close from m group by all)
-    select instrument, time_bucket(interval '15 minutes', part_start) as bucket, arg_min(open, part_start) as open, max(high) as high, min(low) as low, arg_max(close, part_start) as close from p group by all having count(*) = 3"""))
-def stream_complete_15m(spark, sf_dir):
-    """I8 quarter hours of a stream of five-minute bars, given out when all three parts have come."""
+_QUARTERS = """, m as (select instrument, time_bucket(interval '5 minutes', ts - interval '1 microsecond') as part_start, price, ts from ticks), p as (select instrument, part_start, arg_min(price, ts) as open, max(price) as high, min(price) as low, arg_max(price, ts) as close from m group by all),
+    q as (select instrument, time_bucket(interval '15 minutes', part_start) as bucket, arg_min(open, part_start) as open, max(high) as high, min(low) as low, arg_max(close, part_start) as close, cast(count(*) as integer) as parts from p group by all)"""
+
+
+def _quarters(spark, sf_dir):
+    """Five-minute bars as a stream that repeats some of them; a last one far ahead ends all quarter hours."""
     from barwright.operators import bars
 
     room = _room(spark)
     five = bars.ticks_to_bars(views.ticks(spark, sf_dir), "5 minutes").select("instrument", "bar_end", "open", "high", "low", "close")
     _in_order(five, "bar_end", f"{room}/in")
+    again = five.where(F.minute("bar_end") % 10 == 0)
     ahead = five.agg((F.max("bar_end") + F.expr("interval 90 days")).alias("bar_end"))
-    ahead.select(F.lit("~").alias("instrument"), "bar_end", *(F.lit(0.0).alias(c) for c in ("open", "high", "low", "close"))).write.mode("append").parquet(f"{room}/in")
-    s = spark.readStream.schema(five.schema).option("maxFilesPerTrigger", SPAN_FILES).parquet(f"{room}/in")
-    return _written(spark, sb.complete_bars(s, "15 minutes", 3, "1 day"), room).where("instrument <> '~'")
+    again.unionByName(ahead.select(F.lit("~").alias("instrument"), "bar_end", *(F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")))).write.mode("append").parquet(f"{room}/in")
+    s = _rocks(spark).readStream.schema(five.schema).option("maxFilesPerTrigger", SPAN_FILES).parquet(f"{room}/in")
+    return _written(spark, sm.complete_bars(s, "5 minutes", 3, "1 day"), room).where("instrument <> '~'")
+
+
+@query(sql("ticks", f"{_QUARTERS} select instrument, bucket, open, high, low, close from q where parts = 3 and low > 0"))
+def stream_complete_15m(spark, sf_dir):
+    """I8 quarter hours of a stream of five-minute bars, each given as its third part comes."""
+    return _quarters(spark, sf_dir).where("reason is null").select("instrument", "bucket", "open", "high", "low", "close")
+
+
+@query(sql("ticks", f"{_QUARTERS} select instrument, bucket, parts, case when parts < 3 then 'missing_part' else 'invalid_range' end as reason from q where parts < 3 or low <= 0"))
+def stream_broken_15m(spark, sf_dir):
+    """I8 the quarter hours that could not be completed, and why."""
+    return _quarters(spark, sf_dir).where("reason is not null").select("instrument", "bucket", "parts", "reason")
 
 
 @query(sql("ticks", """, l as (select trade_id, ts, user_id % 7 as k, price from ticks where instrument = 'click'), r as (select ts, user_id % 7 as k, price from ticks where instrument = 'view')
     select l.trade_id, l.ts, l.k, l.price, r.price as view_price from l asof left join r on l.k = r.k and l.ts >= r.ts"""))
 def stream_enriched(spark, sf_dir):
-    """I5 batches of a stream enriched as of their time."""
-    s, room = _stream(spark, sf_dir)
-    left = s.where("instrument = 'click'").select((F.col("user_id") % 7).alias("k"), "ts", "trade_id", "price")
-    right = views.ticks(spark, sf_dir).where("instrument = 'view'").select((F.col("user_id") % 7).alias("k"), "ts", F.col("price").alias("view_price"))
-    sb.enrich_each_batch(left, right, ["k"], ["view_price"], f"{room}/out", f"{room}/log")
-    return spark.read.parquet(f"{room}/out").drop("batch")
+    """I5 two live feeds: each click with the last view of its key, views coming up to a day after their time."""
+    room, own = _room(spark), _rocks(spark)
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.col("user_id") % 7)
+    clicks = raw.where("event_type = 'click'").select("k", "ts", F.col("event_id").alias("trade_id"), F.col("value").alias("price"))
+    view = raw.where("event_type = 'view'").select("k", "ts", F.col("value").alias("view_price"))
+    end = raw.agg((F.max("ts") + F.expr("interval 90 days")).alias("ts")).select(F.lit(-1).cast("long").alias("k"), "ts")
+    _in_order(clicks, "ts", f"{room}/left")
+    end.withColumns({"trade_id": F.lit(0).cast("long"), "price": F.lit(0.0)}).write.mode("append").parquet(f"{room}/left")
+    # every third view is delivered a day late, by the order in which files appear
+    delayed = view.withColumn("_seen", F.col("ts") + F.expr("interval 1 day") * (F.xxhash64("ts", "view_price") % 3 == 0).cast("int"))
+    _in_order(delayed, "_seen", f"{room}/right")
+
+    def feed(side, like):
+        return own.readStream.schema(like.schema).option("maxFilesPerTrigger", SPAN_FILES).parquet(f"{room}/{side}")
+
+    out = sm.asof_streams(feed("left", clicks), feed("right", delayed).drop("_seen"), ["k"], "ts", ["view_price"], "30 days")
+    return _written(spark, out, room).where("k >= 0")
 
 
 @query(sql("ticks", """, p as (select time_bucket(interval '1 hour', ts) as bucket, arg_max(price, ts) filter (user_id % 2 = 0) as FIZ, arg_max(price, ts) filter (user_id % 2 = 1) as YUR from ticks group by all), t as (select *, cast(bucket as date) as day, coalesce(abs(FIZ), 0) + coalesce(abs(YUR), 0) as total from p),

@@ -53,17 +53,6 @@ def stream_means(quotes: DataFrame, every: str, late: str, key: str = "instrumen
     )
 
 
-def complete_bars(bars: DataFrame, every: str, needed: int, late: str, key: str = "instrument") -> DataFrame:
-    """Coarser bars of which all ``needed`` parts have come, labelled with their start."""
-    kind = dict(bars.dtypes)["bar_end"]
-    moved = bars.withColumn("at", (F.col("bar_end") - F.expr("interval 1 microsecond")).cast("timestamp"))
-    agg = moved.withWatermark("at", late).groupBy(key, F.window("at", every).alias("w")).agg(
-        F.min_by("open", "bar_end").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
-        F.max_by("close", "bar_end").alias("close"), F.count(F.lit(1)).alias("parts"),
-    )
-    return agg.where(F.col("parts") == needed).select(key, F.col("w.start").cast(kind).alias("bucket"), "open", "high", "low", "close")
-
-
 POSITION_OUT = "instrument string, bar_end timestamp_ntz, close double, ema_fast double, ema_slow double, position int, pnl double, cum_pnl double"
 
 
@@ -168,17 +157,6 @@ def stream_smoothed(means: DataFrame, span: int) -> DataFrame:
     )
 
 
-def enrich_each_batch(stream: DataFrame, latest: DataFrame, keys: list[str], values: list[str], target: str, checkpoint: str) -> None:
-    """Each batch of bars with the latest values of a static feed as of its time, appended to a table."""
-    from barwright.operators.joins import asof
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        # a batch that is run again replaces its own rows
-        asof(batch, latest, keys, "ts", values).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-
-
 def pivot_each_batch(stream: DataFrame, group: str, groups: list[str], value: str, every: str, target: str, checkpoint: str) -> None:
     """Long rows accumulated day by day as wide buckets, one column per group: one row per bucket on each
     day's grid from its first to its last bucket, values carried forward within the day.
