@@ -5,7 +5,7 @@ that inflected forms share a term). The machine scores w0 + sum w_i + sum over p
 terms present: the linear weights find words that are enough on their own, the factors find pairs, such
 as an insult with a group's mention, that are worse together than apart. A term takes part if it goes
 with the label alone, or if some pair that it is in does beyond what its two terms do by themselves; so
-a pair of words that each say nothing is learnt too. All terms that take part have factors. Linear
+a pair of words that each say nothing is learnt too, however rare its words are, from a few texts on. All terms that take part have factors. Linear
 weights are learnt by follow-the-regularised-leader steps with an L1 penalty, factors by AdaGrad.
 """
 
@@ -20,7 +20,7 @@ from barwright.llm import learning, shared
 from barwright.llm.bpe import Recent
 
 #: Letters of the word beginnings that are terms of their own.
-PREFIXES = (4, 5)
+PREFIXES = (5, 7)
 FACTORS = 4
 FOLDS = 3
 #: Rounds of linear weights alone, and the round from which factors that don't pay for themselves are shrunk.
@@ -28,24 +28,21 @@ ALONE, SHRINK_FROM = 2, 4
 MIN_TEXTS = 3
 #: Least chi-square of a term's presence against the label for the term to take part on its own.
 MIN_ASSOCIATION = 12.0
-#: Terms, the most frequent ones, whose pairs are looked at; and how many deviations a pair's own part
-#: must lie from zero for its terms to take part (of two million pairs one exceeds 6 by chance in 250 fits).
-PAIR_TERMS = 2048
-MIN_PAIR_Z = 6.0
-#: Texts whose pairs are counted in one product of matrices.
-_ROWS = 1024
+#: Distinct texts that a term, and a pair of terms, must stand in for the pair to be tested; and the number of
+#: pairs that may pass by chance among all that are tested, with labels at random.
+PAIR_TEXTS, BY_CHANCE = 8, 0.1
 _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_"
 _known = Recent(200_000)
 shared.remembered("fm", _known)
 
 
 def terms(word: str) -> tuple[int, ...]:
-    """The hashed terms of one word."""
+    """The hashed terms of one word: its own is odd, those of its beginnings are even."""
     found = _known.recall(word)
     if found is None:
         bare = word.lower().strip(_OUTER)
-        parts = [f"w {bare}", *(f"{n} {bare[:n]}" for n in PREFIXES if len(bare) > n)] if bare else []
-        found = tuple(zlib.crc32(p.encode()) for p in parts)
+        parts = [f"{n} {bare[:n]}" for n in PREFIXES if len(bare) > n]
+        found = (zlib.crc32(f"w {bare}".encode()) | 1, *(zlib.crc32(p.encode()) & ~1 for p in parts)) if bare else ()
     return _known.put(word, found) if len(word) <= 64 else found
 
 
@@ -78,45 +75,65 @@ def telling_terms(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return ids[(chi >= MIN_ASSOCIATION) & (counts >= min(MIN_TEXTS, n))]
 
 
-def paired_terms(rows: list[np.ndarray], y: np.ndarray, most: int = PAIR_TERMS, least_z: float = MIN_PAIR_Z) -> np.ndarray:
+def _joint_evidence(n11, t11, ni, ti, nj, tj, n: int, t: float) -> np.ndarray:
+    """Twice the log-likelihood ratio of the share of label 1 among texts with both terms against the share that
+    adds up from the texts with one or neither; that share is first moved towards the one seen by three of its own
+    deviations. By Chernoff's bound chance reaches a value of g with a probability of exp(-g / 2) at most.
+    """
+    def share(m, k):
+        p = (k + t / n) / (m + 1.0)
+        return p, p * (1 - p) / (m + 1.0)
+
+    a, va = share(ni - n11, ti - t11)
+    b, vb = share(nj - n11, tj - t11)
+    c, vc = share(n - ni - nj + n11, t - ti - tj + t11)
+    seen, slack = t11 / n11, 3 * np.sqrt(va + vb + vc)
+    sums = np.clip(a + b - c, 0.0, 1.0)
+    p = np.clip(np.where(seen > sums, np.minimum(seen, sums + slack), np.maximum(seen, sums - slack)), 1e-3, 1 - 1e-3)
+
+    def part(k, q):
+        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / (n11 * q)), 0.0)
+
+    return 2 * (part(t11, p) + part(n11 - t11, 1 - p))
+
+
+def paired_terms(rows: list[np.ndarray], y: np.ndarray, least: int = PAIR_TEXTS, by_chance: float = BY_CHANCE) -> np.ndarray:
     """The terms, sorted, of pairs whose presence together goes with the label beyond the terms' own parts.
 
-    Of a pair, texts fall into four cells: both terms, either, neither. The pair's own part is the share
-    of label 1 with both and with neither, less that with either; it is 0 where the terms add up. Texts
-    with the same terms count once, so copies don't make a pair look certain. Pairs are counted among the
-    ``most`` most frequent terms.
+    All pairs of words (not of their beginnings) that stand together in ``least`` texts or more are tested, and as many may pass in error as
+    ``by_chance`` says, all pairs taken together. Texts with the same terms count once, so copies don't make a pair
+    look certain. The pairs of one term are counted at a time, over the texts that have it: the memory is that of
+    the texts, the time the sum of the squared numbers of their terms.
     """
     alike = {r.tobytes(): k for k, r in enumerate(rows)}
     rows, y = [rows[k] for k in alike.values()], y[list(alike.values())]
     ids, counts = np.unique(np.concatenate(rows), return_counts=True)
-    n, n1 = len(rows), float(y.sum())
-    usable = np.flatnonzero(counts >= MIN_TEXTS)
-    ids = np.sort(ids[usable[np.argsort(-counts[usable], kind="stable")[:most]]])
+    ids = ids[(counts >= least) & (ids % 2 == 1)]
     if len(ids) < 2:
         return ids[:0]
-    both = np.zeros((len(ids), len(ids)), dtype=np.float32)
-    ones = np.zeros_like(both)
-    for at in range(0, n, _ROWS):
-        part = rows[at : at + _ROWS]
-        x = np.zeros((len(part), len(ids)), dtype=np.float32)
-        for k, r in enumerate(part):
-            x[k, np.flatnonzero(np.isin(ids, r, assume_unique=True))] = 1
-        toxic = x[y[at : at + _ROWS] == 1]
-        both += x.T @ x
-        ones += toxic.T @ toxic
-    c, c1 = np.diag(both).copy(), np.diag(ones).copy()
-    found = np.zeros(len(ids), dtype=bool)
-    for at in range(0, len(ids), 256):
-        n11, t11 = both[at : at + 256], ones[at : at + 256]
-        i, i1 = c[at : at + 256, None], c1[at : at + 256, None]
-        cells = [(n11, t11, 1), (i - n11, i1 - t11, -1), (c - n11, c1 - t11, -1), (n - i - c + n11, n1 - i1 - c1 + t11, 1)]
-        own, spread = np.zeros(n11.shape), np.zeros(n11.shape)
-        for m, t, sign in cells:
-            p = (t + 0.5) / (m + 1.0)
-            own += sign * p
-            spread += p * (1 - p) / (m + 1.0)
-        enough = np.minimum.reduce([m for m, _, _ in cells]) >= MIN_TEXTS
-        found |= ((np.abs(own) >= least_z * np.sqrt(spread)) & enough).any(axis=0)
+    place = [np.searchsorted(ids, r[np.isin(r, ids, assume_unique=True)]) for r in rows]
+    ones = [p for p, k in zip(place, y) if k == 1]
+    c, c1 = (np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=len(ids)) for x in (place, ones))
+    sizes = [len(p) for p in place]
+    order = np.argsort(np.concatenate(place), kind="stable")
+    holders = np.repeat(np.arange(len(rows)), sizes)[order].tolist()
+    # of each text that has a term, how many of its terms come before it: with those it makes pairs
+    before = np.concatenate([np.arange(k) for k in sizes])[order].tolist()
+    ends, toxic = np.cumsum(c).tolist(), (y == 1).tolist()
+    n, n1, size = len(rows), float(y.sum()), len(ids)
+    need = 2 * np.log(max(1.0, size * (size - 1) / 2 / by_chance))
+    found, at = np.zeros(size, dtype=bool), 0
+    for i, end in enumerate(ends):
+        mine, at = list(zip(holders[at:end], before[at:end])), end
+        both = np.bincount(np.concatenate([place[k][:m] for k, m in mine]), minlength=i)
+        j = np.flatnonzero(both >= least)
+        if not len(j):
+            continue
+        with_label = [place[k][:m] for k, m in mine if toxic[k]]
+        label = np.bincount(np.concatenate(with_label), minlength=i)[j] if with_label else np.zeros(len(j))
+        told = j[_joint_evidence(both[j], label, c[i], c1[i], c[j], c1[j], n, n1) >= need]
+        found[told] = True
+        found[i] |= len(told) > 0
     return ids[found]
 
 
@@ -207,27 +224,34 @@ def score(model: dict | None, text: str, without_labels: float = 0.0) -> float:
     return learning.sigmoid(model["a"] * margin(model, sorted(hits)) + model["b"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = learning.SAMPLE_ROWS) -> dict | None:
-    return learning.fit(learning.labelled_sample(docs, labels, "toxic", bound), features, train, "fm")
+def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> dict | None:
+    return learning.fit(learning.labelled_sample(docs, labels, "toxic", **bounds), features, train, "fm")
 
 
-def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
+    longest_bytes: int = learning.LONGEST_BYTES,
+) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, the chance of being toxic), predicted.
 
-    The machine is fitted on at most ``bound`` labelled documents that are not held out; every whole text
-    is scored, however long. Null and empty texts get the score of a text without terms; null ids are
+    The machine is fitted on at most ``bound`` labelled documents that are not held out, of ``sample_bytes`` of
+    text together and none longer than ``longest_bytes``; every whole text is scored, however long. Null and empty texts get the score of a text without terms; null ids are
     scored and not held out; repeated rows are scored alike; without labels the score is 0, with labels of
     one class that class. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound=bound, sample_bytes=sample_bytes, longest_bytes=longest_bytes))
     return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "fm")
 
 
-def keep_civil(docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
+def keep_civil(
+    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
+    longest_bytes: int = learning.LONGEST_BYTES,
+) -> DataFrame:
     """The documents that score below ``cut``, all columns as they are.
 
     Null and empty texts score like texts without terms; rows without an id and repeated rows are judged
-    by their text like any other; columns may have any names. An empty table gives no rows.
+    by their text like any other; columns may have any names. An empty table gives no rows. Whole texts are scored, however long; the
+    sample is bounded as in ``classify``.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound=bound, sample_bytes=sample_bytes, longest_bytes=longest_bytes))
     return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s < cut, "fm")

@@ -19,13 +19,14 @@ SAMPLE_BYTES, LONGEST_BYTES = 96 << 20, 1 << 20
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text",
+    sample_bytes: int = SAMPLE_BYTES, longest_bytes: int = LONGEST_BYTES,
 ) -> DataFrame:
     """(t, y): at most ``bound`` texts that have a label and aren't held out.
 
     A document labelled more than once counts with its greatest label; one that stands there more than
-    once counts with its least text. Texts beyond LONGEST_BYTES are scored but not learnt from; the
-    sample ends where its texts reach SAMPLE_BYTES. The ids are bounded, so they are broadcast.
+    once counts with its least text. Texts beyond ``longest_bytes`` are scored but not learnt from; the
+    sample ends where its texts reach ``sample_bytes``. The ids are bounded, so they are broadcast.
     """
     order = [F.xxhash64("_id"), "_id"]
     ids = (
@@ -36,10 +37,10 @@ def labelled_sample(
         .limit(bound)
     )
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    some = rows.where(F.octet_length("t") <= LONGEST_BYTES).join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("t").alias("t"))
+    some = rows.where(F.octet_length("t") <= longest_bytes).join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min("t").alias("t"))
     some = shared.stored(some)
     so_far = F.sum(F.octet_length("t")).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    within = some.select("_id", so_far.alias("_sum")).where(F.col("_sum") <= SAMPLE_BYTES).select("_id")
+    within = some.select("_id", so_far.alias("_sum")).where(F.col("_sum") <= sample_bytes).select("_id")
     return some.join(F.broadcast(within), "_id", "left_semi").select("t", "y")
 
 

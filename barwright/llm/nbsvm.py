@@ -133,27 +133,34 @@ def score(model: dict | None, text: str, without_labels: float = 1.0) -> float:
     return learning.sigmoid(model["a"] * model["w"][at[ids[at] == f]].sum() + model["b"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = learning.SAMPLE_ROWS) -> dict | None:
-    return learning.fit(learning.labelled_sample(docs, labels, "quality", bound), features, train, "nbsvm")
+def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> dict | None:
+    return learning.fit(learning.labelled_sample(docs, labels, "quality", **bounds), features, train, "nbsvm")
 
 
-def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
+def classify(
+    docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
+    longest_bytes: int = learning.LONGEST_BYTES,
+) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, the chance of quality 1), predicted.
 
-    The model is fitted on at most ``bound`` labelled documents that are not held out; every whole text
-    is scored, however long. Null and empty texts get the score of a text without words; null ids are
+    The model is fitted on at most ``bound`` labelled documents that are not held out, of ``sample_bytes`` of
+    text together and none longer than ``longest_bytes``; every whole text is scored, however long. Null and empty texts get the score of a text without words; null ids are
     scored and not held out; repeated rows are scored alike; without labels the score is 1, with labels of
     one class that class. An empty table gives no rows. Other columns, whatever their names, are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound=bound, sample_bytes=sample_bytes, longest_bytes=longest_bytes))
     return learning.scored(docs, lambda t: score(model.value, t), "doc_id", "text", cut, "nbsvm")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS) -> DataFrame:
+def keep_good(
+    docs: DataFrame, labels: DataFrame, cut: float = 0.3, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
+    longest_bytes: int = learning.LONGEST_BYTES,
+) -> DataFrame:
     """The documents that score at least ``cut``, all columns as they are.
 
     Null and empty texts score like texts without words; rows without an id and repeated rows are judged
-    by their text like any other; columns may have any names. An empty table gives no rows.
+    by their text like any other; columns may have any names. An empty table gives no rows. Whole texts are scored, however long; the
+    sample is bounded as in ``classify``.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, bound=bound, sample_bytes=sample_bytes, longest_bytes=longest_bytes))
     return learning.kept_where(docs, lambda t: score(model.value, t), "text", lambda s: s >= cut, "nbsvm")

@@ -261,12 +261,17 @@ def keep_one(
     shingles have a Jaccard similarity of 0.8 or more, which mostly lie further apart than a fingerprint
     index can search (see nearcopies). A row is told by its id and text: where one id stands on different
     texts, each text is judged by itself; rows without an id are judged too, and come last in their group.
-    Rows that repeat both id and text are one, the one whose columns hash least. Null and empty texts are
+    Rows that repeat both id and text are one, the one whose columns hash least (of rows that differ in map or
+    variant columns alone, which can't be hashed, any one). Texts of any length are read whole. Null and empty texts are
     copies of one another. All columns stay as they are, whatever their names; an empty table stays empty.
     """
     from barwright.llm import nearcopies
 
-    key = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("said"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # two independent hashes of the text: rows without an id, too, are told apart by 128 bits
+    key = F.struct(
+        F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(text).alias("said"), F.xxhash64(F.lit(1), text).alias("more")
+    )
     keyed = docs.select(key.alias("key"), F.col(text_col).alias("t"))
     if similar:
         rows = shared.stored(nearcopies.sets(keyed, "key", "t", lambda t: fingerprint(t, width)))
@@ -298,5 +303,5 @@ def keep_one(
 
 def _key_hashes(key: str) -> tuple:
     """128 bits that stand for a key."""
-    parts = [f"{key}.no", f"{key}.id", f"{key}.said"]
+    parts = [f"{key}.no", f"{key}.id", f"{key}.said", f"{key}.more"]
     return F.xxhash64(*parts).alias("h1"), F.xxhash64(*parts[::-1], F.lit(1)).alias("h2")
