@@ -27,15 +27,13 @@ class _AsOf(StatefulProcessor):
     are given, and of the right rows before it only the last is kept.
     """
 
-    def __init__(self, keys: list[str], left: list[tuple[str, str]], right: list[tuple[str, str]]):
-        self.keys, self.left_spec, self.right_spec = keys, left, right
-        self.left_names, self.right_names = [n for n, _ in left], [n for n, _ in right]
+    def __init__(self, keys: list[str]):
+        self.keys = keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        spec = lambda fields: ", ".join(f"`{n}` {t}" for n, t in [("at_us", "bigint"), ("tie_rank", "bigint"), *fields])
-        self.left = handle.getListState("left", spec(self.left_spec))
-        self.right = handle.getListState("right", spec(self.right_spec))
+        spec = "at_us bigint, tie_rank bigint, payload string"
+        self.sides = [handle.getListState(name, spec) for name in ("left", "right")]
         self.timer = handle.getValueState("timer", "at bigint")
 
     def _set(self, at: int) -> None:
@@ -52,35 +50,33 @@ class _AsOf(StatefulProcessor):
         if not frames:
             return  # called for a timer alone
         pdf = pd.concat(frames)
-        for side, state, names in ((0, self.left, self.left_names), (1, self.right, self.right_names)):
+        for side, state in enumerate(self.sides):
             mine = pdf[pdf["feed_side"] == side]
             if len(mine):
-                # values travel as a struct: a column of numbers with nulls would become doubles
-                given = zip(mine["at_us"].tolist(), mine["tie_rank"].tolist(), mine["right_row" if side else "left_row"])
-                state.appendList([(at, rank, *(row[n] for n in names)) for at, rank, row in given])
+                state.appendList(list(zip(mine["at_us"].tolist(), mine["tie_rank"].tolist(), mine["payload"].tolist())))
                 if side == 0:
                     self._set(int(mine["at_us"].min()) // 1000 + 1)
-        yield pd.DataFrame(columns=[*self.keys, "ts", *self.left_names, *self.right_names])
+        yield self._rows([])
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.keys, "at_us", "left_row", "right_row"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000  # rows before it can't come any more
-        left = list(self.left.get()) if self.left.exists() else []
-        right = sorted((tuple(r) for r in (self.right.get() if self.right.exists() else ())), key=lambda r: (r[0], r[1]))
-        ready = sorted((tuple(r) for r in left if r[0] < passed), key=lambda r: (r[0], r[1]))
-        wait = [tuple(r) for r in left if r[0] >= passed]
+        left, right = (sorted(map(tuple, side.get())) if side.exists() else [] for side in self.sides)
+        ready, wait = [r for r in left if r[0] < passed], [r for r in left if r[0] >= passed]
         at = np.array([r[0] for r in right], dtype=np.int64)
-        k = np.searchsorted(at, np.array([r[0] for r in ready], dtype=np.int64), side="right") - 1
-        none = (None,) * len(self.right_names)
-        out = [(*key, pd.Timestamp(r[0], unit="us"), *r[2:], *(right[i][2:] if i >= 0 else none)) for r, i in zip(ready, k)]
-        gone = max(0, int(np.searchsorted(at, passed)) - 1)
-        for state, rest in ((self.left, wait), (self.right, right[gone:])):
+        found = np.searchsorted(at, np.array([r[0] for r in ready], dtype=np.int64), side="right") - 1
+        out = [(*key, r[0], r[2], right[k][2] if k >= 0 else None) for r, k in zip(ready, found)]
+        kept = right[max(0, int(np.searchsorted(at, passed)) - 1) :]
+        for state, rest in zip(self.sides, (wait, kept)):
             state.clear()
             if rest:
                 state.put(rest)
         self.timer.clear()
         if wait:
-            self._set(min(r[0] for r in wait) // 1000 + 1)
-        yield pd.DataFrame(out, columns=[*self.keys, "ts", *self.left_names, *self.right_names])
+            self._set(wait[0][0] // 1000 + 1)
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -98,19 +94,26 @@ def asof_streams(left: DataFrame, right: DataFrame, keys: list[str], ts: str, va
     kinds = dict(left.dtypes)
     mine = [(c, t) for c, t in left.dtypes if c not in (*keys, ts)]
     theirs = [(c, t) for c, t in right.dtypes if c in values]
+    # payloads travel as text that Spark writes and reads: no value changes its type on the way through Python
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+    def feed(df: DataFrame, side: int, fields: list[tuple[str, str]], rank) -> DataFrame:
+        at = F.col(ts).cast("timestamp")
+        packed = F.to_json(F.struct(F.lit(side).alias("feed_side"), *(F.col(c) for c, _ in fields)), exact)
+        return df.select(*keys, at.alias("at"), F.unix_micros(at).alias("at_us"), F.lit(side).alias("feed_side"), rank.alias("tie_rank"), packed.alias("payload"))
+
+    both = feed(left, 0, mine, F.lit(0).cast("long")).unionByName(feed(right, 1, theirs, F.xxhash64(*values)))
+    out = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "at_us bigint, left_row string, right_row string"])
+    met = both.withWatermark("at", late).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_AsOf(keys), outputStructType=out, outputMode="Append", timeMode="EventTime"
+    )
 
-    def row(fields, name, given):
-        packed = F.struct(*((F.col(c) if given else F.lit(None).cast(t)).alias(c) for c, t in fields)).alias(name)
-        return packed if fields else F.struct(F.lit(None).cast("int").alias("none")).alias(name)
+    def unpacked(column: str, fields: list[tuple[str, str]]):
+        spec = ", ".join(f"`{c}` {t}" for c, t in [("feed_side", "int"), *fields])
+        return (F.from_json(column, spec, exact)[c].alias(c) for c, _ in fields)
 
-    head = [*keys, F.col(ts).cast("timestamp").alias("_at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at_us")]
-    a = left.select(*head, F.lit(0).alias("feed_side"), F.lit(0).cast("long").alias("tie_rank"), row(mine, "left_row", True), row(theirs, "right_row", False))
-    b = right.select(*head, F.lit(1).alias("feed_side"), F.xxhash64(*values).alias("tie_rank"), row(mine, "left_row", False), row(theirs, "right_row", True))
-    out = ", ".join(f"`{c}` {t}" for c, t in [*((k, kinds[k]) for k in keys), ("ts", "timestamp_ntz"), *mine, *theirs])
-    met = a.unionByName(b).withWatermark("_at", late).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_AsOf(keys, mine, theirs), outputStructType=out, outputMode="Append", timeMode="EventTime"
-    )
-    return met.withColumnRenamed("ts", ts)
+    at = F.timestamp_micros("at_us").cast(kinds[ts]).alias(ts)
+    return met.select(*keys, at, *unpacked("left_row", mine), *unpacked("right_row", theirs))
 
 
 class _Parts(StatefulProcessor):
@@ -187,10 +190,10 @@ def complete_bars(bars: DataFrame, part: str, needed: int, late: str, key: str =
     us = F.unix_micros(at) - step
     start = F.floor(us / F.lit(step * needed)).cast("long") * (step * needed)
     rows = bars.select(
-        key, F.timestamp_micros(start).cast(kinds["bar_end"]).alias("bucket"), at.alias("_at"), start.alias("start_us"),
+        key, F.timestamp_micros(start).cast(kinds["bar_end"]).alias("bucket"), at.alias("at"), start.alias("start_us"),
         us.alias("at_us"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")),
     )
     out = f"`{key}` {kinds[key]}, bucket {kinds['bar_end']}, open double, high double, low double, close double, parts int, reason string"
-    return rows.withWatermark("_at", late).groupBy(key, "bucket").transformWithStateInPandas(
+    return rows.withWatermark("at", late).groupBy(key, "bucket").transformWithStateInPandas(
         statefulProcessor=_Parts(key, needed, step), outputStructType=out, outputMode="Append", timeMode="EventTime"
     )
