@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barwright.operators import windows as wn
+from barwright.operators import blocked, windows as wn
 
 
 def intraday_features(bars: DataFrame, key: str, day: str, order: str) -> DataFrame:
@@ -122,7 +122,7 @@ def profit_factor(pnl: str) -> Column:
 def trade_stats(days: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Profit factor (infinite without losses), win rate and worst drawdown of a series of results; keys
     may hold a period (see scalar.period_of), whose equity then starts anew."""
-    curve = wn.with_drawdown(days, "pnl_day", keys, order)
+    curve = blocked.drawdown(days, "pnl_day", keys, [order])
     return curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         profit_factor("pnl_day").alias("profit_factor"),

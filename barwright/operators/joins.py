@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from barwright.operators.blocked import scan
+
 
 def enrich(base: DataFrame, other: DataFrame, on: list[str], suffix: str | None = None) -> DataFrame:
     """Left join; overlapping columns of the right are dropped, or renamed where a suffix is given."""
@@ -20,8 +22,8 @@ def asof(
 ) -> DataFrame:
     """left with the right's last row at or before ts (before, if strict), no older than the tolerance.
 
-    Both sides are stacked and carried forward by one window per key: linear in the rows, without a
-    range join. Of right rows with equal times the values' greatest wins.
+    Both sides are stacked and carried forward by a blocked scan: linear in the rows, without a range join,
+    and no task holds a key. Of right rows with equal times the values' greatest wins.
     """
     side = F.lit(0 if not strict else 1)
     names = [f"_r_{v}" for v in values]
@@ -31,8 +33,7 @@ def asof(
     lcols = [c for c in left.columns if c not in keys and c != ts]
     l = left.select(*keys, ts, F.lit(1 if not strict else 0).alias("_side"), F.struct(*lcols).alias("_left") if lcols else F.lit(True).alias("_left"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(W.unboundedPreceding, 0)
-    carried = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    carried = scan(both, keys, [ts, "_side"], {"_hit": ("last", "_right")}).where("_left is not null")
     fresh = F.lit(True) if tolerance is None else F.col("_hit._at") >= F.col(ts) - F.expr(f"interval {tolerance}")
     return carried.select(
         *keys,

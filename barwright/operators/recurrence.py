@@ -107,6 +107,55 @@ def with_ema(df: DataFrame, keys: list[str], order: list[str], column: str, span
     return zipped.select(*(F.col(f"z._rows.r.{c}").alias(c) for c in df.columns), *value)
 
 
+def with_states(df: DataFrame, keys: list[str], order: list[str], column: str, name: str, states: list[int], start: int, step) -> DataFrame:
+    """df with ``name``, the state after each row: step(states, values) of the state before and the row's value.
+
+    States are few, so a block of rows is a map from each of them to one: all blocks' maps are made side by side,
+    a key's maps are chained from ``start``, and all blocks run once more from the states they are entered with.
+    ``step`` takes and returns arrays; rows whose value is null or NaN keep the state.
+    """
+
+    def folded(x: np.ndarray, p: np.ndarray, keep: bool) -> np.ndarray:
+        every = []
+        for k in range(x.shape[1]):
+            p = np.where(np.isnan(x[:, k]), p, step(p, np.nan_to_num(x[:, k])))
+            if keep:
+                every.append(p)
+        return np.stack(every, axis=1) if keep and every else p
+
+    @F.pandas_udf("array<int>")
+    def maps(xs: pd.Series) -> pd.Series:
+        x, _ = _padded(xs)
+        return pd.Series(list(np.stack([folded(x, np.full(len(x), p), False) for p in states], axis=1)))
+
+    @F.pandas_udf("array<int>")
+    def chained(all_maps: pd.Series) -> pd.Series:
+        out, at = [], {p: k for k, p in enumerate(states)}
+        for blocks in all_maps:
+            p, entered = start, []
+            for m in blocks:
+                entered.append(p)
+                p = int(m[at[p]])
+            out.append(entered)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<int>")
+    def expanded(xs: pd.Series, entry: pd.Series) -> pd.Series:
+        x, size = _padded(xs)
+        p = folded(x, entry.to_numpy(), True)
+        return pd.Series([p[i, :n] for i, n in enumerate(size)])
+
+    block = time_block(order[0], dict(df.dtypes)[order[0]])
+    row = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)), F.struct(*df.columns).alias("r"))
+    rows = df.groupBy(F.struct(*keys).alias("_key"), block.alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    rows = rows.withColumn("_x", F.transform("_rows", lambda r: r["r"][column].cast("double")))
+    few = rows.select("_key", F.struct(F.col("_block").alias("block"), maps("_x").alias("m")).alias("b")).groupBy("_key").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    entered = few.select(F.col("_key").alias("_of"), F.explode(F.arrays_zip(F.col("b.block").alias("at"), chained(F.col("b.m")).alias("p"))).alias("z"))
+    met = rows.join(entered, (rows["_key"] == entered["_of"]) & (rows["_block"] == entered["z.at"]))
+    zipped = met.select(F.explode(F.arrays_zip("_rows", expanded("_x", F.col("z.p")).alias("s"))).alias("z"))
+    return zipped.select(*(F.col(f"z._rows.r.{c}").alias(c) for c in df.columns), F.col("z.s").alias(name))
+
+
 def with_ew_stats(
     df: DataFrame, keys: list[str], order: list[str], column: str, span: int, min_periods: int, fallback: int | None = None
 ) -> DataFrame:
@@ -119,12 +168,12 @@ def with_ew_stats(
     take their place, from 3 values on.
     """
     from barwright.operators import windows as wn
+    from barwright.operators.blocked import scan
 
     a, q = 2.0 / (span + 1), (1 - 2.0 / (span + 1)) ** 2
-    w = wn.over(keys, order)
     x = F.col(column)
     df = with_ema(df, keys, order, column, {"ew_mean": span})
-    df = df.withColumn("_n", F.count(column).over(w)).withColumn("_z", (1 - a) * (x - F.lag("ew_mean").over(w)) ** 2)
+    df = scan(df, keys, order, {"_n": ("count", column), "_was": ("lag", "ew_mean")}).withColumn("_z", (1 - a) * (x - F.col("_was")) ** 2).drop("_was")
     df = with_ema(df.withColumn("_z", F.when(x.isNotNull(), F.when(F.col("_n") == 1, 0.0).otherwise(F.col("_z")))), keys, order, "_z", {"_v": span})
     squares = F.pow(F.lit(q), F.col("_n") - 1) + a * (1 - F.pow(F.lit(q), F.col("_n") - 1)) / (2 - a)
     enough = F.col("_n") >= min_periods

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from barwright.operators import windows as wn
-from barwright.operators.recurrence import with_ema
+from barwright.operators import blocked, windows as wn
+from barwright.operators.recurrence import with_ema, with_states
 
 
 #: Decimals at which results are compared when parameters are ranked.
@@ -47,7 +48,7 @@ def close_to_close(df: DataFrame, keys: list[str], order: str, day: str, commiss
         df.withColumn("trades", F.coalesce(F.abs(F.col("position") - F.lag("position").over(w)), first))
         .withColumn("pnl", F.col("position") * F.coalesce(wn.diff("close", w), F.lit(0.0)) - F.col("trades") * commission)
     )
-    curve = wn.with_drawdown(bar, "pnl", [*keys, day], order)
+    curve = blocked.drawdown(bar, "pnl", [*keys, day], [order])
     return curve.groupBy(*keys, day).agg(
         F.sum("pnl").alias("pnl_day"), F.sum("trades").alias("num_trades_day"), F.min("drawdown").alias("max_dd_day")
     ).withColumn("edge_day", (F.col("pnl_day") > 0).cast("int"))
@@ -61,7 +62,7 @@ def session_day(bar_end: str) -> Column:
 def by_day(df: DataFrame, keys: list[str], day: str, pnl: str = "pnl_bar", trades: str = "trades") -> DataFrame:
     """Per day profit and trades, and over the days cumulated profit and drawdown."""
     days = df.groupBy(*keys, day).agg(F.sum(pnl).alias("pnl_day"), F.sum(trades).alias("trades_day"))
-    return wn.with_drawdown(days, "pnl_day", keys, day).select(*keys, day, "pnl_day", "trades_day", F.col("equity").alias("cum_pnl"), "drawdown")
+    return blocked.drawdown(days, "pnl_day", keys, [day]).select(*keys, day, "pnl_day", "trades_day", F.col("equity").alias("cum_pnl"), "drawdown")
 
 
 def segment(days: DataFrame, keys: list[str], near_zero: float = 1e-9) -> DataFrame:
@@ -136,7 +137,7 @@ def grid_search(bars: DataFrame, key: str | list[str], order: str, pairs: list[t
     df = with_ema(bars, own, [order], "close", {f"e{s}": s for s in spans}).withColumn("day", day)
     days = _pair_days(df, own, order, F.array(*(F.col(f"e{s}") for s in spans)), spans, pairs, commission, mode)
     keys = [*own, "fast", "slow"]
-    return wn.with_drawdown(days, "pnl_day", keys, "day").select(*keys, "day", "pnl_day", "trades_day", F.col("equity").alias("cum_pnl"), "drawdown")
+    return blocked.drawdown(days, "pnl_day", keys, ["day"]).select(*keys, "day", "pnl_day", "trades_day", F.col("equity").alias("cum_pnl"), "drawdown")
 
 
 def month_windows(bars: DataFrame, key: str, order: str, train: int, valid: int, step: int) -> DataFrame:
@@ -197,7 +198,7 @@ def walk_forward_segments(
     )
     days = _pair_days(met, own, order, own_average, spans, pairs, commission, mode)
     keys = [*own, "fast", "slow"]
-    results = segment(wn.with_drawdown(days, "pnl_day", keys, "day"), keys, near_zero)
+    results = segment(blocked.drawdown(days, "pnl_day", keys, ["day"]), keys, near_zero)
     at = windows.select("window_id", "role", F.col(key).alias("_key"), "month_from", "month_to")
     joined = results.join(at, (results["window_id"] == at["window_id"]) & (results["role"] == at["role"]) & results[key].eqNullSafe(at["_key"]))
     return joined.select(*(results[c] for c in results.columns), "month_from", "month_to")
@@ -303,22 +304,14 @@ def threshold_positions(bars: DataFrame, key: str, order: str, n: int, k: float)
 
 def hysteresis(df: DataFrame, key: str, order: str, x: str, enter: float, leave: float) -> DataFrame:
     """Position with two thresholds: taken when flat and |x| reaches ``enter``, with x's sign; given up
-    when |x| falls below ``leave``. Path-dependent, so one key's rows are folded in order, batch by batch.
-    """
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    when |x| falls below ``leave``. Rows without an x change nothing. A block of rows maps each of the three
+    positions to one, so blocks are folded and expanded side by side (see with_states)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out, p = pdf.sort_values(order), [], 0
-        for v in pdf[x]:
-            if v == v and v is not None:
-                if p == 0 and abs(v) >= enter:
-                    p = 1 if v > 0 else -1
-                elif p != 0 and abs(v) < leave:
-                    p = 0
-            out.append(p)
-        return pdf.assign(position=out)
-
-    return df.groupBy(key).applyInPandas(run, f"{spec}, position int")
+    def step(p: np.ndarray, v: np.ndarray) -> np.ndarray:
+        size = np.abs(v)
+        return np.where(p == 0, np.where(size >= enter, np.sign(v), 0), np.where(size < leave, 0, p)).astype(np.int8)
+
+    return with_states(df, [key], [order], x, "position", [-1, 0, 1], 0, step)
 
 
 def brackets(days: DataFrame, keys: list[str], order: str, grid: list[tuple[float, float]]) -> DataFrame:

@@ -106,9 +106,10 @@ def run_verdict(df: DataFrame, good: str, key: str, order: str, margin: float =
     """Per key: the share of good rows, how often one follows its like, mean lengths of runs and those that
     independent rows would give, and a verdict: CLUSTERED where good rows follow good ones by ``margin``
     more than their share and runs are longer, ALTERNATING where they do so by that much less."""
-    from barwright.operators.windows import over, with_runs
+    from barwright.operators.blocked import runs
+    from barwright.operators.windows import over
 
-    d = with_runs(df, good, key, order).withColumn("_n", F.lead(good).over(over(key, order)))
+    d = runs(df, good, [key], [order]).withColumn("_n", F.lead(good).over(over(key, order)))
     g, nxt = F.col(good), F.col("_n")
     run = F.when(F.col("run_pos") == 1, F.col("run_len"))
     out = d.groupBy(key).agg(

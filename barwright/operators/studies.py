@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barwright.functions.scalar import band, logistic
-from barwright.operators import events, signals, stats, windows as wn
+from barwright.operators import blocked, events, signals, stats, windows as wn
 
 
 def execute_signals(bars: DataFrame, sigs: DataFrame, keys: list[str], order: str, commission: float) -> DataFrame:
@@ -47,7 +47,7 @@ def always_in(df: DataFrame, keys: list[str], order: str, fast: str, slow: str)
     moved, and mean over deviation."""
     w = wn.over(keys, order)
     side = df.withColumn("_s", F.signum(F.col(fast) - F.col(slow)))
-    side = side.withColumn("_p", wn.hold_last_nonzero("_s", keys, order))
+    side = blocked.held(side, "_p", "_s", keys, [order])
     bar = side.withColumn("_r", F.lag("_p").over(w) * wn.diff("close", w))
     moved = F.col("_r") != 0
     return bar.groupBy(*keys).agg(

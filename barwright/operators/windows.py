@@ -86,43 +86,6 @@ def with_atr(bars: DataFrame, keys, order, n: int = 14, min_periods: int = 5) ->
     return bars.withColumn("tr", true_range(keys, order)).withColumn("atr", rolling(F.avg, "tr", keys, order, n, min_periods))
 
 
-def with_drawdown(df: DataFrame, pnl: str, keys, order) -> DataFrame:
-    """Running equity, its peak, and the drawdown from it (0 or negative)."""
-    w = over(keys, order, W.unboundedPreceding, 0)
-    return (
-        df.withColumn("equity", F.sum(pnl).over(w))
-        .withColumn("peak", F.max("equity").over(w))
-        .withColumn("drawdown", F.col("equity") - F.col("peak"))
-    )
-
-
-def forward_fill(c: str, keys, order) -> Column:
-    return F.last(c, ignorenulls=True).over(over(keys, order, W.unboundedPreceding, 0))
-
-
-def hold_last_nonzero(c: str, keys, order) -> Column:
-    """Zero and null carry on what was before them; 0 at the start."""
-    kept = F.last(F.when(F.col(c) != 0, F.col(c)), ignorenulls=True).over(over(keys, order, W.unboundedPreceding, 0))
-    return F.coalesce(kept, F.lit(0))
-
-
-def with_runs(df: DataFrame, label: str, keys, order) -> DataFrame:
-    """Runs of equal labels: run_id (from 1), run_pos (from 1), run_len, place (single, start, mid, end)."""
-    w = over(keys, order)
-    ks = [keys] if isinstance(keys, str) else list(keys)
-    changed = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    ids = df.withColumn("_c", changed).withColumn("run_id", F.sum("_c").over(over(keys, order, W.unboundedPreceding, 0))).drop("_c")
-    run = W.partitionBy(*ks, "run_id")
-    placed = ids.withColumn("run_pos", F.row_number().over(run.orderBy(*([order] if isinstance(order, str) else order)))).withColumn(
-        "run_len", F.count(F.lit(1)).over(run)
-    )
-    place = (
-        F.when(F.col("run_len") == 1, "single").when(F.col("run_pos") == 1, "start")
-        .when(F.col("run_pos") == F.col("run_len"), "end").otherwise("mid")
-    )
-    return placed.withColumn("place", place)
-
-
 def crossed(a: str, b: str, keys, order) -> Column:
     """'up' where a comes to lie above b, 'down' where it comes to lie below; else null."""
     gap = F.col(a) - F.col(b)
@@ -155,13 +118,14 @@ def centred_mean(c: str, keys, order, n: int) -> Column:
 def regular_grid(df: DataFrame, key: str, ts: str, every: str, values: list[str]) -> DataFrame:
     """One row per key and boundary from the first to the last bucket, values carried forward."""
     from barwright.operators.bars import bucket_end
+    from barwright.operators.blocked import filled
 
     b = df.withColumn("grid", bucket_end(ts, every))
     last = b.groupBy(key, "grid").agg(*(F.max_by(v, ts).alias(v) for v in values))
     spans = last.groupBy(key).agg(F.min("grid").alias("_a"), F.max("grid").alias("_b"))
     grid = spans.select(key, F.explode(F.expr(f"sequence(_a, _b, interval {every})")).alias("grid"))
     full = grid.join(last, [key, "grid"], "left")
-    return full.select(key, "grid", *(forward_fill(v, key, "grid").alias(v) for v in values))
+    return filled(full, values, [key], ["grid"]).select(key, "grid", *values)
 
 
 def overlaps(df: DataFrame, keys, start: str, end: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barwright.functions import scalar
-from barwright.operators import bars, joins, quality, recurrence, windows as wn
+from barwright.operators import bars, blocked, joins, quality, recurrence, windows as wn
 from barwright.plans.registry import query, rounded
 from barwright.sources import lake, views
 from barwright.sources.room import kept
@@ -273,7 +273,7 @@ def atr_14(spark, sf_dir):
 def drawdown(spark, sf_dir):
     """E9 equity and drawdown."""
     d = views.day_bars(spark, sf_dir).select("instrument", "trade_date", (F.col("close") - F.col("open")).alias("pnl"))
-    return rounded(wn.with_drawdown(d, "pnl", "instrument", "trade_date").drop("pnl"), 4)
+    return rounded(blocked.drawdown(d, "pnl", ["instrument"], ["trade_date"]).drop("pnl"), 4)
 
 
 @query(sql("day_bars", f""", g as (select instrument, trade_date, close > open as good from day_bars), c as (select *, case when good = lag(good) over {_w()} then 0 else 1 end as c from g),
@@ -283,7 +283,7 @@ def drawdown(spark, sf_dir):
 def label_runs(spark, sf_dir):
     """E11 runs of good and bad days."""
     d = views.day_bars(spark, sf_dir).select("instrument", "trade_date", (F.col("close") > F.col("open")).alias("good"))
-    return wn.with_runs(d, "good", "instrument", "trade_date")
+    return blocked.runs(d, "good", ["instrument"], ["trade_date"])
 
 
 @query(sql("ticks", """, s as (select trade_id, instrument, ts, case when price > 60 then 1 when price < 5 then -1 else 0 end as x from ticks)
@@ -291,7 +291,7 @@ def label_runs(spark, sf_dir):
 def hold_last_nonzero(spark, sf_dir):
     """E10, F12 threshold signs held."""
     t = views.ticks(spark, sf_dir).withColumn("x", F.when(F.col("price") > 60, 1).when(F.col("price") < 5, -1).otherwise(0))
-    return t.select("trade_id", wn.hold_last_nonzero("x", "instrument", "ts").alias("held"))
+    return blocked.held(t, "held", "x", ["instrument"], ["ts"]).select("trade_id", "held")
 
 
 @query(sql("day_bars", "order_days", """, a as (select trade_date, avg(close) as a from day_bars group by all), r as (select a.trade_date, a.a, o.fx as b, row_number() over (order by a.trade_date) as i from a join order_days o using (trade_date)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barwright.operators import daily, events, signals, stats, windows as wn
+from barwright.operators import blocked, daily, events, signals, stats, windows as wn
 from barwright.plans.joins_queries import ema_sql
 from barwright.plans.registry import query, rounded
 from barwright.sources import views
@@ -366,7 +366,7 @@ def run_transitions(spark, sf_dir):
 def run_stats(spark, sf_dir):
     """E12 lengths of runs."""
     d = views.day_bars(spark, sf_dir).select("instrument", "trade_date", (F.col("close") > F.col("open")).alias("good"))
-    runs = wn.with_runs(d, "good", "instrument", "trade_date").where("run_pos = 1")
+    runs = blocked.runs(d, "good", ["instrument"], ["trade_date"]).where("run_pos = 1")
     return rounded(runs.groupBy("instrument", "good").agg(
         F.count(F.lit(1)).alias("runs"), F.avg("run_len").alias("mean_len"), F.median("run_len").alias("median_len"), F.percentile("run_len", F.lit(0.9)).alias("p90_len"), F.max("run_len").alias("max_len")
     ))

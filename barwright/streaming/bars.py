@@ -164,7 +164,7 @@ def pivot_each_batch(stream: DataFrame, group: str, groups: list[str], value: st
     Each batch stores its last value per bucket and group, then writes the days that it touches anew from
     all that is stored of them. ``target``/days is the table, ``target``/parts what is stored.
     """
-    from barwright.operators import windows as wn
+    from barwright.operators.blocked import filled
     from barwright.operators.daily import pivot_last
 
     day, columns = F.to_date("bucket").alias("day"), [*groups, "total"]
@@ -184,7 +184,7 @@ def pivot_each_batch(stream: DataFrame, group: str, groups: list[str], value: st
         spans = wide.groupBy("day").agg(F.min("bucket").alias("_a"), F.max("bucket").alias("_b"))
         grid = spans.select("day", F.explode(F.expr(f"sequence(_a, _b, interval {every})")).alias("bucket"))
         full = grid.join(wide, ["day", "bucket"], "left")
-        full = full.select("day", "bucket", *(wn.forward_fill(c, "day", "bucket").alias(c) for c in columns))
+        full = filled(full, columns, ["day"], ["bucket"]).select("day", "bucket", *columns)
         full.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{target}/days")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

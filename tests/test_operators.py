@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barwright.functions import scalar
-from barwright.operators import bars, daily, joins, quality, recurrence, signals, stats, windows as wn
+from barwright.operators import bars, blocked, daily, joins, quality, recurrence, signals, stats, windows as wn
 from barwright.sources import lake
 from barwright.streaming import bars as sb
 
@@ -188,7 +188,7 @@ def test_brackets_stop_before_target(spark):
 
 def test_runs(spark):
     df = frame(spark, [("a", i, x) for i, x in enumerate("GGBGGG")], "k string, t int, l string")
-    got = wn.with_runs(df, "l", "k", "t").orderBy("t").collect()
+    got = blocked.runs(df, "l", ["k"], ["t"]).orderBy("t").collect()
     assert [(r["run_id"], r["run_pos"], r["place"]) for r in got] == [(1, 1, "start"), (1, 2, "end"), (2, 1, "single"), (3, 1, "start"), (3, 2, "mid"), (3, 3, "end")]
 
 
