@@ -7,6 +7,8 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from barwright.operators.selection import quantiles
+
 
 def long_form(df: DataFrame, keep: list[str], metrics: list[str]) -> DataFrame:
     """(keep, metric, value), one row per metric whose value isn't null."""
@@ -22,10 +24,8 @@ def compare_groups(df: DataFrame, group: str, a, b, metrics: list[str], by: list
     """
     keys = [*by, "metric"]
     rows = long_form(df.where(F.col(group).isin(a, b)), [*by, group], metrics)
-    medians = rows.groupBy(*keys).agg(
-        F.percentile(F.when(F.col(group) == a, F.col("value")), F.lit(0.5)).alias("median_a"),
-        F.percentile(F.when(F.col(group) == b, F.col("value")), F.lit(0.5)).alias("median_b"),
-    )
+    halves = quantiles(rows, "value", [0.5], [*keys, group])
+    medians = halves.groupBy(*keys).agg(*(F.max(F.when(F.col(group) == x, F.col("q")[0])).alias(n) for x, n in ((a, "median_a"), (b, "median_b"))))
     per = rows.groupBy(*keys, "value").agg(
         F.sum((F.col(group) == a).cast("long")).alias("na"), F.sum((F.col(group) == b).cast("long")).alias("nb")
     )
@@ -77,19 +77,19 @@ def lift_table(events: DataFrame, flags: list[str], good: str, period: str) -> D
 
 
 def quantile_edges(df: DataFrame, column: str, parts: int) -> DataFrame:
-    qs = F.array(*(F.lit(k / parts) for k in range(parts + 1)))
-    return df.agg(F.percentile(column, qs).alias("edges"))
+    """(edges): one row with the column's quantiles in equal steps, least and greatest included."""
+    return quantiles(df, column, [k / parts for k in range(parts + 1)]).select(F.col("q").alias("edges"))
 
 
 def quintiles(df: DataFrame, column: str, value: str, parts: int = 5) -> DataFrame:
     """Right-closed quantile buckets of a column with count, mean, median and sum of another."""
-    edges = F.broadcast(quantile_edges(df.where(F.col(column).isNotNull()), column, parts))
+    edges = F.broadcast(quantile_edges(df, column, parts))  # one row
     inner = F.slice("edges", 2, parts - 1)
     bucket = F.size(F.filter(inner, lambda e: F.col(column) > e)) + 1
-    return (
-        df.where(F.col(column).isNotNull()).join(edges).withColumn("bucket", bucket).groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.sum(value).alias("total"))
-    )
+    rows = df.where(F.col(column).isNotNull()).join(edges).withColumn("bucket", bucket)
+    medians = quantiles(rows, value, [0.5], ["bucket"]).select("bucket", F.col("q")[0].alias("median"))
+    sums = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.sum(value).alias("total"))
+    return sums.join(medians, "bucket", "left").select("bucket", "n", "mean", "median", "total")
 
 
 def transitions(df: DataFrame, label: str, keys, order) -> DataFrame:

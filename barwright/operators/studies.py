@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barwright.functions.scalar import band, logistic
 from barwright.operators import blocked, events, signals, stats, windows as wn
+from barwright.operators.selection import quantiles
 
 
 def execute_signals(bars: DataFrame, sigs: DataFrame, keys: list[str], order: str, commission: float) -> DataFrame:
@@ -81,9 +82,8 @@ def quantile_screen(df: DataFrame, features: list[str], target: str, train: Colu
     period, its lift, and whether the rule holds (enough rows, lift 1.2, 2 points above the base).
     Features with fewer than train_n training values are left out."""
     rows = stats.long_form(df.withColumn("_train", train), ["_train", target], features)
-    cuts = rows.where("_train").groupBy("metric").agg(
-        F.percentile("value", F.lit(q)).alias("low"), F.percentile("value", F.lit(1 - q)).alias("high"), F.count(F.lit(1)).alias("_n")
-    ).where(F.col("_n") >= train_n).drop("_n")
+    cuts = quantiles(rows.where("_train"), "value", [q, 1 - q], ["metric"]).where(F.col("n") >= train_n)
+    cuts = cuts.select("metric", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     base = df.withColumn("_train", train).groupBy("_train").agg(F.avg(F.col(target).cast("double")).alias("base"))
     tails = F.explode(F.array(F.struct(F.lit("low").alias("tail"), (F.col("value") <= F.col("low")).alias("hit")), F.struct(F.lit("high").alias("tail"), (F.col("value") >= F.col("high")).alias("hit"))))
     hit = rows.join(F.broadcast(cuts), "metric").select("metric", "_train", target, "low", "high", tails.alias("t")).where("t.hit")

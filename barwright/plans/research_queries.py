@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barwright.operators import blocked, daily, events, signals, stats, windows as wn
+from barwright.operators import blocked, daily, events, selection, signals, stats, windows as wn
 from barwright.plans.joins_queries import ema_sql
 from barwright.plans.registry import query, rounded
 from barwright.sources import views
@@ -248,7 +248,9 @@ def _gated(spark, sf_dir):
         "instrument", "trade_date", (F.col("close") - F.col("open")).alias("pnl_day"),
         F.lag(F.try_divide(F.abs(F.col("close") - F.col("open")), span)).over(w).alias("trend_ratio"), F.lag(F.try_divide(span, F.col("open"))).over(w).alias("rel_range"),
     )
-    cuts = d.where(F.col("trade_date") < "1999-01-01").agg(F.percentile("trend_ratio", F.lit(0.1)).alias("qt"), F.percentile("rel_range", F.lit(0.1)).alias("qr"))
+    train = d.where(F.col("trade_date") < "1999-01-01")
+    low = selection.quantiles(stats.long_form(train, [], ["trend_ratio", "rel_range"]), "value", [0.1], ["metric"])
+    cuts = low.agg(*(F.max(F.when(F.col("metric") == m, F.col("q")[0])).alias(c) for m, c in (("trend_ratio", "qt"), ("rel_range", "qr"))))
     low = F.coalesce(F.col("trend_ratio") <= F.col("qt"), F.lit(False)) | F.coalesce(F.col("rel_range") <= F.col("qr"), F.lit(False))
     return d.join(F.broadcast(cuts)).withColumn("risk", low.cast("int"))
 
