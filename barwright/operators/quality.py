@@ -276,10 +276,13 @@ def freshness(df: DataFrame, key: list[str], ts: str, target: Column) -> DataFra
 
 
 def tail_refresh(old: DataFrame, tail: DataFrame, key: list[str], day: str, cutoff: Column) -> DataFrame:
-    """Old rows before the cutoff and all of the tail, one row per key, the tail's where both have it."""
-    both = old.where(F.col(day) < cutoff).withColumn("_p", F.lit(0)).unionByName(tail.withColumn("_p", F.lit(1)), allowMissingColumns=True)
-    w = W.partitionBy(*key).orderBy(F.desc("_p"), *(F.desc(c) for c in old.columns if c not in key))
-    return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_p")
+    """Old rows before the cutoff and all of the tail. Of tail rows that repeat a key the greatest counts; an old row
+    gives way where the tail has its key, and the others pass through as they are, without a shuffle unless the
+    tail's rows before the cutoff are too many to broadcast."""
+    rest = [c for c in old.columns if c not in key]
+    new = tail.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_l")).select(*key, *(F.col(f"_l.{c}").alias(c) for c in rest)).select(*old.columns)
+    early = tail.where(F.col(day) < cutoff).select(*key).distinct()
+    return old.where(F.col(day) < cutoff).join(early, key, "left_anti").select(*old.columns).unionByName(new)
 
 
 def prefer_enriched(base: DataFrame, enriched: DataFrame, day: str, key: list[str]) -> DataFrame:

@@ -88,24 +88,58 @@ def column_blocks(payloads: DataFrame, column: str, blocks: list[str]) -> DataFr
     )
 
 
-def refresh_tail(spark: SparkSession, root: str, tail: DataFrame, day: str, cutoff: str, key: list[str], month: str = "month") -> None:
-    """Days from the cutoff on replaced by the tail's, in a lake partitioned by month.
+def create_lake(df: DataFrame, root: str, day: str) -> None:
+    """A table kept by month, whose months can be replaced together in one step (see refresh_tail)."""
+    _publish(df, root, day, [])
+
+
+def read_lake(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the months in force, with the column month; a condition on it reads those months only."""
+    months = _months(spark, root)
+    if not months:
+        raise quality.CheckFailed(f"empty_lake: {root}")
+    paths = [f"{root}/version={v}/month={m}" for m, v in months]
+    return spark.read.option("basePath", root).option("mergeSchema", False).parquet(*paths).drop("version").withColumn("month", F.col("month").cast("string"))
+
+
+def _months(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(month, version) of the months in force, by the last manifest: a row per state of the table."""
+    states = spark.read.schema("state long, months array<struct<month: string, version: string>>").parquet(f"{root}-manifest")
+    last = states.agg(F.max_by("months", "state").alias("m")).first()["m"]
+    return [(r["month"], r["version"]) for r in last or []]
 
-    Only the months from the cutoff's on are read and written, each anew; earlier ones aren't touched.
-    What goes out is stored beside the lake first, since a folder can't be read and written at once. The
-    tail must not reach before the cutoff.
-    """
-    from pyspark.sql import Window as W
 
-    first = cutoff[:7]
-    old = spark.read.parquet(root).where((F.col(month) >= first) & (F.col(day) < F.lit(cutoff).cast("date")))
-    new = tail.where(F.col(day) >= F.lit(cutoff).cast("date")).withColumn(month, F.date_format(day, "yyyy-MM"))
-    w = W.partitionBy(*key).orderBy(*(F.desc(c) for c in new.columns if c not in key))
-    last = new.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-    stage = f"{root.rstrip('/')}-stage"
-    old.unionByName(last).write.mode("overwrite").partitionBy(month).parquet(stage)
-    staged = spark.read.parquet(stage)
-    staged.repartition(month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(month).parquet(root)
+def _publish(df: DataFrame, root: str, day: str, kept: list[tuple[str, str]], state: int = 0) -> None:
+    from uuid import uuid4
+
+    spark, version = df.sparkSession, uuid4().hex
+    path = f"{root}/version={version}"
+    months = df.drop("month").withColumn("month", F.date_format(day, "yyyy-MM"))
+    months.repartition("month").write.partitionBy("month").parquet(path)
+    new = [] if df.isEmpty() else [r["month"] for r in spark.read.parquet(path).select(F.col("month").cast("string").alias("month")).distinct().collect()]
+    table = [(state, sorted([*kept, *((m, version) for m in new)]))]
+    spark.createDataFrame(table, "state long, months array<struct<month: string, version: string>>").coalesce(1).write.mode("append").parquet(f"{root}-manifest")
+
+
+def refresh_tail(spark: SparkSession, root: str, tail: DataFrame, day: str, cutoff: str, key: list[str]) -> None:
+    """Days from the cutoff on replaced by the tail's, in a table made by create_lake.
+
+    Rows before the cutoff stay as they are, and months before the cutoff's keep their files. The cutoff's month
+    and the tail's are written beside them; one row of the manifest then puts them in force together, so a reader
+    sees the table before or after, whole. Months from the cutoff's on that the tail doesn't have go. Of tail rows
+    that repeat a key the greatest counts; tail rows before the cutoff are ignored. One writer at a time.
+    """
+    states = spark.read.schema("state long").parquet(f"{root}-manifest")
+    state, months = states.agg(F.max("state")).first()[0], _months(spark, root)
+    kept = [(m, v) for m, v in months if m < cutoff[:7]]
+    at = F.lit(cutoff).cast("date")
+    new = tail.where(F.col(day) >= at)
+    rest = [c for c in new.columns if c not in key]
+    last = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_l")).select(*key, *(F.col(f"_l.{c}").alias(c) for c in rest)).select(*new.columns)
+    if any(m == cutoff[:7] for m, _ in months):
+        early = read_lake(spark, root).where((F.col("month") == cutoff[:7]) & (F.col(day) < at)).drop("month")
+        last = early.unionByName(last.drop("month"))
+    _publish(last, root, day, kept, state + 1)
 
 
 def guarded_swap(spark: SparkSession, candidate: DataFrame, root: str, name: str, ts: str) -> bool:
