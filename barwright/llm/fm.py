@@ -30,7 +30,7 @@ MIN_TEXTS = 3
 MIN_ASSOCIATION = 12.0
 #: Distinct texts that a term, and a pair of terms, must stand in for the pair to be tested; and the number of
 #: pairs that may pass by chance among all that are tested, with labels at random.
-PAIR_TEXTS, BY_CHANCE = 8, 0.1
+PAIR_TEXTS, BY_CHANCE = 20, 0.1
 _OUTER = ".,;:!?\"'()[]{}<>|*#$%&-_"
 _known = Recent(200_000)
 shared.remembered("fm", _known)
@@ -184,21 +184,33 @@ def descend(
     return {"ids": ids[used], "w": w[used], "v": v[used], "w0": w0}
 
 
-def train(rows: list[np.ndarray], y: np.ndarray) -> dict:
-    """The machine, and a sigmoid fitted on margins of texts that it had not seen; or a constant where
-    there is one class only."""
+def train_part(rows: list[np.ndarray], y: np.ndarray, k: int) -> dict:
+    """Part k of the fit: for k below FOLDS the margins of a fold's texts by a machine that had not seen them,
+    for k = FOLDS the machine of all texts; or a constant where there is one class only."""
     y = (y == 1).astype(float)
     if len(set(y.tolist())) < 2:
         return {"constant": float(y[0])}
+    if k == FOLDS:
+        return descend(rows, y)
     fold = np.random.default_rng(11).permutation(len(y)) % FOLDS
-    margins = np.zeros(len(y))
-    for k in range(FOLDS):
-        seen = [i for i in range(len(y)) if fold[i] != k]
-        part = descend([rows[i] for i in seen], y[seen]) if 0 < y[seen].sum() < len(seen) else None
-        for i in np.flatnonzero(fold == k):
-            margins[i] = margin(part, np.flatnonzero(np.isin(part["ids"], rows[i], assume_unique=True))) if part else 0
-    a, b = learning.platt(margins, y)
-    return descend(rows, y) | {"a": a, "b": b}
+    seen, kept = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+    part = descend([rows[i] for i in seen], y[seen]) if 0 < y[seen].sum() < len(seen) else None
+    margins = [margin(part, np.flatnonzero(np.isin(part["ids"], rows[i], assume_unique=True))) if part else 0.0 for i in kept]
+    return {"margins": np.array(margins), "y": y[kept]}
+
+
+def joined(parts: list[dict]) -> dict:
+    """The machine with a sigmoid fitted on the margins of all folds."""
+    *folds, model = parts
+    if "constant" in model:
+        return model
+    a, b = learning.platt(*(np.concatenate([f[c] for f in folds]) for c in ("margins", "y")))
+    return model | {"a": a, "b": b}
+
+
+def train(rows: list[np.ndarray], y: np.ndarray) -> dict:
+    """All parts of the fit, one after the other."""
+    return joined([train_part(rows, y, k) for k in range(FOLDS + 1)])
 
 
 def margin(model: dict, at) -> float:
@@ -225,7 +237,8 @@ def score(model: dict | None, text: str, without_labels: float = 0.0) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> dict | None:
-    return learning.fit(learning.labelled_sample(docs, labels, "toxic", **bounds), features, train, "fm")
+    parts = learning.fit_parts(learning.labelled_sample(docs, labels, "toxic", **bounds), features, train_part, FOLDS + 1, "fm")
+    return joined(parts) if parts else None
 
 
 def classify(

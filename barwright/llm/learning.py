@@ -45,9 +45,15 @@ def labelled_sample(
 
 
 def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callable, owner: str) -> object:
-    """The model that ``train(list of feature arrays, labels)`` returns; None without any row.
+    """The model that ``train(list of feature arrays, labels)`` returns; None without any row."""
+    found = fit_parts(sample, features, lambda rows, y, _: train(rows, y), 1, owner)
+    return found[0] if found else None
 
-    Features are computed where the texts are; only they meet in one task, and the sample bounds them.
+
+def fit_parts(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callable, parts: int, owner: str) -> list:
+    """What ``train(list of feature arrays, labels, k)`` returns for each k below ``parts``; empty without any row.
+
+    Features are computed where the texts are; only they meet in the parts' tasks, and the sample bounds them.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,18 +63,22 @@ def fit(sample: DataFrame, features: Callable[[str], np.ndarray], train: Callabl
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), b.column(1)], names=["f", "y"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, y = [], []
+        held: dict[int, tuple[list, list]] = {}
         for b in batches:
-            found += [x.as_py() for x in b.column(0)]
-            y += b.column(1).to_pylist()
-        if found:
-            order = sorted(range(len(y)), key=lambda k: (found[k], y[k]))  # the same model in any order of arrival
-            rows = [np.frombuffer(found[k], dtype=np.uint32) for k in order]
-            model = train(rows, np.array([y[k] for k in order]))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["m"])
-
-    got = sample.mapInArrow(extract, "f binary, y int").repartition(1).mapInArrow(learn, "m binary").collect()
-    return pickle.loads(got[0]["m"]) if got else None
+            for k, f, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                held.setdefault(k, ([], []))[0].append(f.as_py())
+                held[k][1].append(y)
+        for k, (found, y) in held.items():
+            order = sorted(range(len(y)), key=lambda i: (found[i], y[i]))  # the same model in any order of arrival
+            rows = [np.frombuffer(found[i], dtype=np.uint32) for i in order]
+            model = train(rows, np.array([y[i] for i in order]), k)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], names=["k", "m"])
+
+    made = sample.mapInArrow(extract, "f binary, y int").select(F.explode(F.array(*map(F.lit, range(parts)))).alias("k"), "f", "y")
+    # many more partitions than parts, so that two parts rarely meet in one
+    dealt = made.repartition(1 if parts == 1 else 16 * parts, "k")
+    got = dealt.mapInArrow(learn, "k int, m binary").collect()  # a few models
+    return [pickle.loads(m) for _, m in sorted((r["k"], r["m"]) for r in got)]
 
 
 def scored(docs: DataFrame, score: Callable[[str], float], id_col: str, text_col: str, cut: float, owner: str) -> DataFrame:

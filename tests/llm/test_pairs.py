@@ -36,7 +36,7 @@ def test_every_pair_is_looked_at():
     distinct = {r.tobytes(): k for k, r in enumerate(rows)}
     rows, y = [rows[k] for k in distinct.values()], y[list(distinct.values())]
     sets, n, t = [set(r.tolist()) for r in rows], len(rows), int(sum(y))
-    ids = sorted(w for w in set().union(*sets) if sum(w in s for s in sets) >= 8)
+    ids = sorted(w for w in set().union(*sets) if sum(w in s for s in sets) >= fm.PAIR_TEXTS)
     need = 2 * math.log(len(ids) * (len(ids) - 1) / 2 / 0.1)
 
     def share(cell):
@@ -47,7 +47,7 @@ def test_every_pair_is_looked_at():
     for i, j in itertools.combinations(ids, 2):
         cells = {(a, b): [k for k, s in enumerate(sets) if (i in s, j in s) == (a, b)] for a in (True, False) for b in (True, False)}
         both = cells[True, True]
-        if len(both) < 8:
+        if len(both) < fm.PAIR_TEXTS:
             continue
         (a, va), (b, vb), (c, vc) = (share(cells[x]) for x in ((True, False), (False, True), (False, False)))
         ones, sums, slack = sum(y[k] for k in both), min(1, max(0, a + b - c)), 3 * math.sqrt(va + vb + vc)
@@ -98,7 +98,7 @@ def plain_descend(ids, rows, y, rounds=7, rate=0.3, l1=0.3, l2=1e-3, group=0.3):
 
 def test_descent_takes_the_same_steps_as_plain_python():
     rng = np.random.default_rng(4)
-    rows = texts(600, 30, 6, rng)
+    rows = texts(1200, 30, 6, rng)
     y = np.array([float(11 in r or {13, 15} <= set(r.tolist()) or rng.random() < 0.05) for r in rows])
     ids = np.union1d(fm.telling_terms(rows, y), fm.paired_terms(rows, y))
     assert len(ids) >= 2
