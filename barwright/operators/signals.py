@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barwright.operators import blocked, windows as wn
@@ -319,43 +318,33 @@ def brackets(days: DataFrame, keys: list[str], order: str, grid: list[tuple[floa
     ATR target, else at the last close; for every (stop_k, take_k) of the grid, in multiples of the ATR at
     the signal. Rows: keys, stop_k, take_k, entry, exit, side, pnl, reason.
 
-    The next entry depends on the last exit, so each key with its parameters is one group; the grid is
-    part of the key, and groups run side by side.
+    The exit of every possible entry is found by itself, then pointers pick those that don't overlap (see exits):
+    what is multiplied by the grid is entries, not bars, and no task holds a key.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in days.schema}
-    spec = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", stop_k double, take_k double, entry {kinds[order]}, exit {kinds[order]}, side int, pnl double, reason string"
-    names = [*keys, "stop_k", "take_k", "entry", "exit", "side", "pnl", "reason"]
+    from barwright.operators import exits
+    from barwright.sources.room import kept
+
+    bars = kept(exits.numbered(days.select(*keys, order, "open", "high", "low", "close", "atr", "signal"), keys, order))
     options = F.explode(F.array(*(F.struct(F.lit(float(s)).alias("stop_k"), F.lit(float(t)).alias("take_k")) for s, t in grid)))
-    used = [*keys, order, "open", "high", "low", "close", "atr", "signal"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        at = pdf[order].tolist()
-        o, h, l, c, atr, signal = (pdf[x].to_numpy(dtype=float) for x in ("open", "high", "low", "close", "atr", "signal"))
-        head = [pdf[k].iloc[0] for k in (*keys, "stop_k", "take_k")]
-        stop_k, take_k = head[-2:]
-        rows, side = [], 0
-        for i in range(1, len(at)):
-            if side == 0:
-                if not signal[i - 1] or atr[i - 1] != atr[i - 1]:
-                    continue
-                side, entry, price = int(signal[i - 1]), at[i], o[i]
-                stop, take = price - side * stop_k * atr[i - 1], price + side * take_k * atr[i - 1]
-            worst, best = (l[i], h[i]) if side > 0 else (h[i], l[i])
-            if (worst - stop) * side <= 0:
-                out, reason = stop, "stop"
-            elif (best - take) * side >= 0:
-                out, reason = take, "target"
-            elif i == len(at) - 1:
-                out, reason = c[i], "end"
-            else:
-                continue
-            rows.append((*head, entry, at[i], side, (out - price) * side, reason))
-            side = 0
-        return pd.DataFrame(rows, columns=names)
-
-    many = days.select(*used, options.alias("_g")).select(*used, "_g.*")
-    return many.groupBy(*keys, "stop_k", "take_k").applyInPandas(run, spec)
+    said = (F.col("signal") != 0) & F.col("atr").isNotNull() & ~F.isnan("atr")
+    signals = bars.where(said).select(F.col("_key").alias("_of"), (F.col("_i") + 1).alias("_at"), F.col("atr").alias("_atr"), F.col("signal").cast("int").alias("side"))
+    opened = bars.join(signals, (F.col("_key") == F.col("_of")) & (F.col("_i") == F.col("_at"))).select(
+        "_key", F.col("_i").alias("_e"), F.col("_i").alias("_from"), F.col(order).alias("entry"), F.col("open").cast("double").alias("_price"), "side", "_atr", options.alias("_o")
+    )
+    price, side = F.col("_price"), F.col("side")
+    entries = opened.select(
+        "_key", "_e", "_from", "entry", "_price", "side", "_o.stop_k", "_o.take_k",
+        (price - side * F.col("_o.stop_k") * F.col("_atr")).alias("stop"), (price + side * F.col("_o.take_k") * F.col("_atr")).alias("goal"),
+    )
+    met = exits.with_exits(entries, bars, "high", "low")
+    met = met.withColumn("_ended", F.col("_x").isNull()).withColumn("_x", F.coalesce("_x", "_last"))
+    taken = exits.one_at_a_time(met, ["_key", "stop_k", "take_k"])
+    ends = bars.select(F.col("_key").alias("_of"), F.col("_i").alias("_at"), F.col(order).alias("exit"), F.col("close").cast("double").alias("_close"))
+    out = F.when(F.col("_ended"), F.col("_close")).when(F.col("by_stop"), F.col("stop")).otherwise(F.col("goal"))
+    reason = F.when(F.col("_ended"), "end").when(F.col("by_stop"), "stop").otherwise("target")
+    return taken.join(ends, (F.col("_key") == F.col("_of")) & (F.col("_x") == F.col("_at"))).select(
+        *(F.col(f"_key.{k}").alias(k) for k in keys), "stop_k", "take_k", "entry", "exit", "side", ((out - price) * side).alias("pnl"), reason.alias("reason")
+    )
 
 
 def realized(log: DataFrame, keys: list[str], order: str) -> DataFrame:

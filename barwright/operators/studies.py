@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barwright.functions.scalar import band, logistic
@@ -118,29 +117,26 @@ def level_bar_events(days: DataFrame, levels: DataFrame, key: str, day: str, nea
 
 
 def stop_or_poc(days: DataFrame, key: str, order: str, stop_k: float) -> DataFrame:
-    """Fades a false break: enters at a signal bar's close, leaves at the stop when a bar trades through
-    it, else at the first close back at the level; one position at a time, so a key is one group."""
-    kind = dict(days.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, side = [], 0
-        used = [key, order, "high", "low", "close", "signal", "atr", "poc"]
-        for values in pdf.sort_values(order)[used].itertuples(index=False, name=None):
-            bar = dict(zip(used, values))
-            if side:
-                worst = bar["low"] if side > 0 else bar["high"]
-                if (worst - stop) * side <= 0:
-                    rows.append((bar[key], entry, bar[order], side, (stop - price) * side, "stop"))
-                    side = 0
-                elif (bar["close"] - goal) * side >= 0:
-                    rows.append((bar[key], entry, bar[order], side, (bar["close"] - price) * side, "poc"))
-                    side = 0
-            elif bar["signal"] and bar["atr"] and bar["atr"] == bar["atr"]:
-                side, entry, price, goal = int(bar["signal"]), bar[order], bar["close"], bar["poc"]
-                stop = price - side * stop_k * bar["atr"]
-        return pd.DataFrame(rows, columns=[key, "entry", "exit", "side", "pnl", "reason"])
-
-    return days.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, entry {kind[order]}, exit {kind[order]}, side int, pnl double, reason string")
+    """Fades a false break: enters at a signal bar's close, leaves at the stop when a later bar trades through
+    it, else at the first close back at the level; one position at a time, and one that is never left gives no
+    row. Exits and trades are found as for brackets."""
+    from barwright.operators import exits
+    from barwright.sources.room import kept
+
+    bars = kept(exits.numbered(days.select(key, order, "high", "low", "close", "signal", "atr", "poc"), [key], order))
+    said = (F.col("signal") != 0) & (F.col("atr") != 0) & ~F.isnan("atr")
+    side, price = F.col("signal").cast("int"), F.col("close").cast("double")
+    entries = bars.where(said).select(
+        "_key", F.col("_i").alias("_e"), (F.col("_i") + 1).alias("_from"), F.col(order).alias("entry"), price.alias("_price"), side.alias("side"),
+        (price - side * stop_k * F.col("atr")).alias("stop"), F.col("poc").cast("double").alias("goal"),
+    )
+    taken = exits.one_at_a_time(exits.with_exits(entries, bars, "close", "close"), ["_key"]).where("_x is not null")
+    ends = bars.select(F.col("_key").alias("_of"), F.col("_i").alias("_at"), F.col(order).alias("exit"), F.col("close").cast("double").alias("_close"))
+    out = F.when(F.col("by_stop"), F.col("stop")).otherwise(F.col("_close"))
+    return taken.join(ends, (F.col("_key") == F.col("_of")) & (F.col("_x") == F.col("_at"))).select(
+        F.col(f"_key.{key}").alias(key), "entry", "exit", "side", ((out - F.col("_price")) * F.col("side")).alias("pnl"), F.when(F.col("by_stop"), "stop").otherwise("poc").alias("reason")
+    )
+
 
 
 def refresh(spark, root: str, raw: DataFrame, contracts: DataFrame, day: str) -> DataFrame:
