@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import insort
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -52,30 +50,11 @@ def expanding(fn, c: str, keys, order, min_history: int, include_current: bool =
 
 def with_expanding_quantile(df: DataFrame, name: str, c: str, q: float, keys: list[str], order: str, min_history: int, lag: int = 0) -> DataFrame:
     """df with the interpolated quantile of all rows of the key before this one (and before ``lag`` more);
-    null values don't count, and below min_history of them there is none.
-
-    A growing sorted list per key does it in n log n, where a window frame's values would be sorted anew
-    for each row. A key's series is one task's, as for any window; meant for day-level series.
+    null values don't count, and below min_history of them there is none. See orderstats: no task holds a key.
     """
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + f", {name} double"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        values, held, out = pdf[c].to_numpy(dtype=float), [], []
-        for i in range(len(values)):
-            at = i - 1 - lag
-            if at >= 0 and values[at] == values[at]:
-                insort(held, values[at])
-            if len(held) < max(min_history, 1):
-                out.append(None)
-                continue
-            place = q * (len(held) - 1)
-            low = int(place)
-            high = min(low + 1, len(held) - 1)
-            out.append(held[low] + (place - low) * (held[high] - held[low]))
-        return pdf.assign(**{name: out})
-
-    return df.groupBy(*keys).applyInPandas(run, spec)
+    from barwright.operators.orderstats import with_past_quantile
+
+    return with_past_quantile(df, name, c, q, keys, order, max(min_history, 1), lag)
 
 
 def true_range(keys, order) -> Column:

@@ -154,3 +154,20 @@ def test_a_refreshed_tail_leaves_no_stale_month(spark, tmp_path):
     assert sorted((r["day"], r["v"]) for r in lake.read_lake(spark, root).collect()) == [(day(1, 5), 1.0), (day(2, 6), 2.0)]
     lake.refresh_tail(spark, root, tail.limit(0), "day", "2024-02-01", ["day"])
     assert [r["day"] for r in lake.read_lake(spark, root).collect()] == [day(1, 5)]
+
+
+@pytest.mark.parametrize("block, ranges, lag", [(4096, 128, 0), (7, 4, 0), (16, 2, 3), (5, 64, 1)])
+def test_quantiles_of_the_past(spark, block, ranges, lag):
+    from barwright.operators import orderstats
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), dt.date(2020, 1, 1) + dt.timedelta(days=t), rng.choice([None, float("nan"), 1.0, float(rng.randrange(9)), rng.uniform(0, 9)])) for t in range(150)]
+    df = spark.createDataFrame(rows, "k string, t date, v double")
+    got = {r["t"]: r["cut"] for r in orderstats.with_past_quantile(df, "cut", "v", 0.3, ["k"], "t", 4, lag, block, ranges).collect()}
+    assert len(got) == len(rows)
+    for key in ("a", "b", None):
+        mine = [r for r in rows if r[0] == key]
+        for i, (_, t, _) in enumerate(mine):
+            past = [v for _, _, v in mine[: max(0, i - lag)] if v is not None and v == v]
+            want = np.quantile(past, 0.3) if len(past) >= 4 else None
+            assert got[t] == (pytest.approx(want) if want is not None else None)
