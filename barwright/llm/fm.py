@@ -116,15 +116,15 @@ def paired_terms(rows: list[np.ndarray], y: np.ndarray, least: int = PAIR_TEXTS,
     c, c1 = (np.bincount(np.concatenate([*x, np.zeros(0, np.int64)]), minlength=len(ids)) for x in (place, ones))
     sizes = [len(p) for p in place]
     order = np.argsort(np.concatenate(place), kind="stable")
-    holders = np.repeat(np.arange(len(rows)), sizes)[order].tolist()
+    holders = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
     # of each text that has a term, how many of its terms come before it: with those it makes pairs
-    before = np.concatenate([np.arange(k) for k in sizes])[order].tolist()
+    before = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])[order]
     ends, toxic = np.cumsum(c).tolist(), (y == 1).tolist()
     n, n1, size = len(rows), float(y.sum()), len(ids)
     need = 2 * np.log(max(1.0, size * (size - 1) / 2 / by_chance))
     found, at = np.zeros(size, dtype=bool), 0
     for i, end in enumerate(ends):
-        mine, at = list(zip(holders[at:end], before[at:end])), end
+        mine, at = list(zip(holders[at:end].tolist(), before[at:end].tolist())), end
         both = np.bincount(np.concatenate([place[k][:m] for k, m in mine]), minlength=i)
         j = np.flatnonzero(both >= least)
         if not len(j):

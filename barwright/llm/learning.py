@@ -68,11 +68,14 @@ def fit_parts(sample: DataFrame, features: Callable[[str], np.ndarray], train: C
             for k, f, y in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 held.setdefault(k, ([], []))[0].append(f.as_py())
                 held[k][1].append(y)
-        for k, (found, y) in held.items():
+        for k in sorted(held):
+            found, y = held.pop(k)
             order = sorted(range(len(y)), key=lambda i: (found[i], y[i]))  # the same model in any order of arrival
             rows = [np.frombuffer(found[i], dtype=np.uint32) for i in order]
-            model = train(rows, np.array([y[i] for i in order]), k)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pickle.dumps(model)], pa.binary())], names=["k", "m"])
+            model = pickle.dumps(train(rows, np.array([y[i] for i in order]), k))
+            del found, y, rows, order
+            shared.give_back()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([model], pa.binary())], names=["k", "m"])
 
     made = sample.mapInArrow(extract, "f binary, y int").select(F.explode(F.array(*map(F.lit, range(parts)))).alias("k"), "f", "y")
     # many more partitions than parts, so that two parts rarely meet in one

@@ -76,6 +76,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, fingerprint: Callable[[byt
     shared.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only("nearcopies")
         for b in batches:
             for at in range(0, b.num_rows, 100):
                 part = b.slice(at, 100)
@@ -98,6 +99,7 @@ def held_sets(texts: DataFrame) -> DataFrame:
     """(node, size, counts, held) of the texts (node, t): their whole sets, with the counts by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.remember_only("nearcopies")
         for b in batches:
             found = [shingles(t.as_py()) for t in b.column(1)]
             counts = [np.bincount((h % np.uint64(PARTS)).astype(np.int64), minlength=PARTS) for h in found]

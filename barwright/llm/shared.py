@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of one Arrow batch that holds whole texts, at most (one text beyond that is a batch).
@@ -70,6 +72,14 @@ def remember_only(owner: str) -> None:
         if name != owner:
             for c in caches:
                 c.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Returns memory that this worker has freed to the machine; workers live on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
 
 
 def held_out(doc_id: str = "doc_id"):
