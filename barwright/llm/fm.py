@@ -242,8 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> dict | None:
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
-    longest_bytes: int = learning.LONGEST_BYTES,
+    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int | None = None,
+    longest_bytes: int | None = None,
 ) -> DataFrame:
     """Per row of docs: doc_id, held_out, score (0 to 1, the chance of being toxic), predicted.
 
@@ -257,8 +257,8 @@ def classify(
 
 
 def keep_civil(
-    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int = learning.SAMPLE_BYTES,
-    longest_bytes: int = learning.LONGEST_BYTES,
+    docs: DataFrame, labels: DataFrame, cut: float = 0.5, bound: int = learning.SAMPLE_ROWS, sample_bytes: int | None = None,
+    longest_bytes: int | None = None,
 ) -> DataFrame:
     """The documents that score below ``cut``, all columns as they are.
 

@@ -20,14 +20,16 @@ SAMPLE_BYTES, LONGEST_BYTES = 96 << 20, 1 << 20
 
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, bound: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text",
-    sample_bytes: int = SAMPLE_BYTES, longest_bytes: int = LONGEST_BYTES,
+    sample_bytes: int | None = None, longest_bytes: int | None = None,
 ) -> DataFrame:
     """(t, y): at most ``bound`` texts that have a label and aren't held out.
 
     A document labelled more than once counts with its greatest label; one that stands there more than
     once counts with its least text. Texts beyond ``longest_bytes`` are scored but not learnt from; the
-    sample ends where its texts reach ``sample_bytes``. The ids are bounded, so they are broadcast.
+    sample ends where its texts reach ``sample_bytes`` (None: LONGEST_BYTES and SAMPLE_BYTES). The ids are bounded, so they are broadcast.
     """
+    sample_bytes = SAMPLE_BYTES if sample_bytes is None else sample_bytes
+    longest_bytes = LONGEST_BYTES if longest_bytes is None else longest_bytes
     order = [F.xxhash64("_id"), "_id"]
     ids = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~shared.held_out(id_col))

@@ -109,3 +109,11 @@ def test_descent_takes_the_same_steps_as_plain_python():
     for i in ids.tolist():
         mine = (model["w"][kept[i]], model["v"][kept[i]]) if i in kept else (0.0, np.zeros(fm.FACTORS))
         assert np.allclose(mine[0], w[i], atol=1e-6) and np.allclose(mine[1], v[i], atol=1e-6)
+
+
+def test_sample_bounds_are_parameters(spark):
+    docs = spark.createDataFrame([(i, "word " * (10 + i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    texts = [r["t"] for r in learning.labelled_sample(docs, labels, "toxic", 40, sample_bytes=3000, longest_bytes=200).collect()]
+    assert 0 < sum(map(len, texts)) <= 3000 and max(map(len, texts)) <= 200
+    assert len(fm.classify(docs, labels, sample_bytes=3000, longest_bytes=200).collect()) == 60
