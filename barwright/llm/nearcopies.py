@@ -6,11 +6,14 @@ an index of masked blocks would need thousands of masks. So pairs are proposed b
 
 Texts with the same set are one node. Nodes that share a band of MinHash values are candidates, and a
 pair counts only after its whole sets were compared. So that a large group of copies costs its size and
-not its square, a bucket's members are first compared with its least and its greatest node; only pairs
-of one bucket that are then still in different components are compared one by one. A set's hashes are
-counted in PARTS parts; two sets have at most the sum of the lesser counts in common, so pairs whose bound
-is below the least similarity go before any set is sent. No bucket, group or text is cut. Two texts at the
-least similarity share no band in three of a million cases.
+not its square, a bucket's members are first compared with its least and its greatest node, its hubs. What is
+then still in different components is told by differences: two sets differ in as many hashes as their
+differences from the least hub do, so two alike ones that aren't both alike to the hub have a certain number
+of differences in common, and meet in one of the first few of them, rarest first (close_pairs). Texts that
+share a long passage have that in common with the hub as well, so it brings no two of them together. A
+set's hashes are counted in PARTS parts; two sets have at most the sum of the lesser counts in common, so
+pairs whose bound is below the least similarity go before any set is sent. No bucket, group or text is cut.
+Two texts at the least similarity share no band in three of a million cases.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from barwright.llm import shared
 
@@ -146,19 +149,67 @@ def components(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame]) -> Dat
     crowds = filed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     filed = shared.stored(filed.join(crowds, "key"))
     sets = shared.stored(held_sets(texts(filed.select("node").distinct())))
-    edges, roots = None, None
+    edges, roots, first = None, None, None
     for pick in (F.min, F.max):
         placed = _placed(filed, roots)
         hub = placed.groupBy("key").agg(pick(F.struct("node", "size", "root")).alias("h"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
         hub = hub.select("key", F.col("h.node").alias("v"), F.col("h.size").alias("w"), F.col("h.root").alias("hub_root"))
         pairs = placed.join(hub, "key").where((F.col("root") != F.col("hub_root")) & _size_fits("size", "w"))
         edges, roots = _grown(edges, pairs.select(F.col("node").alias("u"), "v").distinct(), sets)
-    placed = _placed(filed, roots)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("key")
-    open_ = placed.join(mixed, "key")
-    other = open_.select("key", F.col("node").alias("v"), F.col("size").alias("w"), F.col("root").alias("other_root"))
-    pairs = open_.join(other, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("other_root")) & _size_fits("size", "w"))
-    return _grown(edges, pairs.select(F.col("node").alias("u"), "v").distinct(), sets)[1]
+    # the least nodes were hubs of the first round, so all that is alike to them is known
+    mixed = _placed(filed, roots).groupBy("key").agg(F.min("node").alias("hub"), F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b")
+    groups = filed.join(mixed.select("key", "hub"), "key").select("hub", "node").distinct()
+    return _grown(edges, close_pairs(differences(groups, sets), roots), sets)[1]
+
+
+def differences(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, node, size, d, apart) of the groups' (hub, node): the hashes, d in number, of one set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            apart = [
+                np.setxor1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True).view(np.int64)
+                for x, y in zip(b.column(3), b.column(4))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([len(a) for a in apart], pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+                names=["hub", "node", "size", "d", "apart"],
+            )
+
+    hubs = sets.select(F.col("node").alias("hub"), F.col("held").alias("held_hub"))
+    both = groups.join(hubs, "hub").join(sets.select("node", "size", "held"), "node").select("hub", "node", "size", "held_hub", "held")
+    return shared.stored(both.mapInArrow(run, "hub long, node long, size long, d long, apart array<long>"))
+
+
+def close_pairs(apart: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (u, v) of one hub's nodes in different components, among them all that are alike; nodes alike to
+    their hub must be in its component.
+
+    Sets of s hashes together are alike if at most s (10 - LEAST_TENTHS) / (10 + LEAST_TENTHS) are in one alone.
+    That number is d + e - 2 c for sets with d and e differences from the hub, c of them common. So either c is
+    at least half of d + e less the bound, and the first common difference stands no later than place d - c + 1
+    of the one and e - c + 1 of the other, in any order; or d + e is within the bound, and then both
+    are alike to the hub. The order is by frequency in the hub's group, so the places are those of rare ones.
+    """
+    less, more = 10 - LEAST_TENTHS, 10 + LEAST_TENTHS
+    each = apart.select("hub", "node", "size", "d", F.explode("apart").alias("t"))
+    often = each.groupBy("hub", "t").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # differences of one node alone come first and meet nothing: they count as places only
+    mine = W.partitionBy("hub", "node")
+    place = F.col("d") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "t")) - 1
+    ranked = each.join(often, ["hub", "t"]).withColumn("before", place)
+    # the sizes of alike sets bound each other, so the bound is at most this share of one's size
+    ranked = ranked.where(LEAST_TENTHS * F.col("before") <= less * F.col("size")).drop("n")
+    ranked = shared.stored(_placed(ranked, roots))
+    few = ranked.where(2 * LEAST_TENTHS * F.col("before") <= less * F.col("size"))
+    few = few.select("hub", "t", *(F.col(c).alias(f"{c}_v") for c in ("node", "size", "d", "before", "root")))
+    wider, bound = F.col("d") - F.col("d_v"), less * (F.col("size") + F.col("size_v"))
+    met = ranked.join(few, ["hub", "t"]).where(
+        (F.col("root") != F.col("root_v")) & _size_fits("size", "size_v")
+        & ((wider > 0) | ((wider == 0) & (F.col("node_v") < F.col("node")))) & (more * wider <= bound)
+        & (2 * more * F.col("before") <= bound + more * wider) & (2 * more * F.col("before_v") <= bound - more * wider)
+    )
+    return met.select(F.greatest("node", "node_v").alias("u"), F.least("node", "node_v").alias("v")).distinct()
 
 
 def _placed(filed: DataFrame, roots: DataFrame | None) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from barwright.llm import fm, learning
+from barwright.llm import fm, learning, nearcopies, shared
 
 
 def texts(n, words, each, rng):
@@ -117,3 +117,57 @@ def test_sample_bounds_are_parameters(spark):
     texts = [r["t"] for r in learning.labelled_sample(docs, labels, "toxic", 40, sample_bytes=3000, longest_bytes=200).collect()]
     assert 0 < sum(map(len, texts)) <= 3000 and max(map(len, texts)) <= 200
     assert len(fm.classify(docs, labels, sample_bytes=3000, longest_bytes=200).collect()) == 60
+
+
+def edited(rng, n, words, most):
+    """n texts, each with up to ``most`` words of one base replaced."""
+    base, out = [f"w{k}" for k in range(words)], []
+    for k in range(n):
+        mine = list(base)
+        for at in rng.choice(words, rng.integers(0, most + 1), replace=False):
+            mine[at] = f"x{rng.integers(10**9)}"
+        out.append(" ".join(mine).encode())
+    return out
+
+
+def components_and_pairs(spark, monkeypatch, texts):
+    """Roots by text, and how many pairs were compared whole."""
+    compared, whole = [], nearcopies._alike_pairs
+    monkeypatch.setattr(nearcopies, "_alike_pairs", lambda pairs, sets: compared.append(pairs.count()) or whole(pairs, sets))
+    sets = [nearcopies.shingles(t) for t in texts]
+    nodes = spark.createDataFrame([(k, len(h), nearcopies.bands(h).tolist()) for k, h in enumerate(sets)], "node long, size long, bands array<long>")
+    given = spark.createDataFrame(list(enumerate(texts)), "node long, t binary")
+    roots = nearcopies.components(shared.stored(nodes), lambda some: given.join(some, "node")).collect()
+    by_node = dict(enumerate(range(len(texts)))) | {r["node"]: r["root"] for r in roots}
+    return [by_node[k] for k in range(len(texts))], sum(compared)
+
+
+def least_roots(texts):
+    sets, parent = [nearcopies.shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if parent[i] != parent[j] and nearcopies.alike(sets[i], sets[j]):
+            a, b = sorted((parent[i], parent[j]))
+            parent = [a if p == b else p for p in parent]
+    return parent
+
+
+def test_texts_that_share_much_but_too_little_are_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 240
+    texts = [t for t in edited(rng, 4 * n, 140, 8) if t.count(b"x") > 3][:n]
+    texts += [b" ".join([*t.split()[:-6], *(b"%d" % (k % 3) for k in range(6))]) for t in texts[:12]]  # alike to some
+    got, pairs = components_and_pairs(spark, monkeypatch, texts)
+    assert got == least_roots(texts)
+    assert len(set(got)) > n / 2 and pairs < n * n / 8
+
+
+def test_close_pairs_leave_out_no_alike_pair_whatever_the_sizes(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = []
+    for words, most in ((6, 2), (30, 4), (60, 6), (140, 9)):
+        some = edited(rng, 40, words, most)
+        texts += [b" ".join(t.split()[: len(t.split()) - rng.integers(0, words // 4)]) for t in some]
+    texts = list(dict.fromkeys(texts))
+    got, _ = components_and_pairs(spark, monkeypatch, texts)
+    want = least_roots(texts)
+    assert got == want and 4 < len(set(want)) < len(texts)
