@@ -86,18 +86,32 @@ def mean_in_bucket(df: DataFrame, every: str, means: list[str], lasts: list[str]
 
 
 def continuous_days(bars: DataFrame, keys: list[str], order: str, contract: str, boundary: str) -> DataFrame:
-    """One daily bar per key with the contracts in order of appearance and whether a roll lies inside."""
-    lineage = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, contract))), lambda x: x[contract]))
-    return bars.groupBy(*keys).agg(
+    """One daily bar per key with the contracts in order of appearance and whether a roll lies inside.
+
+    Each contract is summed up first, so what is gathered per key is its contracts, not its rows.
+    """
+    by_contract = bars.groupBy(*keys, F.col(contract).alias("_contract")).agg(
+        F.min(order).alias("_first"),
+        F.max(order).alias("_last"),
         F.min_by("open", order).alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.max_by("close", order).alias("close"),
         F.sum("volume").alias("volume"),
         F.count(F.lit(1)).alias("bar_count"),
-        lineage.alias("source_contracts"),
         F.bool_or(boundary).alias("has_roll_boundary"),
     )
+    lineage = F.transform(F.array_sort(F.collect_list(F.struct("_first", "_contract"))), lambda x: x["_contract"])
+    return by_contract.groupBy(*keys).agg(
+        F.min_by("open", "_first").alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", "_last").alias("close"),
+        F.sum("volume").alias("volume"),
+        F.sum("bar_count").alias("bar_count"),
+        lineage.alias("source_contracts"),
+        F.bool_or("has_roll_boundary").alias("has_roll_boundary"),
+    )
 
 
 def book_top(levels: DataFrame, snapshot: list[str], side: str, price: str, size: str, n: int) -> DataFrame:

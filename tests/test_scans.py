@@ -171,3 +171,22 @@ def test_quantiles_of_the_past(spark, block, ranges, lag):
             past = [v for _, _, v in mine[: max(0, i - lag)] if v is not None and v == v]
             want = np.quantile(past, 0.3) if len(past) >= 4 else None
             assert got[t] == (pytest.approx(want) if want is not None else None)
+
+
+def test_stitched_bars_gather_contracts_not_rows(spark):
+    from barwright.operators import bars
+
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), t, f"c{(t + rng.randrange(20)) // 90}", rng.uniform(1, 9), 1.0, t > 250) for t in range(300)]
+    df = spark.createDataFrame(rows, "k string, t int, secid string, price double, volume double, near boolean")
+    df = df.withColumns({c: F.col("price") for c in ("open", "high", "low", "close")})
+    out = bars.continuous_days(df, ["k"], "t", "secid", "near")
+    for r in out.collect():
+        mine = [x for x in rows if x[0] == r["k"]]
+        prices = [x[3] for x in mine]
+        assert (r["open"], r["high"], r["low"], r["close"]) == (prices[0], max(prices), min(prices), prices[-1])
+        assert (r["volume"], r["bar_count"], r["has_roll_boundary"]) == (len(mine), len(mine), any(x[5] for x in mine))
+        assert r["source_contracts"] == list(dict.fromkeys(x[2] for x in mine))
+    # what is gathered has been summed up by contract before
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("collect_list") < plan.rindex("Aggregate [k") and plan.count("collect_list") == 1 and plan.count("Aggregate") == 2
