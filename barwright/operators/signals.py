@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from barwright.operators import blocked, windows as wn
-from barwright.operators.recurrence import with_ema, with_states
+from barwright.operators.recurrence import time_block, with_ema, with_states
 
 
 #: Decimals at which results are compared when parameters are ranked.
@@ -347,14 +347,39 @@ def brackets(days: DataFrame, keys: list[str], order: str, grid: list[tuple[floa
     )
 
 
-def realized(log: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Trade log actions (OPEN_LONG, OPEN_SHORT, CLOSE, REVERSE) with each row's closed profit."""
-    w = wn.over(keys, order)
-    side = F.when(F.col("action") == "OPEN_LONG", 1).when(F.col("action") == "OPEN_SHORT", -1).when(F.col("action") == "CLOSE", 0)
-    flips = F.sum(F.when(F.col("action") == "REVERSE", 1).otherwise(0)).over(wn.over([*keys, "_g"], order, W.unboundedPreceding, 0))
-    df = log.withColumn("_s", side).withColumn("_g", F.count("_s").over(wn.over(keys, order, W.unboundedPreceding, 0)))
-    base = F.last("_s", ignorenulls=True).over(wn.over(keys, order, W.unboundedPreceding, 0))
-    df = df.withColumn("side", base * F.when(flips % 2 == 1, -1).otherwise(1))
-    before, price = F.lag("side").over(w), F.lag("price").over(w)
-    closes = F.col("action").isin("CLOSE", "REVERSE")
-    return df.withColumn("closed_pnl", F.when(closes, F.coalesce(before * (F.col("price") - price), F.lit(0.0)))).drop("_s", "_g")
+def realized(log: DataFrame, keys: list[str], order: str, block: Column | None = None) -> DataFrame:
+    """Trade log actions (OPEN_LONG, OPEN_SHORT, CLOSE, REVERSE) with each row's closed profit.
+
+    A scan over blocks of the order (``block`` must not decrease with it): a block ends in a side of its own, or
+    turns the side in which it is entered or not; blocks are chained by one row each.
+    """
+    block = time_block(order, dict(log.dtypes)[order]) if block is None else block
+    cut = log.withColumn("_key", F.struct(*keys)).withColumn("_block", block)
+    inside = W.partitionBy("_key", "_block").orderBy(order)
+    upto = inside.rowsBetween(W.unboundedPreceding, 0)
+
+    def turned(side: Column, flips: Column) -> Column:
+        return side * F.when(flips % 2 == 1, -1).otherwise(1)
+
+    named = F.when(F.col("action") == "OPEN_LONG", 1).when(F.col("action") == "OPEN_SHORT", -1).when(F.col("action") == "CLOSE", 0)
+    rows = cut.withColumn("_flips", F.sum(F.when(F.col("action") == "REVERSE", 1).otherwise(0)).over(upto))
+    rows = rows.withColumn("_set", F.last(F.when(named.isNotNull(), F.struct(named.alias("side"), "_flips")), ignorenulls=True).over(upto))
+    rows = rows.withColumn("_now", F.struct(turned(F.col("_set.side"), F.col("_flips") - F.col("_set._flips")).alias("side"), "_flips", "price"))
+    rows = rows.drop("_flips", "_set")
+    # a block's last row says what it does to the side, and its last price
+    ends = rows.groupBy("_key", "_block").agg(F.max_by("_now", order).alias("_now"))
+    blocks = W.partitionBy("_key").orderBy("_block")
+    sofar = blocks.rowsBetween(W.unboundedPreceding, 0)
+    ends = ends.withColumn("_turns", F.sum(F.when(F.col("_now.side").isNull(), F.col("_now._flips")).otherwise(0)).over(sofar))
+    ends = ends.withColumn("_set", F.last(F.when(F.col("_now.side").isNotNull(), F.struct("_now.side", "_turns")), ignorenulls=True).over(sofar))
+    after = turned(F.col("_set.side"), F.col("_turns") - F.col("_set._turns"))
+    few = ends.select(
+        F.col("_key").alias("_of"), F.col("_block").alias("_to"), F.lag(after).over(blocks).alias("_side_in"), F.lag("_now.price").over(blocks).alias("_price_in")
+    )
+    rows = rows.withColumn("_was", F.lag("_now").over(inside))
+    met = rows.join(few, (rows["_key"] == few["_of"]) & (rows["_block"] == few["_to"]))
+    side = lambda at: F.coalesce(F.col(f"{at}.side"), turned(F.col("_side_in"), F.col(f"{at}._flips")))
+    first = F.col("_was").isNull()
+    before, price = F.when(first, F.col("_side_in")).otherwise(side("_was")), F.when(first, F.col("_price_in")).otherwise(F.col("_was.price"))
+    pnl = F.when(F.col("action").isin("CLOSE", "REVERSE"), F.coalesce(before * (F.col("price") - price), F.lit(0.0)))
+    return met.select(*(F.col(c) for c in log.columns), side("_now").alias("side"), pnl.alias("closed_pnl"))

@@ -190,3 +190,33 @@ def test_stitched_bars_gather_contracts_not_rows(spark):
     # what is gathered has been summed up by contract before
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("collect_list") < plan.rindex("Aggregate [k") and plan.count("collect_list") == 1 and plan.count("Aggregate") == 2
+
+
+@pytest.mark.parametrize("step", [1, 3, 7, 1000])
+def test_closed_profit_by_blocks(spark, step):
+    rng = random.Random(13)
+    kinds = ["OPEN_LONG", "OPEN_SHORT", "CLOSE", "REVERSE", "REVERSE", "HOLD", None]
+    log = [(rng.choice(["a", "b", None]), t, "REVERSE" if t < 12 else rng.choice(kinds), rng.choice([None, 1.0, 2.0, 4.0])) for t in range(200)]
+    df = spark.createDataFrame(log, "k string, t long, action string, price double")
+    out = signals.realized(df, ["k"], "t", F.floor(F.col("t") / step))
+    got = {r["t"]: (r["k"], r["action"], r["price"], r["side"], r["closed_pnl"]) for r in out.collect()}
+    assert len(got) == len(log)
+    for key in ("a", "b", None):
+        side = before = price = None
+        for _, t, action, now in (r for r in log if r[0] == key):
+            before = side
+            side = {"OPEN_LONG": 1, "OPEN_SHORT": -1, "CLOSE": 0}.get(action, side if action != "REVERSE" or side is None else -side)
+            pnl = None
+            if action in ("CLOSE", "REVERSE"):
+                pnl = 0.0 if None in (before, now, price) else before * (now - price)
+            assert got[t] == (key, action, now, side, pnl)
+            price = now
+
+
+def test_a_trade_log_is_sorted_by_blocks(spark):
+    from barwright.plans.research_queries import realized_pnl
+
+    plan = realized_pnl(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    # those by key alone have one row a block
+    assert windows and all("_block" in line for line in windows)
