@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barwright.plans.joins_queries import ema_sql
 from barwright.plans.registry import query, rounded
 from barwright.sources import views
-from barwright.sources.room import room as _room
+from barwright.sources.room import kept, room as _room
 from barwright.sources.views import sql
 from barwright.streaming import bars as sb, merge as sm
 
@@ -132,7 +132,8 @@ def _quarters(spark, sf_dir):
     from barwright.operators import bars
 
     room = _room(spark)
-    five = bars.ticks_to_bars(views.ticks(spark, sf_dir), "5 minutes").select("instrument", "bar_end", "open", "high", "low", "close")
+    # kept, as each span of the stream reads it
+    five = kept(bars.ticks_to_bars(views.ticks(spark, sf_dir), "5 minutes").select("instrument", "bar_end", "open", "high", "low", "close"))
     _in_order(five, "bar_end", f"{room}/in")
     again = five.where(F.minute("bar_end") % 10 == 0)
     ahead = five.agg((F.max("bar_end") + F.expr("interval 90 days")).alias("bar_end"))

@@ -91,3 +91,18 @@ def test_queries_leave_the_session_as_it_is(spark, name):
     before = spark.conf.get(setting)
     plans.QUERIES[name](spark, "/root/testdata/sf0.001").count()
     assert spark.conf.get(setting) == before
+
+
+def test_five_minute_bars_are_computed_once_for_all_spans(spark, monkeypatch):
+    from barwright.plans import stream_queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(df, ts, path):
+        raise Seen(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(stream_queries, "_in_order", seen)
+    with pytest.raises(Seen) as plan:
+        stream_queries._quarters(spark, "/root/testdata/sf0.001")
+    assert "Aggregate" not in str(plan.value)
